@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, token_files
+from . import decontaminate, fingerprints, licenses, mixing, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,21 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op8_token_files)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op7_decontaminate, op8_token_files, op10_fingerprints)}
 
 
 def _mix_sql(weights=(5, 2, 1), block=8, shard_docs=20_000, seed=17, cap=3) -> str:
@@ -85,4 +93,16 @@ hits as (select doc_id, whole, license from (select doc_id, whole, {canonical("t
 select doc_id, count(license) filter (not whole) as n_notices, coalesce(array_to_string(list_sort(list(distinct license) filter (license is not null)), ','), '') as licenses, max(license) filter (whole) as whole_license from hits group by doc_id"""
 
 
-ORACLES = {"op3_mix": _mix_sql(), "op4_license_scan": _license_sql()}
+DECONTAMINATE_SQL = """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as t from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as t from benchmark),
+w as (select distinct item_id, t[i:i + 9] as g from (select item_id, t, unnest(generate_series(1, greatest(1, len(t) - 9))) as i from b where len(t) > 0)),
+n as (select distinct len(g) as n from w),
+g as (select doc_id, i, n, t[i:i + n - 1] as g from (select doc_id, t, n, unnest(generate_series(1, len(t) - n + 1)) as i from d, n where len(t) >= n)),
+m as (select doc_id, i, n, item_id from g join w using (g)),
+h as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as j from m) group by 1),
+s as (select doc_id, count(distinct item_id) as n_items, sha256(array_to_string(list_sort(list(distinct item_id::VARCHAR)), ',')) as items_sha256 from m group by 1)
+select doc_id, len(t) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join s using (doc_id)"""
+
+ORACLES = {"op7_decontaminate": DECONTAMINATE_SQL, "op3_mix": _mix_sql(), "op4_license_scan": _license_sql()}
