@@ -7,6 +7,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +50,15 @@ class Encoder:
     """Encodes whole texts with a tokenizers file; ids as packed little-endian bytes.
 
     Where the file splits text as byte-level vocabularies do (no normaliser, no prefix space), a
-    single space between two visible characters always begins a new piece, so the text between two
-    such spaces encodes alike wherever it stands, and is encoded once and kept (`keep` entries at
-    most, then forgotten). Other files encode text by text.
+    single space between two visible characters always begins a new piece, and so does a mark such as
+    a comma after a letter. What stands between two such places encodes alike anywhere; it is encoded
+    once and kept. Beyond `keep` entries the later half is forgotten: the earlier half came up
+    first and so is the commoner. Other files encode text by text.
     """
 
-    cut = re.compile("(?<=[!-~\xa1-\u167f])(?= [!-~\xa1-\u167f])")
+    cut = re.compile("(?<=[!-~\xa1-\u167f])(?= [!-~\xa1-\u167f])|(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f])(?=[,.;:!?*#$%&])")
 
-    def __init__(self, path: str, dtype: str, keep: int = 400_000):
+    def __init__(self, path: str, dtype: str, keep: int = 1_300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,7 +88,7 @@ class Encoder:
         for x, e in zip(rest, self.t.encode_batch_fast(rest, add_special_tokens=False)):
             self.kept[x] = np.array(e.ids, self.dtype).tobytes()
 
-    def __call__(self, texts: list[str], chars: int = 1 << 18):
+    def __call__(self, texts: list[str], chars: int = 1 << 20):
         at, held = 0, 0
         for i, t in enumerate([*texts, None]):
             if i > at and (t is None or held + len(t) > chars):
@@ -94,7 +96,7 @@ class Encoder:
                 if self.pieces:
                     parts = [self.cut.split(x) if x else [] for x in some]
                     if len(self.kept) > self.keep:
-                        self.kept.clear()
+                        self.kept = dict(islice(self.kept.items(), self.keep // 2))
                     if new := {y for x in parts for y in x}.difference(self.kept):
                         self._new(new)
                     for x in parts:
@@ -116,7 +118,7 @@ def encoder(path: str, dtype: str) -> Encoder:
     return _ENCODERS[path, dtype]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, chars_at_once: int = 1 << 18) -> str:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, chars_at_once: int = 1 << 20) -> str:
     """Encode every whole text, append end_id, write shards in ascending doc_id order; returns the folder.
 
     Documents are range-partitioned and sorted by doc_id (ties: by text), one shard a partition:
