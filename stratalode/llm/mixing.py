@@ -69,7 +69,7 @@ def sainte_lague(rows: DataFrame, share: str, seats: Column | str, order: str, b
     return t.withColumn("quota", F.when(F.col("_p") > 0, F.col("_low") + F.coalesce("_won", F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("_n", "_all", "_rows", "_p", "_low", "_top", "_left", "_won")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), total: int | None = None, max_repeat: int = 3, block: int = 8, shard_docs: int = 20_000, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), total: int | None = None, max_repeat: int = 3, block: int = 8, shard_docs: int = 500, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes.
 
     The total is dealt in equal blocks of `block` words. Sainte-Lague gives each source, then each of

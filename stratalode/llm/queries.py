@@ -36,7 +36,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op7_decontaminate, op8_token_files, op10_fingerprints)}
 
 
-def _mix_sql(weights=(5, 2, 1), block=8, shard_docs=20_000, seed=17, cap=3) -> str:
+def _mix_sql(weights=(5, 2, 1), block=8, shard_docs=500, seed=17, cap=3) -> str:
     def h(*xs: str) -> str:
         return "('0x' || substr(md5(" + " || ':' || ".join(xs) + "), 1, 12))::BIGINT"
 
