@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, licenses, mixing, token_files
+from . import decontaminate, fingerprints, licenses, mixing, substrings, suffixes, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, sf_dir, "documents"))
+
+
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +41,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op7_decontaminate, op8_token_files, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op5_repeated_words, op6_repeated_bytes, op7_decontaminate, op8_token_files, op10_fingerprints)}
 
 
 def _mix_sql(weights=(5, 2, 1), block=8, shard_docs=500, seed=17, cap=3) -> str:
@@ -105,4 +113,13 @@ s as (select doc_id, count(distinct item_id) as n_items, sha256(array_to_string(
 select doc_id, len(t) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join s using (doc_id)"""
 
-ORACLES = {"op7_decontaminate": DECONTAMINATE_SQL, "op3_mix": _mix_sql(), "op4_license_scan": _license_sql()}
+REPEATED_WORDS_SQL = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as t from documents),
+g as (select doc_id, i, array_to_string(t[i:i + 34], ' ') as g from (select doc_id, t, unnest(generate_series(1, len(t) - 34)) as i from d where len(t) >= 35)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as n from g) where n > 1),
+h as (select doc_id, list(distinct j) as js from (select doc_id, unnest(generate_series(i, i + 34)) as j from r) group by 1),
+k as (select d.doc_id, t, coalesce(len(js), 0) as n_removed, js from d left join h using (doc_id)),
+w as (select doc_id, string_agg(w, ' ' order by j) as kept from (select k.doc_id, unnest(t) as w, unnest(generate_series(1, len(t))) as j from k) u where not exists (select 1 from (select doc_id, unnest(js) as j from h) x where x.doc_id = u.doc_id and x.j = u.j) group by 1)
+select k.doc_id, len(t) as n_words, n_removed, sha256(coalesce(kept, '')) as kept_sha256 from k left join w using (doc_id)"""
+
+ORACLES = {"op5_repeated_words": REPEATED_WORDS_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op3_mix": _mix_sql(), "op4_license_scan": _license_sql()}
