@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, licenses, mixing, substrings, suffixes, token_files
+from . import decontaminate, fingerprints, licenses, mixing, overlap_join, substrings, suffixes, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op5_repeated_words, op6_repeated_bytes, op7_decontaminate, op8_token_files, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op5_repeated_words, op6_repeated_bytes, op7_decontaminate, op8_token_files, op9_ngram_join, op10_fingerprints)}
 
 
 def _mix_sql(weights=(5, 2, 1), block=8, shard_docs=500, seed=17, cap=3) -> str:
@@ -122,4 +126,16 @@ k as (select d.doc_id, t, coalesce(len(js), 0) as n_removed, js from d left join
 w as (select doc_id, string_agg(w, ' ' order by j) as kept from (select k.doc_id, unnest(t) as w, unnest(generate_series(1, len(t))) as j from k) u where not exists (select 1 from (select doc_id, unnest(js) as j from h) x where x.doc_id = u.doc_id and x.j = u.j) group by 1)
 select k.doc_id, len(t) as n_words, n_removed, sha256(coalesce(kept, '')) as kept_sha256 from k left join w using (doc_id)"""
 
-ORACLES = {"op5_repeated_words": REPEATED_WORDS_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op3_mix": _mix_sql(), "op4_license_scan": _license_sql()}
+NGRAM_JOIN_SQL = """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as t from documents),
+s as (select distinct doc_id, array_to_string(t[i:i + 2], ' ') as g from (select doc_id, t, unnest(generate_series(1, greatest(1, len(t) - 2))) as i from d where len(t) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select doc_id, n, row_number() over (partition by g_hash, n order by doc_id) as r, min(doc_id) over (partition by g_hash, n) as rep from (select doc_id, n, md5(string_agg(g, chr(10) order by g)) as g_hash from s join n using (doc_id) group by 1, 2)),
+u as (select s.doc_id, s.g, c.n from s join c using (doc_id) where r = 1),
+p as (select a.doc_id as a, b.doc_id as b from u a join u b on a.g = b.g and a.doc_id < b.doc_id and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select a, b from p union select b, a from p),
+reach as (select doc_id as x, doc_id as y from c where r = 1 union select reach.x, e.b from reach join e on reach.y = e.a),
+m as (select x, min(y) as y from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.y, d.doc_id) as component_id from d left join n using (doc_id) left join c using (doc_id) left join m on m.x = c.rep"""
+
+ORACLES = {"op9_ngram_join": NGRAM_JOIN_SQL, "op5_repeated_words": REPEATED_WORDS_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op3_mix": _mix_sql(), "op4_license_scan": _license_sql()}
