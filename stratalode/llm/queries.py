@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, licenses, mixing, overlap_join, substrings, suffixes, token_files
+from . import decontaminate, fingerprints, language, licenses, mixing, overlap_join, quality, substrings, suffixes, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.fuse(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op4_license_scan, op5_repeated_words, op6_repeated_bytes, op7_decontaminate, op8_token_files, op9_ngram_join, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_mix, op4_license_scan, op5_repeated_words, op6_repeated_bytes, op7_decontaminate, op8_token_files, op9_ngram_join, op10_fingerprints)}
 
 
 def _mix_sql(weights=(5, 2, 1), block=8, shard_docs=500, seed=17, cap=3) -> str:
