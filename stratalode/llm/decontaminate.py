@@ -25,41 +25,53 @@ def windows(benchmark: DataFrame, length: int = 10) -> DataFrame:
     return w.select("item_id", F.md5(F.concat_ws(" ", "words")).alias("win"), "words").distinct()
 
 
-def anchors(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """term, win, off, words: each window under its rarest term by training occurrences.
+def listed_terms(wins: DataFrame, common: float = 0.05, least: int = 3) -> DataFrame:
+    """term, tid: the terms whose postings are stored.
 
-    Occurrences are counted over all documents, for the terms that windows have. A window with a term
-    that never occurs can't occur and is left out. Ties: the least term, then its first place.
+    Of a window these are its terms that few items have (at most `common` of them, or `least`); if it
+    has none such, all its terms. Which terms are listed changes the work, not the matches.
     """
-    distinct = wins.select("win", "words").distinct()
-    vocabulary = cut(distinct.select(F.explode("words").alias("term")).distinct())
-    d = docs.select(F.explode(terms(docs["text"])).alias("term"))
-    counted = d.join(maybe_broadcast(vocabulary, vocabulary.count()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    placed = distinct.select("win", "words", F.posexplode("words").alias("off", "term")).join(counted, "term", "left")
-    best = placed.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off")).alias("best"), F.first("words").alias("words"))
-    return best.filter("best.n > 0").select("best.term", "win", "best.off", "words")
+    placed = wins.select("item_id", "win", F.explode("words").alias("term")).distinct()
+    n = wins.select("item_id").distinct().count()
+    rare = placed.groupBy("term").agg((F.countDistinct("item_id") <= max(least, int(common * n))).alias("rare"))
+    placed = placed.select("win", "term").distinct().join(rare, "term")
+    any_ = placed.groupBy("win").agg(F.max("rare").alias("any"))
+    return placed.join(any_, "win").filter("rare or not any").select("term").distinct().withColumn("tid", F.xxhash64("term"))
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame:
-    """term, doc_id, pos: where the vocabulary's terms stand in the documents."""
+def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """tid, doc_id, pos: where the vocabulary's terms stand in the documents."""
     d = docs.select(docs["doc_id"].alias("doc_id"), F.posexplode(terms(docs["text"])).alias("pos", "term"))
-    return d.join(maybe_broadcast(vocabulary, rows), "term")
+    return d.join(maybe_broadcast(vocabulary, vocabulary.count()), "term").select("tid", "doc_id", "pos")
+
+
+def anchors(stored: DataFrame, wins: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """tid, win, off, words: each window under its rarest listed term by training occurrences.
+
+    Occurrences are counted over all documents. A window with a listed term that never occurs can't
+    occur and is left out. Ties: the lower tid, then its first place.
+    """
+    counted = vocabulary.join(stored.groupBy("tid").agg(F.count(F.lit(1)).alias("n")), "tid", "left")
+    placed = wins.select("win", "words").distinct().select("win", "words", F.posexplode("words").alias("off", "term")).join(counted, "term")
+    best = placed.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tid", "off")).alias("best"), F.first("words").alias("words"))
+    return best.filter("best.n > 0").select("best.tid", "win", "best.off", "words")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """(found, wins). found: doc_id, text_key, hits array<struct<start, win, n, exact>> of documents with any.
 
-    The postings of the windows' rarest terms are stored in the shared folder; shifted by the term's
-    offset they give starts, at which the other terms are intersected with the document's own
+    The postings of listed terms are stored in the shared folder; those of each window's rarest term,
+    shifted by its offset, give starts, at which the other terms are intersected with the document's own
     positions. exact: the words stand there in order. With slop > 0 also proximity matches: all words
     of the window within its length plus slop words around the rarest term, in any order (start is
     then where that span begins, n its length). text_key tells rows of one doc_id apart.
     """
     wins = cut(windows(benchmark, length))
-    index = cut(anchors(docs, wins))
+    vocabulary = cut(listed_terms(wins))
+    stored = cut(postings(docs, vocabulary))
+    index = cut(anchors(stored, wins, vocabulary))
     n = index.count()
-    stored = cut(postings(docs, index.select("term").distinct(), n))
-    found = stored.join(maybe_broadcast(index, n), "term").select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off", "win", "words")
+    found = stored.join(maybe_broadcast(index, n), "tid").select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off", "win", "words")
     if not slop:
         found = found.filter("start >= 0")
     by_doc = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "off", "win", "words")).alias("_c")))
@@ -67,7 +79,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int =
     d = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"))
     if near <= 200_000:  # else all documents are shuffled once
         d = d.join(F.broadcast(by_doc.select(F.col("doc_id").alias("_k"))), F.col("_id").eqNullSafe(F.col("_k")), "left_semi")
-    d = d.join(by_doc, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", F.xxhash64("_text").alias("text_key"), terms(F.col("_text")).alias("_t"), "_c")
+    d = d.join(by_doc, F.col("_id").eqNullSafe(F.col("doc_id")))
+    # exploded so that the words are made once a document, not inside the functions over candidates
+    d = d.select("doc_id", F.xxhash64("_text").alias("text_key"), F.explode(F.array(terms(F.col("_text")))).alias("_t"), "_c")
 
     def exact(c: Column) -> Column:
         return (c["start"] >= 0) & (F.slice(F.col("_t"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["words"])) == c["words"])
