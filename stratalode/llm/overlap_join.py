@@ -1,9 +1,9 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip over inverted lists of word shingles.
 
 Documents with one set of shingles are one class; classes are joined. Two sets of sizes a <= b that link
-differ in at most (a + b)(1 - t)/(1 + t) shingles. Shingles are dealt into one part more than that by
-hash, so linked sets agree wholly on a part; sets that agree on none are never compared. What is left
-is small families. In each the inverted lists are searched: short lists are merged, long ones probed by
+differ in at most (a + b)(1 - t)/(1 + t) shingles. Shingles are dealt by hash into more parts than that,
+so linked sets agree wholly on a part; sets that agree on none are never compared. What is left is
+small families. In each the inverted lists are searched: short lists are merged, long ones probed by
 binary search, and sets that reach the overlap required by their sizes are links.
 """
 
@@ -41,13 +41,17 @@ class Measure:
     def differ(self, a: int, b: int) -> int:
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
-    def schemes(self, n: int) -> list[tuple[int, int]]:
-        """(range, parts) for a set of n: as the smaller set of a pair, and as the larger."""
+    def schemes(self, n: int) -> list[tuple[int, int, int]]:
+        """(range, parts, spare) for a set of n: as the smaller set of a pair, and as the larger.
+
+        Linked sets differ in at most d shingles, so of d + 1 + spare parts they agree on spare + 1 at least.
+        """
         i = int(np.searchsorted(self.low, n, "right")) - 1
         out = []
         for k in (i, i - 1):
-            if k >= 0 and (d := self.differ(self.low[k + 1] - 1, self.low[k + 2] - 1)) >= 0:
-                out.append((k, d + 1))
+            if k >= 0 and (d := self.differ(self.low[k + 1] - 1, self.low[k + 2] - 1)) > 0:
+                spare = 1 + math.ceil(2 * d * math.exp(-self.low[k] / d))
+                out.append((k, d + 1 + spare, spare))
         return out
 
 
@@ -79,16 +83,24 @@ def set_key(h: np.ndarray) -> int:
 
 
 def signatures(h: np.ndarray, measure: Measure) -> np.ndarray:
-    out = []
+    """Hashes of the parts of a set that are not empty.
+
+    If no more than `spare` parts are empty, one part on which a linked set agrees is not. A set
+    with more empty parts also gives the least of its hashes, as many as must meet any linked set's
+    (a prefix filter); two such sets find each other by those. Nothing is lost either way.
+    """
+    out, sparse = [], False
     spread = mix(h ^ U64(0x165667B19E3779F9))
-    for k, parts in measure.schemes(len(h)):
-        if parts == 1:
-            continue  # such sets link only if they are equal
+    for k, parts, spare in measure.schemes(len(h)):
         part = (h % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(spread[order], dtype=U64)])
         at = np.searchsorted(part[order], np.arange(parts + 1))
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) + mix(np.arange(parts, dtype=U64) * U64(1_000_003) + U64(k + 1))))
+        full = np.flatnonzero(np.diff(at))
+        sparse |= parts - len(full) > spare
+        out.append(mix((sums[at[full + 1]] - sums[at[full]]) + mix(full.astype(U64) * U64(1_000_003) + U64(k + 1))))
+    if sparse:
+        out.append(mix(h[: len(h) - int(-(-measure.num * len(h) // measure.den)) + 1] + U64(0x27D4EB2F165667C5)))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .overlap_join import LOWER
 from .repeats import U64, _batches, word_hashes
@@ -174,34 +175,53 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 8_000) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted of every document.
+class Scorer:
+    """Vectors of all documents' words and a network fitted on at most `train_rows` labelled rows that are not held out.
 
-    Vectors come from all documents; the network is fitted on at most `train_rows` labelled rows that are
-    not held out, the first by a hash of doc_id, so the sample is bounded and the same each time. Only the
-    text is an input of a score. A doc_id labelled twice counts by its highest label; null labels don't
-    count. Null or empty text: scored like a text without words. With fewer than 20 labelled rows or one
-    class the score is the share of label 1 (0.5 without labels). Repeated rows give a row each.
+    The rows are the first by a hash of doc_id, so the sample is bounded and the same each time.
     """
-    sample = labels.select(labels["doc_id"].alias("_id"), labels[label].cast("double").alias("_y")).filter("_id is not null and _y is not null").filter(~held_out(F.col("_id")))
-    sample = sample.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
 
-    def features(batches):
-        for b in batches:
-            x = pooled(_encoded(b.column(1)), vectors.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
+    def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 8_000):
+        sc = docs.sparkSession.sparkContext
+        sample = labels.select(labels["doc_id"].alias("_id"), labels[label].cast("double").alias("_y")).filter("_id is not null and _y is not null").filter(~held_out(F.col("_id")))
+        sample = sample.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
+        self.vectors = vectors = sc.broadcast(word_vectors(docs))
 
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    known = d.join(F.broadcast(sample), d["doc_id"] == F.col("_id")).select("doc_id", "text", F.col("_y").alias("y"))
-    rows = sorted(((r.doc_id, r.y, bytes(r.x)) for r in known.mapInArrow(features, "doc_id long, y double, x binary").collect()))
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), 2 * DIMS + 1).astype(float)
-    net = docs.sparkSession.sparkContext.broadcast(Network(x, np.array([r[1] for r in rows])))
+        def features(batches):
+            for b in batches:
+                x = pooled(_encoded(b.column(1)), vectors.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    def scores(batches):
-        for b in batches:
-            s = net.value(pooled(_encoded(b.column(1)), vectors.value).astype(float))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+        d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+        known = d.join(F.broadcast(sample), d["doc_id"] == F.col("_id")).select("doc_id", "text", F.col("_y").alias("y"))
+        rows = sorted((r.doc_id, r.y, bytes(r.x)) for r in known.mapInArrow(features, "doc_id long, y double, x binary").collect())
+        x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), 2 * DIMS + 1).astype(float)
+        self.net = sc.broadcast(Network(x, np.array([r[1] for r in rows])))
+
+    def over(self, rows: DataFrame, text: str = "text", out: str = "_score") -> DataFrame:
+        """All columns of rows and the score of each text."""
+        vectors, net, at = self.vectors, self.net, rows.columns.index(text)
+
+        def scores(batches):
+            for b in batches:
+                s = net.value(pooled(_encoded(b.column(at)), vectors.value).astype(float))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
+
+        return rows.mapInArrow(scores, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
 
-    out = d.mapInArrow(scores, "doc_id long, score double")
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 8_000) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted of every document.
+
+    Only the text is an input of a score. A doc_id labelled twice counts by its highest label; null labels
+    don't count. Null or empty text: scored like a text without words. With fewer than 20 labelled
+    rows or one class the score is the share of label 1 (0.5 without labels). Repeated rows give a row each.
+    """
+    scorer = Scorer(docs, labels, label, train_rows)
+    out = scorer.over(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), out="score").drop("text")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "quality", train_rows: int = 8_000) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least the threshold."""
+    return Scorer(docs, labels, label, train_rows).over(docs).filter(F.col("_score") >= threshold).drop("_score")
