@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast
 
-#: Fixed value: a word, after A-Z are lower-cased.
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: a word, before A-Z are lower-cased (which makes no word longer or shorter).
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def low(text: Column) -> Column:
+    """A-Z lower-cased, other letters kept."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def terms(text: Column) -> Column:
-    """The words of a whole text, in order; null has none."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    """The words of a whole text as they stand, in order; null has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0))
 
 
 def windows(benchmark: DataFrame, length: int = 10) -> DataFrame:
     """item_id, win, words: each run of `length` words; an item of fewer words, but not none, is one window."""
-    b = benchmark.select(benchmark["item_id"].alias("item_id"), terms(benchmark["text"]).alias("_t")).filter(F.size("_t") > 0)
+    b = benchmark.select(benchmark["item_id"].alias("item_id"), terms(low(benchmark["text"])).alias("_t")).filter(F.size("_t") > 0)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_t") - length + 1)))
     w = b.select("item_id", "_t", at.alias("_at")).select("item_id", F.slice("_t", F.col("_at"), length).alias("words"))
     return w.select("item_id", F.md5(F.concat_ws(" ", "words")).alias("win"), "words").distinct()
@@ -41,7 +45,7 @@ def listed_terms(wins: DataFrame, common: float = 0.05, least: int = 3) -> DataF
 
 def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """tid, doc_id, pos: where the vocabulary's terms stand in the documents."""
-    d = docs.select(docs["doc_id"].alias("doc_id"), F.posexplode(terms(docs["text"])).alias("pos", "term"))
+    d = docs.select(docs["doc_id"].alias("doc_id"), F.posexplode(terms(F.lower(docs["text"]))).alias("pos", "term"))
     return d.join(maybe_broadcast(vocabulary, vocabulary.count()), "term").select("tid", "doc_id", "pos")
 
 
@@ -52,7 +56,7 @@ def anchors(stored: DataFrame, wins: DataFrame, vocabulary: DataFrame) -> DataFr
     occur and is left out. Ties: the lower tid, then its first place.
     """
     counted = vocabulary.join(stored.groupBy("tid").agg(F.count(F.lit(1)).alias("n")), "tid", "left")
-    placed = wins.select("win", "words").distinct().select("win", "words", F.posexplode("words").alias("off", "term")).join(counted, "term")
+    placed = wins.select("win", "words").distinct().select("win", "words", F.posexplode(F.transform("words", lambda w: F.lower(w))).alias("off", "term")).join(counted, "term")
     best = placed.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tid", "off")).alias("best"), F.first("words").alias("words"))
     return best.filter("best.n > 0").select("best.tid", "win", "best.off", "words")
 
@@ -84,11 +88,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int =
     d = d.select("doc_id", F.xxhash64("_text").alias("text_key"), F.explode(F.array(terms(F.col("_text")))).alias("_t"), "_c")
 
     def exact(c: Column) -> Column:
-        return (c["start"] >= 0) & (F.slice(F.col("_t"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["words"])) == c["words"])
+        return (c["start"] >= 0) & (low(F.array_join(F.slice(F.col("_t"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["words"])), " ")) == F.array_join(c["words"], " "))
 
     def around(c: Column) -> Column:
         left = F.greatest(c["start"] + c["off"] - F.size(c["words"]) - slop + 1, F.lit(0))
-        return F.size(F.array_except(c["words"], F.slice(F.col("_t"), left + 1, 2 * (F.size(c["words"]) + slop) - 1))) == 0
+        return F.size(F.array_except(c["words"], F.transform(F.slice(F.col("_t"), left + 1, 2 * (F.size(c["words"]) + slop) - 1), low))) == 0
 
     kept = F.filter("_c", exact if not slop else lambda c: exact(c) | around(c))
     hits = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["win"].alias("win"), F.size(c["words"]).alias("n"), exact(c).alias("exact")))
@@ -112,7 +116,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     items = items.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
     sums = hit.join(items, hit["doc_id"].eqNullSafe(items["doc_id"]) & (hit["text_key"] == items["text_key"])).select(hit["doc_id"].alias("_id"), hit["text_key"].alias("_key"), "n_hit", "n_items", "items_sha256")
     sums = cut(sums)
-    d = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"), F.size(terms(docs["text"])).cast("long").alias("n_words"))
+    d = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"), F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(TERM)).cast("long").alias("n_words"))
     d = d.join(maybe_broadcast(sums, sums.count()), d["doc_id"].eqNullSafe(F.col("_id")) & (d["text_key"] == F.col("_key")), "left")
     zero = F.lit(0).cast("long")
     return d.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
