@@ -224,21 +224,21 @@ def marks(table: pa.Table, width: int, gram: int, round_: int) -> pa.Table:
     return pa.table([pa.array(list(out), pa.int32()), pa.array([round_] * len(out), pa.int32()), pa.array([b"".join(v) for v in out.values()], pa.binary())], ["chunk", "round", "hashes"])
 
 
-def numbered(chunk_texts: list[bytes], width: int, gram: int, rep: list[np.ndarray]):
+def numbered(chunk_texts: list[bytes], width: int, grams: list[int], rep: list[np.ndarray]):
     """Yield (first document, units, raw, starts in question, blocks with their numbers); equal blocks have one number."""
     known: dict[tuple[bytes, bytes], list] = {}
     for i, j, u, raw in byte_batches(chunk_texts):
-        alive = survive(u, width, [gram], rep)
+        alive = survive(u, width, grams, rep)
         found = []
         if alive.any():
-            for s, e, a, key, left in blocks(u, raw, width, gram, alive):
+            for s, e, a, key, left in blocks(u, raw, width, grams[0], alive):
                 k = known.setdefault((key, left), [len(known), 0])
                 k[1] += 1
                 found.append((s, e, a, k[0]))
         yield i, u, raw, found, known
 
 
-def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 48, keep_text: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 48, long_gram: int = 120, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) of every document.
 
     Each byte covered by a string of `width` bytes that also starts anywhere else, in this or another
@@ -246,12 +246,14 @@ def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 48, keep_text:
     are documents of their own, and repeat one another.
     """
     r = Rounds(docs, width, byte_batches)
-    r.run(gram)
+    grams = [gram, long_gram]  # the second leaves out lines that many documents have, but not in one surrounding
+    for n in grams:
+        r.run(n)
     bits = r.bits
 
     def sorted_runs(key, table, back):
-        rep, known = told(back, 1), {}
-        for _, _, _, _, known in numbered(texts_of(table), width, gram, rep):
+        rep, known = told(back, len(grams)), {}
+        for _, _, _, _, known in numbered(texts_of(table), width, grams, rep):
             pass
         run = sorted((k, left, n, c > 1) for (k, left), (n, c) in known.items())
         rows, at = [], 0
@@ -266,20 +268,20 @@ def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 48, keep_text:
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, RUN_SCHEMA)], schema=RUN_SCHEMA)
 
     runs = r.docs.groupBy("chunk").cogroup(r.back.groupBy("chunk")).applyInArrow(sorted_runs, RUN)
-    r.back = r.back.unionByName(runs.groupBy("bucket").applyInArrow(lambda t: marks(t, width, gram, 1), MARKS))
+    r.back = r.back.unionByName(runs.groupBy("bucket").applyInArrow(lambda t: marks(t, width, gram, len(grams)), MARKS))
     span = width - gram + 1
     size = 4 + (span + 7) // 8
 
     def done(key, table, back):
         texts, ids = texts_of(table), table.column("doc_id").to_pylist()
-        rep = told(back, 1)
-        blob = b"".join(b for q, b in zip(back.column("round").to_pylist(), back.column("hashes").to_pylist()) if q == 1)
+        rep = told(back, len(grams))
+        blob = b"".join(b for q, b in zip(back.column("round").to_pylist(), back.column("hashes").to_pylist()) if q == len(grams))
         flat = np.frombuffer(blob, np.uint8).reshape(-1, size)
         numbers = np.ascontiguousarray(flat[:, :4]).view("<u4").ravel()
         row = dict(zip(numbers.tolist(), range(len(numbers))))
         flags = np.unpackbits(flat[:, 4:], axis=1).astype(bool)
         rows = []
-        for i, u, raw, found, _ in numbered(texts, width, gram, rep):
+        for i, u, raw, found, _ in numbered(texts, width, grams, rep):
             starts = np.zeros(u.n, bool)
             for s, e, a, number in found:
                 if (k := row.get(number)) is not None:
