@@ -28,9 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once, keep the rows in the shared checkpoint folder, forget the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, keep the rows in the shared checkpoint folder, forget the lineage.
+
+    A checkpoint keeps the size that the optimizer guessed for its plan, and a join's guess is the product
+    of its sides', so in a loop of joins the guess would grow into a number of megabytes on the driver.
+    A guess beyond all measure is dropped with the plan.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    if done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 60:
+        return done
+    bare = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(bare, spark)
 
 
 def input_bytes(df: DataFrame) -> int:
