@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     done = df.checkpoint(eager=True)
-    if done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 60:
+    if input_bytes(done) < 1 << 60:
         return done
     bare = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
     return DataFrame(bare, spark)
@@ -45,10 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """What the optimizer knows of the size of the files below; any file system that Spark reads."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a relation without statistics
-        return 0
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions(df: DataFrame, bytes_each: int = 24 << 20) -> int:
