@@ -166,12 +166,20 @@ KIND = "bucket int, chunk int, many boolean, hashes binary"
 BACK = "chunk int, round int, hashes binary"
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Anchors' hashes are the least of many, so near 0; one to one, evenly over 64 bits."""
+    return h * U64(_BASE)
+
+
 def by_bucket(chunk: int, values: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Distinct values of a chunk by bucket (their top bits), those with several places apart."""
+    """Distinct values of a chunk by bucket (the top bits of their spread), those with several places apart."""
     v, n = np.unique(values, return_counts=True)
+    bucket = (spread(v) >> U64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    v, n, bucket = v[order], n[order], bucket[order]
     for many in (False, True):
-        some = v[(n > 1) == many]
-        cuts = np.searchsorted(some >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64)).tolist()
+        some, at = v[(n > 1) == many], bucket[(n > 1) == many]
+        cuts = np.searchsorted(at, np.arange((1 << bits) + 1)).tolist()
         rows = [(b, s, e) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int32()), pa.array([many] * len(rows)), pa.array([some[s:e].tobytes() for _, s, e in rows], pa.binary())], ["bucket", "chunk", "many", "hashes"])

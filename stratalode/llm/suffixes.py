@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import U64, Rounds, Units, byte_batches, member, slide, survive, texts_of, told
+from .repeats import U64, Rounds, Units, byte_batches, member, slide, spread, survive, texts_of, told
 from .substrings import covered
 
 LEAD = 8  # bytes of the gram's hash before each suffix
@@ -94,7 +94,7 @@ def merge(runs: list):
 def blocks(u: Units, raw: np.ndarray, width: int, gram: int, alive: np.ndarray):
     """Yield (first start, last start, anchor, key, left): runs of windows in question with one anchor.
 
-    key: the gram's hash and the bytes from the anchor to the end of the last window; left: the bytes
+    key: the gram's hash, spread, and the bytes from the anchor to the end of the last window; left: the bytes
     before the anchor from the first start on, backwards.
     """
     g = u.grams(gram)
@@ -112,7 +112,7 @@ def blocks(u: Units, raw: np.ndarray, width: int, gram: int, alive: np.ndarray):
     first, last = p[np.concatenate([[0], cut])], p[np.concatenate([cut - 1, [len(p) - 1]])]
     q = q[np.concatenate([[0], cut])]
     data = raw.tobytes()
-    for s, e, a, h in zip(first.tolist(), last.tolist(), q.tolist(), g[q].tolist()):
+    for s, e, a, h in zip(first.tolist(), last.tolist(), q.tolist(), spread(g[q]).tolist()):
         yield s, e, a, h.to_bytes(8, "big") + data[a : e + width], data[s:a][::-1]
 
 
