@@ -27,7 +27,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that shingles of five words link at 0.8 or more."""
+    """One document, that of the least doc_id, of each group that shingles of five words link at 0.8 or more; a row without doc_id stays."""
     found = overlap_join.join(docs, words=5, num=80, den=100)
     out = _without(docs, found.filter("component_id <> doc_id"))
     again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")

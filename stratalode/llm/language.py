@@ -61,9 +61,12 @@ class Model:
         self.log = np.log(counts / counts.sum(0))
 
     def __call__(self, text: str) -> np.ndarray:
-        """Log likelihoods, with the evidence of overlapping runs scaled to about one per word."""
+        """Log likelihoods of the whole text: its mean run, counted as an eighth of its runs (they overlap), 50 at most.
+
+        Runs of one text are far from independent; without the bound any other evidence would be nothing beside them.
+        """
         g = _grams(text.encode())
-        return self.log[g].sum(0) / 8 if len(g) else np.zeros(self.log.shape[1])
+        return self.log[g].mean(0) * min(len(g), 400) / 8 if len(g) else np.zeros(self.log.shape[1])
 
 
 def train(docs: DataFrame, rows: int = 4_000) -> Model:
@@ -117,7 +120,7 @@ def fuse(pages: DataFrame, docs: DataFrame, train_rows: int = 4_000, to_suffix:
     def counts(by: list[str], out: str) -> DataFrame:
         return t.groupBy(*by).agg(F.array(*[F.sum(F.col("q")[i]) for i in range(n)]).alias(out))
 
-    everything = counts([], "c_all").first()["c_all"] or [0.0] * n
+    everything = [x or 0.0 for x in counts([], "c_all").first()["c_all"]]
     base = [(x + 1) / (sum(everything) + n) for x in everything]
     all_ = F.array(*[F.lit(x) for x in base])
     tags = counts(["declared"], "c_tag").withColumnRenamed("declared", "_tag")

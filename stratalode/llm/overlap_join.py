@@ -64,8 +64,7 @@ def shingle_sets(texts: list[bytes], words: int):
             if e - s >= words:
                 yield np.unique(grams[s : e - words + 1])
             elif e > s:
-                short = u.sums[e] - u.sums[s]
-                yield mix(np.array([short], U64) * pow(_inverse(), s, 1 << 64) + U64(e - s))
+                yield mix((u.sums[e : e + 1] - u.sums[s : s + 1]) * U64(pow(_inverse(), s, 1 << 64)) + U64(e - s))
             else:
                 yield np.zeros(0, U64)
 
