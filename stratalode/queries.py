@@ -1,6 +1,309 @@
-"""The registered queries of the spatial and resource operators, and SQL for the same rows."""
+"""The registered queries of the spatial and resource operators, and SQL for the same rows.
+
+Floats are rounded to seven significant digits on both sides, as sums depend on their order. The SQL
+states the definition plainly; it does not repeat how the DataFrame operator gets there.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as X
+from .operators import eda
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+DIGITS = 6
+NUDGE = 1.0000000000123  # moves values off the middle between two rounded ones, where engines differ
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles with DIGITS digits after the first; NaN and infinities as null; counts as long."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float"):
+            c = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.format_string(f"%.{DIGITS}e", c * F.lit(NUDGE) + F.lit(0.0)).cast("double"))
+        elif kind == "int":
+            c = c.cast("long")
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def query(name: str, sql: str | None = None, floats: str = "") -> Callable:
+    """Register a function of (tables reader) as a query; `floats` names the columns that SQL must round."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(lambda t: read(spark, sf_dir, t)))
+        if sql:
+            r = ", ".join(f"case when isfinite({c}) then printf('%.{DIGITS}e', {c}::DOUBLE * {NUDGE}::DOUBLE + 0.0)::DOUBLE end as {c}" for c in floats.split())
+            ORACLES[name] = f"select * replace ({r}) from ({sql}) q" if r else sql
+        return f
+
+    return put
+
+
+# ---- statistics
+
+W = "l_quantity"
+BASE = "select l_extendedprice as v, l_quantity as w, l_returnflag as g from lineitem"
+BOTH = f"select v, w, g as category from ({BASE}) union all select v, w, 'all' from ({BASE})"
+CUTOFFS = (0.0, 5000.0, 20000.0, 40000.0, 80000.0)
+
+
+def quantile_sql(rows: str, by: str, q: float) -> str:
+    """The quantile from its definition: middles of ordered weights, linear between, constant outside."""
+    return f"""(with o as (select *, (sum(w) over (partition by {by} order by v, w rows unbounded preceding) - w / 2) / sum(w) over (partition by {by}) as p from ({rows}) where w > 0),
+a as (select {by}, max_by(v, (p, v)) as v0, max(p) as p0 from o where p <= {q} group by 1), b as (select {by}, min_by(v, (p, v)) as v1, min(p) as p1 from o where p > {q} group by 1)
+select {by}, case when v0 is null then v1 when v1 is null then v0 else v0 + (v1 - v0) * ({q} - p0) / (p1 - p0) end as q from a full join b using ({by}))"""
+
+
+_STATS = f"select category, count(*) as n, sum(w * v) / sum(w) as mean, sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2 as variance, min(v) as min, max(v) as max from ({BOTH}) group by category"
+
+
+@query(
+    "describe_by",
+    f"select s.category, n, mean, variance, sqrt(variance) as std, sqrt(variance) / mean as cv, min, max, " + ", ".join(f"q{k}.q as p{p}" for k, p in enumerate((10, 25, 50, 75, 90))) + f" from ({_STATS}) s " + " ".join(f"join {quantile_sql(BOTH, 'category', p / 100)} q{k} on q{k}.category = s.category" for k, p in enumerate((10, 25, 50, 75, 90))),
+    "mean variance std cv min max p10 p25 p50 p75 p90",
+)
+def _(t):
+    return eda.describe_by(t("lineitem"), "l_extendedprice", "l_returnflag", W)
+
+
+@query("describe", f"select n, mean, variance, sqrt(variance) as std, sqrt(variance) / mean as cv, min, max, a.q as p10, b.q as p50 from ({_STATS}) s join {quantile_sql(BOTH, 'category', 0.1)} a using (category) join {quantile_sql(BOTH, 'category', 0.5)} b using (category) where category = 'all'", "mean variance std cv min max p10 p50")
+def _(t):
+    return eda.describe(t("lineitem"), "l_extendedprice", W, (0.1, 0.5))
+
+
+_GT = f"select category, cutoff, sum(case when v >= cutoff then w else 0 end) as tonnage, sum(case when v >= cutoff then w * v else 0 end) as metal from ({BOTH}), (select unnest([{', '.join(map(str, CUTOFFS))}]::DOUBLE[]) as cutoff) group by 1, 2"
+
+
+@query("grade_tonnage", f"select *, case when tonnage > 0 then metal / tonnage end as mean from ({_GT})", "tonnage metal mean cutoff")
+def _(t):
+    return eda.grade_tonnage(t("lineitem"), "l_extendedprice", CUTOFFS, W, categories="l_returnflag")
+
+
+_CM = "select m, v, w from (select l_extendedprice as a, l_extendedprice * (1 - l_discount) as b, l_quantity as w from lineitem) unpivot (v for m in (a, b))"
+
+
+@query(
+    "compare_models",
+    f"with g as (select m as model, cutoff, sum(case when v >= cutoff then w else 0 end) as tonnage, sum(case when v >= cutoff then w * v else 0 end) as metal from ({_CM}), (select unnest([0, 30000.0, 60000.0]::DOUBLE[]) as cutoff) group by 1, 2) select g.model, g.cutoff, g.tonnage, g.metal, g.metal / nullif(g.tonnage, 0) as mean, (g.tonnage - r.tonnage) / r.tonnage as tonnage_diff, (g.metal - r.metal) / r.metal as metal_diff, (g.metal / g.tonnage - r.metal / r.tonnage) / (r.metal / r.tonnage) as mean_diff from g join g r on r.model = 'a' and r.cutoff = g.cutoff",
+    "cutoff tonnage metal mean tonnage_diff metal_diff mean_diff",
+)
+def _(t):
+    df = t("lineitem").select(F.col("l_extendedprice").alias("a"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("b"), "l_quantity")
+    return eda.compare_models(df, ["a", "b"], [0.0, 30000.0, 60000.0], weights=W)
+
+
+@query(
+    "domain_change",
+    "with c as (select distinct c from (select l_returnflag as c from lineitem union all select l_linestatus from lineitem)), g as (select l_returnflag as f, l_linestatus as t, sum(l_quantity) as w, sum(l_quantity * l_extendedprice) as m from lineitem group by 1, 2) select a.c as \"from\", b.c as \"to\", coalesce(w, 0) as tonnage, coalesce(m, 0) as metal, m / w as mean from c a cross join c b left join g on g.f = a.c and g.t = b.c",
+    "tonnage metal mean",
+)
+def _(t):
+    return eda.domain_change(t("lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice", W)
+
+
+EVENTS = "select user_id as h, date_diff('second', timestamp '2024-01-01', ts::timestamp) as d, event_type as c, value as v from events"
+
+
+def events(t) -> DataFrame:
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return t("events").select(F.col("user_id").alias("h"), seconds.cast("double").alias("d"), F.col("event_type").alias("c"), F.col("value").alias("v"))
+
+
+@query(
+    "transition_matrix",
+    f"with e as (select *, row_number() over () as r from ({EVENTS})), n as (select a.c as f, b.c as t, count(*) as n from e a join e b on a.h = b.h and b.d between a.d + 30000 and a.d + 50000 and a.r <> b.r group by 1, 2), k as (select distinct c from e) select x.c as \"from\", y.c as \"to\", coalesce(n, 0) as count, coalesce(n, 0)::DOUBLE / sum(n) over (partition by x.c) as frequency from k x cross join k y left join n on n.f = x.c and n.t = y.c",
+    "frequency",
+)
+def _(t):
+    return eda.transition_matrix(events(t), "d", "c", "h", 40000.0, 10000.0)
+
+
+@query("swath", "select floor(p_retailprice / 100)::BIGINT as slice, (floor(p_retailprice / 100) + 0.5) * 100 as center, count(*) as n, sum((p_partkey % 97) * p_size * 2.5) / sum(p_size * 2.5) as mean, sum(p_size * 2.5) as tonnage, sum((p_partkey % 97) * p_size * 2.5) as metal from part group by 1, 2", "center mean tonnage metal")
+def _(t):
+    return eda.swath(t("part"), "p_retailprice", F.col("p_partkey") % 97, 100.0, "p_size", 2.5)
+
+
+SAMPLES = "select vec_id as id, embedding[1]::DOUBLE * 100 as x, embedding[2]::DOUBLE * 100 as y, embedding[3]::DOUBLE * 100 as z, embedding[4]::DOUBLE as v, label as g, vec_id % 7 as h from embeddings"
+
+
+def samples(t) -> DataFrame:
+    e = [F.element_at("embedding", i + 1).cast("double") for i in range(4)]
+    return t("embeddings").select(F.col("vec_id").alias("id"), (e[0] * 100).alias("x"), (e[1] * 100).alias("y"), (e[2] * 100).alias("z"), e[3].alias("v"), F.col("label").alias("g"), (F.col("vec_id") % 7).alias("h"))
+
+
+@query(
+    "contact",
+    f"with s as (select * from ({SAMPLES}) where g in (1, 2)), n as (select a.id, a.g, a.v, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) as d from s a join s b on a.h = b.h and a.g <> b.g group by 1, 2, 3), k as (select *, least(floor(d / 7.3), 5)::BIGINT as k from n where d <= 43.8) select case when g = 1 then -k - 1 else k end as bin, (case when g = 1 then -k - 1 else k end + 0.5) * 7.3 as distance, count(*) as n, avg(v) as mean from k group by 1, 2",
+    "distance mean",
+)
+def _(t):
+    return eda.contact(samples(t), ["x", "y", "z"], "v", "g", "h", "1", "2", 43.8, 7.3)
+
+
+def _cap_sql(caps: str) -> str:
+    return f"with b as ({BASE}), c as ({caps}), m as (select cap, sum(case when v > cap then w else 0 end) / sum(w) as fraction, sum(w * v) / sum(w) as m0, sum(w * least(v, cap)) / sum(w) as mean, sum(w * least(v, cap) ** 2) / sum(w) as sq from b, c group by 1) select cap, fraction, 1 - mean / m0 as metal_removed, mean, sqrt(sq - mean ** 2) / mean as cv from m"
+
+
+@query("capping", _cap_sql("select unnest([30000.0, 60000.0, 90000.0]::DOUBLE[]) as cap"), "cap fraction metal_removed mean cv")
+def _(t):
+    return eda.capping(t("lineitem"), "l_extendedprice", [30000.0, 60000.0, 90000.0], W)
+
+
+_B1 = f"select v, w, 1 as k from ({BASE})"
+
+
+@query("capping_default", _cap_sql(" union all ".join(f"select q as cap from {quantile_sql(_B1, 'k', q)}" for q in eda.DEFAULT_CAPS)), "cap fraction metal_removed mean cv")
+def _(t):
+    return eda.capping(t("lineitem"), "l_extendedprice", None, W)
+
+
+_RC = f"select v, w, category, least(v, case o when 'A' then 50000.0 when 'N' then 70000.0 else 1e300 end) as c from (select v, w, g as category, g as o from ({BASE}) union all select v, w, 'all', g from ({BASE}))"
+
+
+@query(
+    "capping_report",
+    f"with r as ({_RC}), m as (select category, count(*) as n, sum(case when v > c then 1 else 0 end)::BIGINT as n_capped, sum(w * v) / sum(w) as mean_before, sum(w * v * v) / sum(w) as s1, max(v) as max_before, sum(w * c) / sum(w) as mean_after, sum(w * c * c) / sum(w) as s2, max(c) as max_after, sum((v - c) * w) as metal_capped from r group by 1) select category, n, mean_before, sqrt(s1 - mean_before ** 2) / mean_before as cv_before, max_before, mean_after, sqrt(s2 - mean_after ** 2) / mean_after as cv_after, max_after, n_capped, metal_capped from m",
+    "mean_before cv_before max_before mean_after cv_after max_after metal_capped",
+)
+def _(t):
+    return eda.capping_report(t("lineitem"), "l_extendedprice", {"A": 50000.0, "N": 70000.0}, "l_returnflag", W)
+
+
+@query("cap_by_quantile", f"select g as domain, q as cap from {quantile_sql(BASE, 'g', 0.97)}", "cap")
+def _(t):
+    return eda.cap_by_quantile(t("lineitem"), "l_extendedprice", 0.97, "l_returnflag", W)
+
+
+@query("cap_transform", f"select l_orderkey, l_returnflag, least(l_extendedprice, q) as capped from lineitem join {quantile_sql(BASE, 'g', 0.97)} c on c.g = l_returnflag", "capped")
+def _(t):
+    li = t("lineitem")
+    return eda.cap(li, "l_extendedprice", eda.cap_by_quantile(li, "l_extendedprice", 0.97, "l_returnflag", W), "l_returnflag").select("l_orderkey", "l_returnflag", "capped")
+
+
+@query("cap_by_metal_removed", f"with recursive b as ({BASE}), t as (select g, sum(w * v) as m from b group by 1), s as (select g, 0::DOUBLE as lo, max(v) as hi, 0 as i from b group by 1 union all select s.g, case when r > 0.05 then (lo + hi) / 2 else lo end, case when r > 0.05 then hi else (lo + hi) / 2 end, i + 1 from s, lateral (select 1 - sum(b.w * least(b.v, (s.lo + s.hi) / 2)) / max(t.m) as r from b join t on t.g = b.g where b.g = s.g) x where i < 45) select g as domain, hi as cap from s where i = 45", "cap")
+def _(t):
+    return eda.cap_by_rule(t("lineitem"), "l_extendedprice", "metal_removed", 0.05, "l_returnflag", W)
+
+
+_COLS = [("q", "l_quantity"), ("p", "l_extendedprice"), ("d", "l_discount")]
+
+
+def _corr_sql(f: str) -> str:
+    return " union all ".join(f"select '{b}' as a, '{d}' as b, count(*) as n, {f.format(x=x, y=y)} as value from lineitem" for i, (_, x) in enumerate(_COLS) for (_, y) in _COLS[i:] for b, d in ((x, y),))
+
+
+@query("correlation", _corr_sql("corr({x}, {y})"), "value")
+def _(t):
+    return eda.correlation(t("lineitem"), [c for _, c in _COLS])
+
+
+@query("covariance", _corr_sql("covar_pop({x}, {y})"), "value")
+def _(t):
+    return eda.correlation(t("lineitem"), [c for _, c in _COLS], method="covariance")
+
+
+_RANK = "select (rank() over (order by l_quantity) + count(*) over (partition by l_quantity) / 2.0) as a, (rank() over (order by l_extendedprice) + count(*) over (partition by l_extendedprice) / 2.0) as b from lineitem"
+
+
+@query("spearman", f"select 'l_quantity' as a, 'l_extendedprice' as b, count(*) as n, corr(q.a, q.b) as value from ({_RANK}) q union all select c, c, (select count(*) from lineitem), 1.0 from (values ('l_quantity'), ('l_extendedprice')) v(c)", "value")
+def _(t):
+    return eda.correlation(t("lineitem"), ["l_quantity", "l_extendedprice"], method="spearman")
+
+
+@query("compare", "select count(*) as n, avg(e - t) as mean_error, avg(abs(e - t)) as mean_absolute_error, sqrt(avg((e - t) ** 2)) as rmse, corr(e, t) as correlation, regr_slope(t, e) as slope from (select l_extendedprice as e, l_quantity * 1000 as t from lineitem)", "mean_error mean_absolute_error rmse correlation slope")
+def _(t):
+    return eda.compare(t("lineitem"), "l_extendedprice", F.col("l_quantity") * 1000)
+
+
+@query("global_bias", "select *, (estimate_mean - data_mean) / data_mean as relative_difference from (select sum(p_retailprice * p_size) / sum(p_size) as estimate_mean from part), (select sum(l_extendedprice / l_quantity * l_quantity) / sum(l_quantity) as data_mean from lineitem)", "estimate_mean data_mean relative_difference")
+def _(t):
+    return eda.global_bias(t("part"), "p_retailprice", t("lineitem"), F.col("l_extendedprice") / F.col("l_quantity"), "p_size", W)
+
+
+@query("classify", "select l_orderkey, l_partkey, case when l_quantity >= 40 and l_discount < 0.03 then 'measured' when l_quantity >= 20 then 'indicated' when l_quantity > 5 then 'inferred' else 'unclassified' end as class from lineitem")
+def _(t):
+    rules = [("measured", [("l_quantity", ">=", 40), ("l_discount", "<", 0.03)]), ("indicated", [("l_quantity", ">=", 20)]), ("inferred", [("l_quantity", ">", 5)])]
+    return eda.classify(t("lineitem"), rules).select("l_orderkey", "l_partkey", "class")
+
+
+_EDGES = [0.5, 10.5, 20.5, 30.5, 50.0, 70.0]
+_BIN = "case " + " ".join(f"when d >= {a} and d <{'=' if i == 4 else ''} {b} then {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " end"
+
+
+@query("paired_bias", f"with b as (select * from (values {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:])))}) v(bin, lower, upper)), g as (select {_BIN} as bin, count(*) as n, avg(a) as mean_a, avg(c) as mean_b from (select l_extendedprice as a, l_extendedprice * (1 - l_tax) as c, l_quantity as d from lineitem) group by 1) select b.bin, lower::DOUBLE as lower, upper::DOUBLE as upper, coalesce(n, 0) as n, mean_a, mean_b, mean_b / mean_a - 1 as bias from b left join g using (bin)", "lower upper mean_a mean_b bias")
+def _(t):
+    return eda.paired_bias(t("lineitem"), "l_extendedprice", F.col("l_extendedprice") * (1 - F.col("l_tax")), "l_quantity", _EDGES)
+
+
+_CURVE = "select l_quantity as d, l_tax * 2 + l_quantity / 1000 as v, 1.0::DOUBLE as w from lineitem"
+_CB = f"select v, w, {_BIN} as bin from ({_CURVE}) where {_BIN} is not null"
+
+
+@query(
+    "uncertainty_curve",
+    f"with g as (select {_BIN} as bin, avg(d) as spacing, count(*) as n, avg(case when v <= 0.15 then 1.0 else 0.0 end) as share from ({_CURVE}) where {_BIN} is not null group by 1) select g.bin, spacing, n, max(a.q) over (order by g.bin) as p50, max(b.q) over (order by g.bin) as p90, share from g join {quantile_sql(_CB, 'bin', 0.5)} a using (bin) join {quantile_sql(_CB, 'bin', 0.9)} b using (bin) where n >= 8",
+    "spacing p50 p90 share",
+)
+def _(t):
+    return eda.uncertainty_curve(t("lineitem"), "l_quantity", F.col("l_tax") * 2 + F.col("l_quantity") / 1000, _EDGES)
+
+
+@query("vertical_proportions", "with t as (select floor(p_size / 10)::BIGINT as slice, p_brand as category, p_retailprice as w from part), g as (select slice, category, sum(w) as w from t group by 1, 2) select s.slice, c.category, coalesce(w, 0) / sum(w) over (partition by s.slice) as share from (select distinct slice from t) s cross join (select distinct category from t) c left join g on g.slice = s.slice and g.category = c.category", "share")
+def _(t):
+    return eda.vertical_proportions(t("part"), "p_size", "p_brand", 10.0, "p_retailprice")
+
+
+@query(
+    "validate_model",
+    "with r as (select 'naive' as kind, l_extendedprice as v, 1.0 as w, l_returnflag as c from lineitem union all select 'declustered', l_extendedprice, l_quantity, l_returnflag from lineitem union all select 'model', l_extendedprice * 0.9 + 1000, 1.0, l_returnflag from lineitem), b as (select kind, v, w, c as category from r union all select kind, v, w, 'all' from r), m as (select kind, category, count(*) as n, sum(w * v) / sum(w) as mean, sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) ** 2 as variance from b group by 1, 2) select m.category, m.kind, m.n, m.mean, m.variance, (m.mean - d.mean) / d.mean as mean_diff, m.variance / d.variance as variance_ratio from m join m d on d.kind = 'declustered' and d.category = m.category",
+    "mean variance mean_diff variance_ratio",
+)
+def _(t):
+    li = t("lineitem")
+    return eda.validate_model(li.withColumn("m", F.col("l_extendedprice") * 0.9 + 1000), "m", li, "l_extendedprice", W, "l_returnflag")
+
+
+# ---- compositions
+
+PARTS = [F.col("l_quantity"), 1 + 100 * F.col("l_discount"), 1 + 100 * F.col("l_tax")]
+SQL_PARTS = "select l_orderkey as k, l_partkey as p, l_quantity as a, 1 + 100 * l_discount as b, 1 + 100 * l_tax as c from lineitem"
+_G = "(ln(a) + ln(b) + ln(c)) / 3"
+
+
+def _coda(name: str, build, sql: str, n: int) -> None:
+    names = [f"y{i}" for i in range(n)]
+
+    def f(t):
+        made = build(PARTS)
+        made = made if isinstance(made, list) else [made]
+        return t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), *[c.alias(x) for c, x in zip(made, names)])
+
+    query(name, f"select k, p, {sql} from ({SQL_PARTS})", " ".join(names))(f)
+
+
+_coda("closure", lambda p: X.closure(p), "a / (a + b + c) as y0, b / (a + b + c) as y1, c / (a + b + c) as y2", 3)
+_coda("clr", lambda p: X.clr(p), f"ln(a) - {_G} as y0, ln(b) - {_G} as y1, ln(c) - {_G} as y2", 3)
+_coda("clr_inverse", lambda p: X.clr_inverse([x / 100 for x in p]), "exp(a / 100) / (exp(a / 100) + exp(b / 100) + exp(c / 100)) as y0, exp(b / 100) / (exp(a / 100) + exp(b / 100) + exp(c / 100)) as y1, exp(c / 100) / (exp(a / 100) + exp(b / 100) + exp(c / 100)) as y2", 3)
+_coda("alr", lambda p: X.alr(p), "ln(a / c) as y0, ln(b / c) as y1", 2)
+_coda("alr_inverse", lambda p: X.alr_inverse([x / 10 for x in p[:2]]), "exp(a / 10) / (exp(a / 10) + exp(b / 10) + 1) as y0, exp(b / 10) / (exp(a / 10) + exp(b / 10) + 1) as y1, 1 / (exp(a / 10) + exp(b / 10) + 1) as y2", 3)
+_coda("ilr", lambda p: X.ilr(p), "sqrt(0.5::DOUBLE) * ln(a / b) as y0, sqrt(2.0::DOUBLE / 3) * ((ln(a) + ln(b)) / 2 - ln(c)) as y1", 2)
+_coda("ilr_inverse", lambda p: X.ilr_inverse(X.ilr(p)), "a / (a + b + c) as y0, b / (a + b + c) as y1, c / (a + b + c) as y2", 3)
+_coda("ilr_basis", lambda p: X.ilr(p, X.partition_basis([[1, 1, -1], [1, -1, 0]])), "sqrt(2.0::DOUBLE / 3) * ((ln(a) + ln(b)) / 2 - ln(c)) as y0, sqrt(0.5::DOUBLE) * ln(a / b) as y1", 2)
+_coda("replace_below_detection", lambda p: X.replace_below_detection(p, [2.0, 3.0, 3.0]), ", ".join(f"case when {x} < {d} then 0.65 * {d} else {x} * (s - (r - u)) / s end as y{i}" for i, (x, d) in enumerate(zip("abc", (2, 3, 3)))), 3)
+ORACLES["replace_below_detection"] = ORACLES["replace_below_detection"].replace(f"from ({SQL_PARTS})", f"from (select *, case when a < 2 then 0 else a end + case when b < 3 then 0 else b end + case when c < 3 then 0 else c end as s, case when a < 2 then 1.3 else 0 end + case when b < 3 then 1.95 else 0 end + case when c < 3 then 1.95 else 0 end as r, case when a < 2 then a else 0 end + case when b < 3 then b else 0 end + case when c < 3 then c else 0 end as u from ({SQL_PARTS}))")
+_coda("perturbation", lambda p: X.perturbation(p, [p[1], p[2], p[0]]), "a * b / (a * b + b * c + c * a) as y0, b * c / (a * b + b * c + c * a) as y1, c * a / (a * b + b * c + c * a) as y2", 3)
+_coda("powering", lambda p: X.powering(p, 1.7), "a ** 1.7 / (a ** 1.7 + b ** 1.7 + c ** 1.7) as y0, b ** 1.7 / (a ** 1.7 + b ** 1.7 + c ** 1.7) as y1, c ** 1.7 / (a ** 1.7 + b ** 1.7 + c ** 1.7) as y2", 3)
+_coda("aitchison_inner_product", lambda p: X.aitchison_inner_product(p, [p[1], p[2], p[0]]), f"(ln(a) - {_G}) * (ln(b) - {_G}) + (ln(b) - {_G}) * (ln(c) - {_G}) + (ln(c) - {_G}) * (ln(a) - {_G}) as y0", 1)
+_coda("aitchison_norm", lambda p: X.aitchison_norm(p), f"sqrt((ln(a) - {_G}) ** 2 + (ln(b) - {_G}) ** 2 + (ln(c) - {_G}) ** 2) as y0", 1)
+_coda("aitchison_distance", lambda p: X.aitchison_distance(p, [p[1], p[2], p[0]]), "sqrt((ln(a) - ln(b)) ** 2 + (ln(b) - ln(c)) ** 2 + (ln(c) - ln(a)) ** 2) as y0", 1)
