@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast
 
-#: Fixed value: a word, before A-Z are lower-cased (which makes no word longer or shorter).
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased (which makes none longer or shorter): 0-9, A-Z, a-z and all beyond ASCII.
+#: Two named classes, as six ranges take Java's matcher six times as long.
+TERM = r"[\p{Alnum}\P{ASCII}]+"
 
 
 def low(text: Column) -> Column:
