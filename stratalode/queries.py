@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
-from .operators import eda
+from .operators import eda, holes, spatial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -307,3 +307,210 @@ _coda("powering", lambda p: X.powering(p, 1.7), "a ** 1.7 / (a ** 1.7 + b ** 1.7
 _coda("aitchison_inner_product", lambda p: X.aitchison_inner_product(p, [p[1], p[2], p[0]]), f"(ln(a) - {_G}) * (ln(b) - {_G}) + (ln(b) - {_G}) * (ln(c) - {_G}) + (ln(c) - {_G}) * (ln(a) - {_G}) as y0", 1)
 _coda("aitchison_norm", lambda p: X.aitchison_norm(p), f"sqrt((ln(a) - {_G}) ** 2 + (ln(b) - {_G}) ** 2 + (ln(c) - {_G}) ** 2) as y0", 1)
 _coda("aitchison_distance", lambda p: X.aitchison_distance(p, [p[1], p[2], p[0]]), "sqrt((ln(a) - ln(b)) ** 2 + (ln(b) - ln(c)) ** 2 + (ln(c) - ln(a)) ** 2) as y0", 1)
+
+
+# ---- space
+
+_P = f"select a.id as i, b.id as j, a.v as v, b.v as w, a.g as g, b.g as k, a.h as h, b.h as l, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from ({SAMPLES}) a, ({SAMPLES}) b"
+TARGETS = "select p_partkey as id, p_size * 2.0 - 50 as x, (p_partkey % 41) * 2.0 - 40 as y, (p_partkey % 17) * 2.0 - 16 as z from part where p_partkey <= 300"
+_T = f"select t.id as id, s.id as j, s.v as v, s.h as h, sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2) as d from ({TARGETS}) t, ({SAMPLES}) s"
+
+
+def targets(t) -> DataFrame:
+    k = F.col("p_partkey")
+    return t("part").filter(k <= 300).select(k.alias("id"), (F.col("p_size") * 2.0 - 50).alias("x"), ((k % 41) * 2.0 - 40).alias("y"), ((k % 17) * 2.0 - 16).alias("z"))
+
+
+XYZ = ["x", "y", "z"]
+_NEAR = f"select *, row_number() over (partition by id order by d, j) as r from ({_T}) where d <= 30"
+
+
+def _interpolation(name: str, sql: str) -> None:
+    @query(f"estimate_{name}", f"with n as (select * from ({_NEAR}) where r <= 8), e as (select id, count(*) as n, {sql} as estimate from n group by 1) select t.id, case when n >= 2 then estimate end as estimate, coalesce(n, 0) as n from ({TARGETS}) t left join e using (id)", "estimate")
+    def _(t):
+        return spatial.interpolate(targets(t), samples(t), XYZ, "v", 30.0, 8, 2, name, target_id="id", data_id="id")
+
+
+_interpolation("nearest", "min_by(v, r)")
+_interpolation("idw", "sum(v / d ** 2) / sum(1 / d ** 2)")
+_interpolation("average", "avg(v)")
+_interpolation("median", "median(v)")
+
+
+@query("neighborhood_stats", f"with w as (select id, count(*) as n_within, count(distinct h) as n_holes from ({_T}) where d <= 30 group by 1), k as (select id, min(d) as nearest, avg(d) as mean_distance, max(d) as max_distance, avg(v) as mean, var_pop(v) as variance, min(v) as min, max(v) as max, sum(v / d ** 2) / sum(1 / d ** 2) as idw from ({_NEAR}) where r <= 8 group by 1) select t.id, coalesce(n_within, 0) as n_within, coalesce(n_holes, 0) as n_holes, k.* exclude (id) from ({TARGETS}) t left join w using (id) left join k using (id)", "nearest mean_distance max_distance mean variance min max idw")
+def _(t):
+    return spatial.neighborhood_stats(targets(t), samples(t), XYZ, "v", 30.0, 8, "h", "id", "id")
+
+
+@query("hole_distance", f"with p as (select id, h, min(d) as d from ({_T}) where d <= 30 group by 1, 2), r as (select *, row_number() over (partition by id order by d, h) as r from p), g as (select id, count(*) as n, avg(d) as d from r where r <= 3 group by 1) select t.id, case when n >= 3 then d end as distance from ({TARGETS}) t left join g using (id)", "distance")
+def _(t):
+    return spatial.hole_distance(targets(t), samples(t), XYZ, "h", 3, 30.0, "id", "id")
+
+
+@query("data_spacing", f"select t.id, sqrt(4.0 / 3 * pi() * 27000 / 2.5 / n) as spacing from ({TARGETS}) t left join (select id, count(*) as n from ({_T}) where d <= 30 group by 1) using (id)", "spacing")
+def _(t):
+    return spatial.data_spacing(targets(t), samples(t), XYZ, 30.0, 2.5, "id", "id")
+
+
+@query("duplicates", f"with recursive p as (select i, j from ({_P}) where i <> j and d <= 11.3), r as (select i, i as j from p union select r.i, p.j from r join p on r.j = p.i) select i as id, min(j) as \"group\" from r group by 1")
+def _(t):
+    return spatial.duplicates(samples(t), XYZ, 11.3, "id")
+
+
+@query("nearest_pairs", f"select i as a, j as b, d as distance from (select *, row_number() over (partition by i order by d, j) as r from ({_P}) where g = 1 and k = 2 and d <= 40) where r = 1", "distance")
+def _(t):
+    s = samples(t)
+    return spatial.nearest_pairs(s.filter("g = 1"), s.filter("g = 2"), XYZ, 40.0, "id", "id")
+
+
+@query("unique_pairs")
+def _(t):
+    s = samples(t)
+    return spatial.unique_pairs(s.filter("g = 1"), s.filter("g = 2"), XYZ, 40.0, "id", "id")
+
+
+@query("soft_boundary", f"with s as ({SAMPLES}), n as (select distinct i, v from ({_P}) where g <> 3 and k = 3 and d <= 20), r as (select 'hard' as boundary, v, 1.0 as w from s where g = 3 union all select 'soft', v, 1.0 from s where g = 3 union all select 'soft', v, 1.0 from n) select boundary, count(*) as n, avg(v) as mean, var_pop(v) as variance, any_value(q) as q0 from r join {quantile_sql('select boundary, v, w from r', 'boundary', 0.5)} x using (boundary) group by 1", "mean variance q0")
+def _(t):
+    return spatial.soft_boundary(samples(t), XYZ, "v", "g", "3", 20.0, "id")
+
+
+LAG, TOP = 7.3, 43.8
+_B = f"least(floor(d / {LAG}), {round(TOP / LAG) - 1})::BIGINT"
+_PAIRS = f"select * from ({_P}) where i < j and d > 0 and d <= {TOP}"
+_CONE = f"{_PAIRS} and abs(dx * sin(radians(35)) + dy * cos(radians(35))) >= d * cos(radians(40)) - 1e-12"
+
+
+def _variogram(name: str, gamma: str, source: str = _PAIRS, more: str = "", **options) -> None:
+    @query(name, f"select bin, (bin + 0.5) * {LAG} as lag, distance, pairs, {more or 'gamma'} as gamma from (select {_B} as bin, avg(d) as distance, count(*) as pairs, {gamma} as gamma from ({source}) group by 1)", "lag distance gamma")
+    def _(t):
+        return spatial.experimental_variogram(samples(t), XYZ, "v", LAG, TOP, "id", **options)
+
+
+_VAR = f"(select var_pop(v) from ({SAMPLES}))"
+_variogram("variogram_matheron", "sum((v - w) ** 2) / (2 * count(*))")
+_variogram("variogram_standardized", "sum((v - w) ** 2) / (2 * count(*))", more=f"gamma / {_VAR}", standardize=True)
+_variogram("variogram_directional", "sum((v - w) ** 2) / (2 * count(*))", _CONE, azimuth=35.0, tolerance=40.0)
+_variogram("variogram_bandwidth", "sum((v - w) ** 2) / (2 * count(*))", f"{_CONE} and sqrt(greatest(d ** 2 - (dx * sin(radians(35)) + dy * cos(radians(35))) ** 2, 0)) <= 15.1", azimuth=35.0, tolerance=40.0, bandwidth=15.1)
+_variogram("variogram_cressie_hawkins", "0.5 * (sum(sqrt(abs(v - w))) / count(*)) ** 4 / (0.457 + 0.494 / count(*) + 0.045 / count(*) ** 2)", estimator="cressie_hawkins")
+_variogram("variogram_madogram", "sum(abs(v - w)) / (2 * count(*))", estimator="madogram")
+_variogram("variogram_pairwise_relative", "sum(case when v + w > 0 then (v - w) ** 2 / ((v + w) / 2) ** 2 end) / (2 * sum(case when v + w > 0 then 1 end))", estimator="pairwise_relative")
+_variogram("variogram_covariance", "avg(v * w) - (sum(v + w) / (2 * count(*))) ** 2", more=f"{_VAR} - gamma", estimator="covariance")
+_variogram("variogram_correlogram", "1 - (avg(v * w) - (sum(v + w) / (2 * count(*))) ** 2) / (sum(v ** 2 + w ** 2) / (2 * count(*)) - (sum(v + w) / (2 * count(*))) ** 2)", estimator="correlogram")
+
+
+@query("variogram_cross", f"select bin, (bin + 0.5) * {LAG} as lag, distance, pairs, gamma from (select {_B} as bin, avg(d) as distance, count(*) as pairs, sum((w - v) * (k - g)) / (2 * count(*)) as gamma from ({_PAIRS}) group by 1)", "lag distance gamma")
+def _(t):
+    return spatial.experimental_variogram(samples(t), XYZ, "v", LAG, TOP, "id", other="g")
+
+
+@query("variogram_downhole", f"select * from (select floor(d / {LAG} + 0.5)::BIGINT - 1 as bin, avg(d) as lag, count(*) as pairs, sum((v - w) ** 2) / (2 * count(*)) as gamma from ({_PAIRS}) where h = l group by 1) where bin >= 0", "lag gamma")
+def _(t):
+    return spatial.downhole_variogram(samples(t), XYZ, "v", LAG, TOP, "h", "id")
+
+
+@query("dissemination", f"select bin, (bin + 0.5) * {LAG} as lag, sqrt(pi()) * m / sqrt(g) as dissemination from (select {_B} as bin, sum(abs(v - w)) / (2 * count(*)) as m, sum((v - w) ** 2) / (2 * count(*)) as g from ({_PAIRS}) group by 1)", "lag dissemination")
+def _(t):
+    s = samples(t)
+    return spatial.dissemination(spatial.experimental_variogram(s, XYZ, "v", LAG, TOP, "id", "madogram"), spatial.experimental_variogram(s, XYZ, "v", LAG, TOP, "id"))
+
+
+@query("h_scatter", f"select count(*) as n, corr(v, w) as correlation from ({_P}) where i <> j and abs(d - 25) <= 5 and dx * sin(radians(35)) + dy * cos(radians(35)) >= d * cos(radians(40)) - 1e-12", "correlation")
+def _(t):
+    return spatial.h_scatter(samples(t), XYZ, "v", 25.0, 5.0, "id", 35.0, 0.0, 40.0)
+
+
+@query("variogram_map", f"select floor((degrees(atan2(dx, dy)) + 360) % 180 / 15)::BIGINT as sector, {_B} as bin, count(*) as pairs, sum((v - w) ** 2) / (2 * count(*)) as gamma from ({_PAIRS}) group by 1, 2", "gamma")
+def _(t):
+    return spatial.variogram_map(samples(t), XYZ, "v", LAG, TOP, "id", 12)
+
+
+@query("variogram_volume", f"with f as (select case when dx < 0 or dx = 0 and (dy < 0 or dy = 0 and dz < 0) then -1 else 1 end as s, * from ({_PAIRS})) select floor(dx * s / {LAG} + 0.5)::BIGINT as ix, floor(dy * s / {LAG} + 0.5)::BIGINT as iy, floor(dz * s / {LAG} + 0.5)::BIGINT as iz, count(*) as pairs, sum((v - w) ** 2) / (2 * count(*)) as gamma from f group by 1, 2, 3", "gamma")
+def _(t):
+    return spatial.variogram_volume(samples(t), XYZ, "v", LAG, TOP, "id")
+
+
+@query("experimental_transiogram", f"with p as (select {_B} as bin, g::VARCHAR as f, k::VARCHAR as t, count(*) as n from ({_P}) where i <> j and d > 0 and d <= {TOP} group by 1, 2, 3), c as (select distinct g::VARCHAR as c from ({SAMPLES})) select b.bin, x.c as \"from\", y.c as \"to\", coalesce(n, 0) as count, coalesce(coalesce(n, 0)::DOUBLE / nullif(sum(n) over (partition by b.bin, x.c), 0), 0) as probability from (select distinct bin from p) b cross join c x cross join c y left join p on p.bin = b.bin and p.f = x.c and p.t = y.c", "probability")
+def _(t):
+    return spatial.experimental_transiogram(samples(t), XYZ, "g", LAG, TOP, "id")
+
+
+# ---- drill holes
+
+_O = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity"
+ASSAYS = f"select l_orderkey as HOLE_ID, (sum(l_quantity) over w) - l_quantity as \"FROM\", sum(l_quantity) over w as \"TO\", case when l_linenumber <> 3 then l_extendedprice / l_quantity end as au, l_returnflag as dom from lineitem where l_orderkey % 4 = 1 window w as (partition by l_orderkey order by {_O} rows unbounded preceding)"
+GEOLOGY = f"select HOLE_ID, k * 30.0::DOUBLE as \"FROM\", least((k + 1) * 30.0::DOUBLE, e) as \"TO\", (HOLE_ID + k) % 4 as lith from (select HOLE_ID, max(\"TO\") as e, unnest(generate_series(0, ceil(max(\"TO\") / 30)::BIGINT - 1)) as k from ({ASSAYS}) group by HOLE_ID)"
+
+
+def assays(t) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy(*_O.split(", ")).rowsBetween(Window.unboundedPreceding, 0)
+    li = t("lineitem").filter("l_orderkey % 4 = 1").withColumn("TO", F.sum("l_quantity").over(w))
+    return li.select(F.col("l_orderkey").alias("HOLE_ID"), (F.col("TO") - F.col("l_quantity")).alias("FROM"), "TO", F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / F.col("l_quantity")).alias("au"), F.col("l_returnflag").alias("dom"))
+
+
+def geology(t) -> DataFrame:
+    e = assays(t).groupBy("HOLE_ID").agg(F.max("TO").alias("e"))
+    k = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("e") / 30).cast("int") - 1)))
+    return k.select("HOLE_ID", (F.col("k") * 30.0).alias("FROM"), F.least((F.col("k") + 1) * 30.0, F.col("e")).alias("TO"), ((F.col("HOLE_ID") + F.col("k")) % 4).alias("lith"))
+
+
+@query("merge_intervals", f"with a as ({ASSAYS}), g as ({GEOLOGY}), c as (select HOLE_ID, \"FROM\" as d from a union select HOLE_ID, \"TO\" from a union select HOLE_ID, \"FROM\" from g union select HOLE_ID, \"TO\" from g), p as (select HOLE_ID, d as f, lead(d) over (partition by HOLE_ID order by d) as t from c) select p.HOLE_ID, f as \"FROM\", t as \"TO\", au, dom, lith from p left join a on a.HOLE_ID = p.HOLE_ID and a.\"FROM\" <= (f + t) / 2 and (f + t) / 2 < a.\"TO\" left join g on g.HOLE_ID = p.HOLE_ID and g.\"FROM\" <= (f + t) / 2 and (f + t) / 2 < g.\"TO\" where t is not null and (a.HOLE_ID is not null or g.HOLE_ID is not null)", "au")
+def _(t):
+    return holes.merge_intervals(assays(t), geology(t))
+
+
+_UNIT = f"select HOLE_ID, run, dom, au, d, (row_number() over (partition by HOLE_ID, run order by d) - 1) // 20 as k, max(n) over (partition by HOLE_ID, run) as n from (select a.*, unnest(generate_series(\"FROM\"::BIGINT, \"TO\"::BIGINT - 1)) as d, sum(\"TO\" - \"FROM\") over (partition by HOLE_ID, run) as n from (select *, sum(b) over (partition by HOLE_ID order by \"FROM\") as run from (select *, case when dom is distinct from lag(dom) over (partition by HOLE_ID order by \"FROM\") then 1 else 0 end as b from ({ASSAYS}))) a)"
+
+
+def _composites(residual: str, fix: str, where: str = "true") -> None:
+    @query(f"composite_{residual}", f"select HOLE_ID, min(d)::DOUBLE as \"FROM\", max(d)::DOUBLE + 1 as \"TO\", count(*)::DOUBLE as length, any_value(dom) as dom, avg(au) as au, count(au)::DOUBLE as au_length from (select *, {fix} as k2 from ({_UNIT}) where {where}) group by HOLE_ID, run, k2 having count(au) > 0", "au")
+    def _(t):
+        return holes.composite(assays(t), 20.0, ["au"], domain="dom", residual=residual)
+
+
+_TAIL = "(k = ceil(n / 20) - 1 and n - k * 20 < 10)"  # whole metres make this plain: each is one row
+_composites("keep", "k")
+_composites("drop", "k", f"not {_TAIL}")
+_composites("merge", f"case when {_TAIL} and k > 0 then k - 1 else k end")
+
+_ST = "select o_orderkey as h, s::DOUBLE as depth, radians((o_orderkey * 37 + s) % 360) as a, radians(45 + o_orderkey % 45) as dip, o_custkey::DOUBLE as x0 from orders, (select unnest([0, 40, 80]) as s) where o_orderkey % 4 = 1"
+_DIR = f"select *, cos(dip) * sin(a) as u, cos(dip) * cos(a) as v, -sin(dip) as w from ({_ST})"
+_STEP = f"select *, lag(depth) over (partition by h order by depth) as d0, lag(u) over (partition by h order by depth) as u0, lag(v) over (partition by h order by depth) as v0, lag(w) over (partition by h order by depth) as w0 from ({_DIR})"
+
+
+def surveys(t):
+    o = t("orders").filter("o_orderkey % 4 = 1")
+    c = o.select(F.col("o_orderkey").alias("HOLE_ID"), F.col("o_custkey").cast("double").alias("X"), F.lit(0.0).alias("Y"), F.lit(0.0).alias("Z"))
+    s = o.select(F.col("o_orderkey").alias("HOLE_ID"), F.explode(F.array(F.lit(0), F.lit(40), F.lit(80))).alias("DEPTH"))
+    s = s.withColumn("AZIMUTH", (F.col("HOLE_ID") * 37 + F.col("DEPTH")) % 360).withColumn("DIP", 45 + F.col("HOLE_ID") % 45)
+    return c, s
+
+
+def _desurvey(method: str, m: str) -> None:
+    move = ", ".join(f"coalesce(sum({m.format(c=c)}) over (partition by h order by depth), 0) {'+ x0' if n == 'x' else ''} as {n}" for n, c in zip("xyz", "uvw"))
+
+    @query(f"desurvey_{method}", f"select h as hole, depth, {move}, u, v, w from (select *, depth - d0 as s, 2 * asin(least(1, sqrt((u - u0) ** 2 + (v - v0) ** 2 + (w - w0) ** 2) / 2)) as beta from ({_STEP}))", "x y z u v w")
+    def _(t):
+        return holes.desurvey(*surveys(t), method=method)
+
+
+_desurvey("minimum_curvature", "({c} + {c}0) / 2 * s * case when beta < 1e-9 then 1 else 2 / beta * tan(beta / 2) end")
+_desurvey("balanced", "({c} + {c}0) / 2 * s")
+_desurvey("tangential", "{c}0 * s")
+
+
+@query("samples_at_midpoints", f"with p as (select h, depth, coalesce(sum(u0 * (depth - d0)) over (partition by h order by depth), 0) + x0 as x, coalesce(sum(v0 * (depth - d0)) over (partition by h order by depth), 0) as y, coalesce(sum(w0 * (depth - d0)) over (partition by h order by depth), 0) as z, u, v, w from ({_STEP})), a as (select HOLE_ID, (\"FROM\" + \"TO\") / 2 as d, au from ({ASSAYS})) select HOLE_ID as hole, d as depth, au, x + u * (d - depth) as x, y + v * (d - depth) as y, z + w * (d - depth) as z from a join p on p.h = a.HOLE_ID and p.depth = (select max(q.depth) from p q where q.h = a.HOLE_ID and q.depth <= a.d)", "au x y z")
+def _(t):
+    return holes.samples(holes.desurvey(*surveys(t), method="tangential"), assays(t), keep=["au"])
+
+
+@query("ore_runs")
+def _(t):
+    return holes.runs(assays(t), "au", 1200.0, 20.0, 15.0)
+
+
+@query("check_intervals", f"with a as (select *, \"TO\" + case when HOLE_ID % 5 = 0 then 0 else 0 end as t2 from ({ASSAYS})) select HOLE_ID, \"FROM\", \"TO\", au, dom, false as missing, false as no_collar, false as inverted, false as negative, false as duplicate, false as past_depth, coalesce(au = 1000.5, false) as sentinel, coalesce(au < 0, false) as negative_grade, false as overlap, false as gap from a", "au")
+def _(t):
+    a = assays(t)
+    return holes.check_intervals(a, a.select("HOLE_ID").distinct(), grades=["au"], nodata=[1000.5])
