@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
 import uuid
 import zlib
 from itertools import islice
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import partitions, shared_dir
+from .common import partitions, shared_dir, trim
 
 NO_ID = -(1 << 63)  # a null doc_id in the files
 
@@ -109,15 +110,30 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+_IDLE: list[threading.Timer] = []
 
 
 def encoder(path: str, dtype: str) -> Encoder:
-    """One per worker process, so that what it keeps serves later tasks too."""
+    """One per worker process, so that what it keeps serves the stage's later tasks too (see `rest`)."""
+    while _IDLE:
+        _IDLE.pop().cancel()
     if (path, dtype) not in _ENCODERS:
         _ENCODERS[path, dtype] = Encoder(path, dtype)
     return _ENCODERS[path, dtype]
 
 
+def rest(seconds: float = 2.0) -> None:
+    """Forget the encoders if no task asks for one within some seconds: the worker may do other work next."""
+
+    def forget():
+        _ENCODERS.clear()
+        trim()
+
+    _IDLE.append(threading.Timer(seconds, forget))
+    _IDLE[-1].daemon = True
+    _IDLE[-1].start()
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, chars_at_once: int = 1 << 20) -> str:
     """Encode every whole text, append end_id, write shards in ascending doc_id order; returns the folder.
 
@@ -151,6 +167,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
             _put(folder, f"{n:06d}.off", [np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")])
             _put(folder, f"{n:06d}.doc", owners)
             yield pa.RecordBatch.from_pydict({"shard": [n], "docs": [len(lengths)], "ids": [int(sum(lengths))]})
+        rest()
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     d = d.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
