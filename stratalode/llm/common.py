@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,20 @@ def partitions(df: DataFrame, bytes_each: int = 24 << 20) -> int:
     return max(set_, min(1_000_000, size // bytes_each)) if size < 1 << 60 else set_
 
 
+def buckets(df: DataFrame, n: int, bytes_each: int = 16 << 20) -> int:
+    """Bits of hash ranges by the size of the input, so that what a task sends to each range stays worth a row."""
+    size = input_bytes(df)
+    return max(3, min(24, (size // bytes_each).bit_length())) if size < 1 << 60 else (2 * n - 1).bit_length()
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """A broadcast hint only where the counted rows stay under `limit`; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks, beside its executor's heap."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, partitions
+from .common import buckets, cut, maybe_broadcast, partitions, trim
 from .repeats import U64, mix, word_batches
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -107,16 +107,50 @@ def _encoded(column) -> list[bytes]:
     return [(x or "").encode() for x in column.to_pylist()]
 
 
-SIGS = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
+SIGS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+
+
+def pack(sigs: list[np.ndarray], keys: list[int], bits: int) -> list[tuple[int, bytes]]:
+    """Signatures of some sets by bucket, their top bits: keys, counts, and 40 more bits of each signature.
+
+    A signature only proposes what the search then decides, so 40 bits beside the bucket's do, and a
+    set's key stands once for all its signatures in a bucket.
+    """
+    s, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+    bucket = (s >> U64(64 - bits)).astype(np.int64)
+    order = np.lexsort((owner, bucket))
+    s, owner, bucket = s[order], owner[order], bucket[order]
+    five = np.ascontiguousarray((s << U64(bits)) >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+    named, out = np.array(keys, np.int64), []
+    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
+    for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        if y > x:
+            who, n = np.unique(owner[x:y], return_counts=True)
+            out.append((b, np.array([len(who)], "<i8").tobytes() + named[who].tobytes() + n.astype("<u4").tobytes() + five[x:y].tobytes()))
+    return out
+
+
+def unpack(blobs: list[bytes]) -> np.ndarray:
+    """Rows (signature, key)."""
+    out = []
+    for b in blobs:
+        n = int(np.frombuffer(b, "<i8", 1)[0])
+        keys, counts = np.frombuffer(b, "<i8", n, 8), np.frombuffer(b, "<u4", n, 8 + 8 * n)
+        sigs = np.zeros((int(counts.sum()), 8), np.uint8)
+        sigs[:, :5] = np.frombuffer(b, np.uint8, 5 * len(sigs), 8 + 12 * n).reshape(-1, 5)
+        out.append(np.stack([sigs.view("<i8").ravel(), np.repeat(keys, counts)], axis=1))
+    return np.concatenate(out)
+
+
 GROUPS = pa.schema([("gid", pa.int64()), ("key", pa.int64()), ("leader", pa.int64())])
 
 
 def groups_of(table: pa.Table) -> pa.Table:
     """Of each signature that several sets have: the sets, under a name of that list, and the first of them."""
-    pairs = np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.int64).reshape(-1, 2)
+    pairs = unpack(table.column("packed").to_pylist())
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    pairs = pairs[np.concatenate([[True], (np.diff(pairs, axis=0) != 0).any(axis=1)])] if len(pairs) else pairs
-    first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else np.zeros(0, bool)
+    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
+    first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
     at = np.flatnonzero(first)
     size = np.diff(np.append(at, len(pairs)))
     at, size = at[size > 1], size[size > 1]
@@ -265,7 +299,7 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
 
     named = cut(d.mapInArrow(name, "doc_id long, n_shingles long, key long"))
     classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    bits = max(2, (2 * n - 1).bit_length())
+    bits = buckets(docs, n)
 
     def sign(batches):
         seen: set[int] = set()
@@ -275,18 +309,14 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
                 if len(h) and (k := set_key(h)) not in seen:
                     seen.add(k)
                     if len(s := signatures(h, measure)):
-                        keys.append(np.full(len(s), k, np.int64))
+                        keys.append(k)
                         sigs.append(s)
             if sigs:
-                s, k = np.concatenate(sigs), np.concatenate(keys)
-                order = np.argsort(s)
-                s, k = s[order], k[order]
-                pairs = np.stack([s.view(np.int64), k], axis=1)
-                cuts = np.searchsorted(s >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64)).tolist()
-                rows = [(i, x, y) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([pairs[x:y].tobytes() for _, x, y in rows], pa.binary())], schema=SIGS)
-
-    signed = d.mapInArrow(sign, "bucket int, pairs binary")
+                rows = pack(sigs, keys, bits)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=SIGS)
+        trim()
+
+    signed = d.mapInArrow(sign, "bucket int, packed binary")
     groups = cut(signed.groupBy("bucket").applyInArrow(groups_of, "gid long, key long, leader long").distinct())
     nodes = cut(groups.select("key").distinct().join(classes, "key"))
     n_nodes = nodes.count()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, partitions
+from .common import buckets, partitions, trim
 
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
@@ -226,9 +226,7 @@ class Rounds:
     def __init__(self, docs: DataFrame, width: int, batches: Callable, per_partition: int = 4):
         n = partitions(docs)
         self.n, self.width, self.batches = n, width, batches
-        # ranges of hashes by the size of the input, so that what a chunk sends to each stays worth a row
-        size = input_bytes(docs)
-        self.bits = max(3, min(22, (size // (16 << 20)).bit_length())) if size < 1 << 60 else (2 * n - 1).bit_length()
+        self.bits = buckets(docs, n)
         text = F.coalesce(docs["text"], F.lit("")).cast("binary")
         d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
         d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(per_partition * n)).cast("int"))
@@ -243,6 +241,7 @@ class Rounds:
         def asked(key, table, back=None):
             rep = told(back, len(lengths))
             found = [ask(u, width, length, survive(u, width, lengths, rep)) for _, _, u, _ in batches(texts_of(table))]
+            trim()
             if found:
                 yield from by_bucket(key[0].as_py(), np.concatenate(found), bits)
 

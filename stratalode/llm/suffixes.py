@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trim
 from .repeats import U64, Rounds, Units, byte_batches, member, slide, spread, survive, texts_of, told
 from .substrings import covered
 
@@ -161,7 +162,6 @@ MARKS = "chunk int, round int, hashes binary"
 def marks(table: pa.Table, width: int, gram: int, round_: int) -> pa.Table:
     """Merge the runs of a range and tell each chunk which windows of its blocks are repeated."""
     span = width - gram + 1
-    size = 4 + (span + 7) // 8
     chunks = table.column("chunk").to_pylist()
     runs = [unpack(b) for b in table.column("run").to_pylist()]
     lcps, lefts, low, high, many, owners, same = [], [], [], [], [], [], {}
@@ -220,7 +220,7 @@ def marks(table: pa.Table, width: int, gram: int, round_: int) -> pa.Table:
         b = bits[i].tobytes()
         for r, number in owners[i]:
             out.setdefault(chunks[r], []).append(struct.pack("<I", number) + b)
-    assert all(len(x) == size for v in out.values() for x in v[:1])
+    trim()
     return pa.table([pa.array(list(out), pa.int32()), pa.array([round_] * len(out), pa.int32()), pa.array([b"".join(v) for v in out.values()], pa.binary())], ["chunk", "round", "hashes"])
 
 
@@ -265,6 +265,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 48, long_gram:
             rows.append((b, key[0].as_py(), pack(run[at:end])))
             at = end
         cols = list(zip(*rows)) or [[], [], []]
+        trim()
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, RUN_SCHEMA)], schema=RUN_SCHEMA)
 
     runs = r.docs.groupBy("chunk").cogroup(r.back.groupBy("chunk")).applyInArrow(sorted_runs, RUN)
