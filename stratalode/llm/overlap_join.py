@@ -145,6 +145,17 @@ def unpack(blobs: list[bytes]) -> np.ndarray:
 GROUPS = pa.schema([("gid", pa.int64()), ("key", pa.int64()), ("leader", pa.int64())])
 
 
+def six(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in order: enough to tell the shingles of two sets apart."""
+    return np.ascontiguousarray((h >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
+
+
 def groups_of(table: pa.Table) -> pa.Table:
     """Of each signature that several sets have: the sets, under a name of that list, and the first of them."""
     pairs = unpack(table.column("packed").to_pylist())
@@ -252,9 +263,9 @@ def searched(table: pa.Table, measure: Measure) -> pa.Table:
         some, query = rows[listed[rows]], rows[asks[rows]]
         if not len(some) or not len(query) or len(np.unique(comp[rows])) < 2:
             continue
-        lists = Lists([np.frombuffer(blobs[int(r)].as_py(), U64) for r in some])
+        lists = Lists([from_six(blobs[int(r)].as_py()) for r in some])
         for q in query.tolist():
-            hit = some[lists.search(np.frombuffer(blobs[q].as_py(), U64), measure)]
+            hit = some[lists.search(from_six(blobs[q].as_py()), measure)]
             hit = hit[comp[hit] != comp[q]]
             if len(hit):  # one link to each component
                 hit = hit[np.unique(comp[hit], return_index=True)[1]]
@@ -298,7 +309,7 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
 
     named = cut(d.mapInArrow(name, "doc_id long, n_shingles long, key long"))
-    classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     bits = buckets(docs, n)
 
     def sign(batches):
@@ -319,24 +330,28 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     signed = d.mapInArrow(sign, "bucket int, packed binary")
     groups = cut(signed.groupBy("bucket").applyInArrow(groups_of, "gid long, key long, leader long").distinct())
     nodes = cut(groups.select("key").distinct().join(classes, "key"))
-    n_nodes = nodes.count()
 
     def spell(batches):
         for b in batches:
             sets = list(shingle_sets(_encoded(b.column(1)), words))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["key", "shingles"])
-
-    wanted = maybe_broadcast(nodes.select(F.col("rep").alias("doc_id")), n_nodes)
-    spelled = d.join(wanted, "doc_id", "left_semi").mapInArrow(spell, "key long, shingles binary")
-    sets = cut(spelled.join(maybe_broadcast(nodes.select("key"), n_nodes), "key", "left_semi").dropDuplicates(["key"]))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([six(h) for h in sets], pa.binary())], ["key", "shingles"])
+        trim()
 
     def search(rows: DataFrame) -> DataFrame:
-        """rows: block, key, comp, asks, listed."""
-        full = rows.join(sets, "key").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(8 * n)))
+        """rows: block, key, comp, asks, listed. The sets are spelled again from the texts, only those that are asked for."""
+        rows = cut(rows)
+        wanted = cut(rows.select("key").distinct().join(nodes, "key").select(F.col("rep").alias("doc_id")))
+        texts = d.join(maybe_broadcast(wanted, wanted.count()), "doc_id", "left_semi")
+        full = texts.mapInArrow(spell, "key long, shingles binary").join(maybe_broadcast(rows, rows.count()), "key")
+        full = full.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(8 * n)))
         return full.groupBy("bucket").applyInArrow(lambda t: searched(t, measure), "a long, b long")
 
     # from the first set of each list, to the others in blocks
     star = groups.filter("key <> leader").select("leader", "key").distinct()
+    size = nodes.select("key", "n")
+    star = star.join(size, "key").join(size.select(F.col("key").alias("leader"), F.col("n").alias("n2")), "leader")
+    fits = measure.num * F.greatest("n", "n2") <= measure.den * F.least("n", "n2")  # else too unlike in size to link
+    star = cut(star.filter(fits).select("leader", "key"))
     salts = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("salts"))
     star = star.join(salts, "leader").withColumn("block", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("salts"))))
     star = cut(star.select("block", "leader", "key"))
@@ -347,16 +362,18 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     label = components(nodes, links)
 
     # lists that still hold several components: their sets are searched in pairs of blocks
+    # a set's part: the largest of its lists, its range of sizes (links are within one range or the next), a salt
     open_ = groups.join(label, "key")
-    held = open_.groupBy("gid").agg((F.min("comp") < F.max("comp")).alias("open"), F.count(F.lit(1)).alias("n")).filter("open and n > 2").select("gid")
-    open_ = cut(open_.join(held, "gid", "left_semi").filter("key <> leader"))
-    family = components(open_.select("key").union(open_.select("leader")).distinct(), open_.select(F.col("key").alias("a"), F.col("leader").alias("b")))
-    size = family.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("parts"))
-    part = family.join(size, "comp").select("key", F.xxhash64("comp", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts"))).alias("part"))
-    placed = cut(open_.join(part, "key").select("gid", "key", "comp", "part"))
-    of = placed.groupBy("gid", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    other = of.select("gid", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = of.join(other, "gid").filter("part <= part2 and (lo <> lo2 or lo <> hi or lo2 <> hi2)").select("part", "part2").distinct()
+    held = open_.groupBy("gid").agg((F.min("comp") < F.max("comp")).alias("open"), F.count(F.lit(1)).alias("n_list")).filter("open and n_list > 2").select("gid", "n_list")
+    open_ = cut(open_.join(held, "gid").filter("key <> leader").join(size, "key"))
+    band = F.floor(F.ln("n") / math.log(measure.den / measure.num) * 0.999999)
+    top = open_.groupBy("key").agg(F.max(F.struct("n_list", "gid")).alias("top"), F.first(band).alias("band"))
+    salt = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("top.n_list") / block_sets))
+    part = top.select("key", "band", F.xxhash64("top.gid", "band", salt).alias("part"))
+    placed = cut(open_.join(part, "key").select("gid", "key", "comp", "part", "band"))
+    of = placed.groupBy("gid", "part", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    other = of.select("gid", *[F.col(c).alias(f"{c}2") for c in ("part", "band", "lo", "hi")])
+    pairs = of.join(other, "gid").filter("part <= part2 and abs(band - band2) <= 1 and (lo <> lo2 or lo <> hi or lo2 <> hi2)").select("part", "part2").distinct()
     pairs = cut(pairs.withColumn("block", F.xxhash64("part", "part2")))
     whole = cut(placed.select("key", "comp", "part").distinct())
     ask = pairs.join(whole, "part").select("block", "key", "comp", yes.alias("asks"), (F.col("part") == F.col("part2")).alias("listed"))
