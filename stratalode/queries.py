@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
-from .operators import eda, holes, spatial
+from .operators import eda, holes, spatial, steps, transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,7 +276,12 @@ def _(t):
 
 # ---- compositions
 
-PARTS = [F.col("l_quantity"), 1 + 100 * F.col("l_discount"), 1 + 100 * F.col("l_tax")]
+
+
+def parts() -> list:
+    return [F.col("l_quantity"), 1 + 100 * F.col("l_discount"), 1 + 100 * F.col("l_tax")]
+
+
 SQL_PARTS = "select l_orderkey as k, l_partkey as p, l_quantity as a, 1 + 100 * l_discount as b, 1 + 100 * l_tax as c from lineitem"
 _G = "(ln(a) + ln(b) + ln(c)) / 3"
 
@@ -285,7 +290,7 @@ def _coda(name: str, build, sql: str, n: int) -> None:
     names = [f"y{i}" for i in range(n)]
 
     def f(t):
-        made = build(PARTS)
+        made = build(parts())
         made = made if isinstance(made, list) else [made]
         return t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), *[c.alias(x) for c, x in zip(made, names)])
 
@@ -514,3 +519,150 @@ def _(t):
 def _(t):
     a = assays(t)
     return holes.check_intervals(a, a.select("HOLE_ID").distinct(), grades=["au"], nodata=[1000.5])
+
+
+# ---- transforms
+
+_PPF_SQL = "case when p < {low} then ({c}) when p > 1 - {low} then -({d}) else ({m}) end"
+
+
+def _horner(cs, x: str) -> str:
+    out = f"({cs[0]}::DOUBLE)"
+    for c in cs[1:]:
+        out = f"({out} * {x} + ({c}::DOUBLE))"
+    return out
+
+
+def ppf_sql(p: str) -> str:
+    t1, t2, q = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    end = [f"{_horner(X.PPF_C, t)} / {_horner((*X.PPF_D, 1.0), t)}" for t in (t1, t2)]
+    mid = f"{_horner(X.PPF_A, f'({q} * {q})')} * {q} / {_horner((*X.PPF_B, 1.0), f'({q} * {q})')}"
+    return f"case when {p} < {X.PPF_LOW} then {end[0]} when {p} > 1 - {X.PPF_LOW} then -({end[1]}) else {mid} end"
+
+
+@query("normal_ppf", f"select l_orderkey, l_partkey, {ppf_sql('p')} as y from (select *, (l_extendedprice / 120000)::DOUBLE as p from lineitem)", "y")
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_partkey", X.normal_ppf(F.col("l_extendedprice") / 120000).alias("y"))
+
+
+@query("normal_cdf_round_trip")
+def _(t):
+    y = t("lineitem").select("l_orderkey", "l_partkey", X.normal_ppf(F.col("l_extendedprice") / 120000).alias("y"))
+    return y.select("l_orderkey", "l_partkey", X.normal_cdf("y").alias("p"))
+
+
+_NS = f"select *, {ppf_sql('p')} as score from (select id, v as value, (sum(w) over (order by v, id rows unbounded preceding) - w / 2) / sum(w) over () as p from (select *, 1 + id % 5 as w from ({SAMPLES})))"
+
+
+@query("normal_score_fit", f"select value, p, score from ({_NS})", "value p score")
+def _(t):
+    return transforms.normal_score_table(samples(t), "v", 1 + F.col("id") % 5, ["id"])
+
+
+@query("normal_score_transform", f"select id, score from ({_NS})", "score")
+def _(t):
+    s = samples(t)
+    return transforms.normal_score(s, "v", transforms.normal_score_nodes(transforms.normal_score_table(s, "v", 1 + F.col("id") % 5, ["id"]))).select("id", "score")
+
+
+@query("normal_score_inverse", f"select id, v as back from ({SAMPLES})", "back")
+def _(t):
+    s = samples(t)
+    nodes = transforms.normal_score_nodes(transforms.normal_score_table(s, "v", None, ["id"]))
+    return transforms.normal_score_inverse(transforms.normal_score(s, "v", nodes).select("id", "score"), "score", nodes, "back").select("id", "back")
+
+
+@query("cell_declustering", f"with s as ({SAMPLES}), o as (select min(x) as ox, min(y) as oy, min(z) as oz from s), c as (select id, k, floor((x - ox + k * 3.1) / 15.5) as i, floor((y - oy + k * 3.1) / 15.5) as j, floor((z - oz + k * 3.1) / 15.5) as l from s, o, (select unnest([0, 1, 2, 3, 4]) as k)), n as (select k, i, j, l, count(*) as n from c group by all), m as (select k, count(*) as m, sum(n) as t from n group by 1) select id, avg(t / (m * n)) as weight from c join n using (k, i, j, l) join m using (k) group by 1", "weight")
+def _(t):
+    return transforms.cell_declustering(samples(t), XYZ, 15.5, 5)
+
+
+@query("polygon_declustering", "with s as (select p_partkey as id, p_size::DOUBLE as x, (p_partkey * 7 % 53)::DOUBLE as y from part where p_partkey <= 60), b as (select min(x) as lx, min(y) as ly, max(x) - min(x) as ex, max(y) - min(y) as ey, count(*) as n from s), st as (select *, sqrt(ex * ey / 400) as h from b), g as (select (lx + (i + 0.5) * ex / nx) as x, (ly + (j + 0.5) * ey / ny) as y, nx * ny as t, n from (select *, ceil(ex / h - 1e-9)::BIGINT as nx, ceil(ey / h - 1e-9)::BIGINT as ny from st), lateral (select unnest(generate_series(0, nx - 1)) as i), lateral (select unnest(generate_series(0, ny - 1)) as j)), w as (select min_by(s.id, ((s.x - g.x) ** 2 + (s.y - g.y) ** 2, s.id)) as id, any_value(g.n) / any_value(t)::DOUBLE as u from g, s group by g.x, g.y) select s.id, coalesce(sum(u), 0) as weight from s left join w using (id) group by 1", "weight")
+def _(t):
+    s = t("part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") * 7 % 53).cast("double").alias("y"))
+    return transforms.polygon_declustering(s, ["x", "y"], 400)
+
+
+@query("affine_correction", f"select l_orderkey, l_partkey, sqrt(0.6) * (l_extendedprice - m) + m as corrected from lineitem, (select sum(v * w) / sum(w) as m from ({BASE}))", "corrected")
+def _(t):
+    return transforms.affine_correction(t("lineitem"), "l_extendedprice", 0.6, W).select("l_orderkey", "l_partkey", "corrected")
+
+
+@query("indirect_lognormal_correction", f"with m as (select sum(v * w) / sum(w) as m from ({BASE})), s as (select m, sum(w * (v - m) ** 2) / sum(w) / m ** 2 as c from ({BASE}), m group by m), p as (select m, sqrt(ln(0.6 * c + 1) / ln(c + 1)) as b from s), k as (select m, b, sum(w * v ** b) / sum(w) as k from ({BASE}), p group by m, b) select l_orderkey, l_partkey, l_extendedprice ** b * m / k as corrected from lineitem, k", "corrected")
+def _(t):
+    return transforms.indirect_lognormal_correction(t("lineitem"), "l_extendedprice", 0.6, W).select("l_orderkey", "l_partkey", "corrected")
+
+
+@query("upscale", f"select (floor(x / 20) + 0.5) * 20 as x, (floor(y / 20) + 0.5) * 20 as y, (floor(z / 10) + 0.5) * 10 as z, avg(v) as mean, count(*) as n from ({SAMPLES}) group by floor(x / 20), floor(y / 20), floor(z / 10)", "x y z mean")
+def _(t):
+    return transforms.upscale(samples(t), XYZ, "v", (20.0, 20.0, 10.0))
+
+
+@query("downscale", f"select id, x - 2 + (i + 0.5) * 2 as x, y - 1.5 + (j + 0.5) * 1 as y, z as z from ({SAMPLES}), (select unnest([0, 1]) as i), (select unnest([0, 1, 2]) as j)", "x y z")
+def _(t):
+    return transforms.downscale(samples(t).select("id", "x", "y", "z"), (4.0, 3.0, 2.0), (2, 3, 1))
+
+
+@query("box_cox", "select l_orderkey, l_partkey, (l_extendedprice ** 0.3 - 1) / 0.3 as a, ln(l_extendedprice) as b, l_extendedprice as c from lineitem", "a b c")
+def _(t):
+    v = "l_extendedprice"
+    return t("lineitem").select("l_orderkey", "l_partkey", X.box_cox(v, 0.3).alias("a"), X.box_cox(v, 0.0).alias("b"), X.box_cox_inverse(X.box_cox(v, 0.3), 0.3).alias("c"))
+
+
+_BC = "select lam, case when lam = 0 then ln(l_extendedprice) else (l_extendedprice ** lam - 1) / lam end as y from lineitem, (select unnest([-0.5, 0.0, 0.5, 1.0]::DOUBLE[]) as lam)"
+
+
+@query("box_cox_skewness", f"with b as ({_BC}), m as (select lam, avg(y) as m from b group by 1) select lam, avg((y - m) ** 3) / avg((y - m) ** 2) ** 1.5 as skewness from b join m using (lam) group by 1", "lam skewness")
+def _(t):
+    return transforms.box_cox_skewness(t("lineitem"), "l_extendedprice", [-0.5, 0.0, 0.5, 1.0])
+
+
+@query("correct_distribution", f"with r as (select id, v, (row_number() over (order by v, id) - 0.5) / count(*) over () as q from ({SAMPLES})), n as (select (row_number() over (order by p_retailprice, p_partkey) - 0.5) / count(*) over () as p, p_retailprice as u from part), a as (select id, v, q, max_by(u, p) as u0, max(p) as p0 from r join n on p <= q group by 1, 2, 3), b as (select id, min_by(u, p) as u1, min(p) as p1 from r join n on p > q group by 1) select r.id, r.v + 0.7 * (case when u0 is null then u1 when u1 is null then u0 else u0 + (u1 - u0) * (r.q - p0) / (p1 - p0) end - r.v) as corrected from r left join a using (id) left join b using (id)", "corrected")
+def _(t):
+    return transforms.correct_distribution(samples(t), "v", t("part"), "p_retailprice", None, 0.7, ["id"]).select("id", "corrected")
+
+
+@query("detrend", f"with s as ({SAMPLES}), m as (select regr_slope(v, x) as b, regr_intercept(v, x) as a from s) select id, a + b * x as trend, v - a - b * x as residual from s, m", "trend residual")
+def _(t):
+    return transforms.detrend(samples(t), ["x"], "v").select("id", "trend", "residual")
+
+
+@query("pca", "with m as (select avg(l_quantity) as a, stddev_pop(l_quantity) as sa, avg(l_extendedprice) as b, stddev_pop(l_extendedprice) as sb from lineitem) select l_orderkey, l_partkey, ((l_quantity - a) / sa + (l_extendedprice - b) / sb) / sqrt(2.0::DOUBLE) as pc1, abs(((l_quantity - a) / sa - (l_extendedprice - b) / sb) / sqrt(2.0::DOUBLE)) as pc2 from lineitem, m", "pc1 pc2")
+def _(t):
+    li = t("lineitem")
+    p = transforms.fit_pca(li, ["l_quantity", "l_extendedprice"])
+    return li.select("l_orderkey", "l_partkey", *p.columns(["l_quantity", "l_extendedprice"])).withColumn("pc2", F.abs("pc2"))
+
+
+@query("kernel_density", "select x, sum(exp(-(((x - p_retailprice) / 40.0::DOUBLE) ** 2) / 2)) / (count(*) * 40.0 * sqrt(2 * pi())) as density from part, (select unnest([900.0, 1000.0, 1200.0, 1500.0]::DOUBLE[]) as x) group by 1", "x density")
+def _(t):
+    return transforms.kernel_density(t("part"), "p_retailprice", [900.0, 1000.0, 1200.0, 1500.0], bandwidth=40.0)
+
+
+SHAPES = {
+    "spherical": "case when h >= 1 then 1 else 1.5 * h - 0.5 * h ** 3 end", "exponential": "1 - exp(-3 * h)", "gaussian": "1 - exp(-3 * h ** 2)",
+    "cubic": "case when h >= 1 then 1 else 7 * h ** 2 - 8.75 * h ** 3 + 3.5 * h ** 5 - 0.75 * h ** 7 end", "pentaspherical": "case when h >= 1 then 1 else 1.875 * h - 1.25 * h ** 3 + 0.375 * h ** 5 end",
+    "circular": "case when h >= 1 then 1 else 2 / pi() * (h * sqrt(greatest(0, 1 - h ** 2)) + asin(least(h, 1))) end", "sine_hole": "case when h = 0 then 0 else 1 - sin(pi() * h) / (pi() * h) end",
+}
+
+
+@query("variogram_shapes", "select l_orderkey, l_partkey, " + ", ".join(f"{s} as {n}" for n, s in SHAPES.items()) + " from (select *, (l_quantity / 40)::DOUBLE as h from lineitem)", " ".join(SHAPES))
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_partkey", *[X.shape(n, F.col("l_quantity") / 40).alias(n) for n in SHAPES])
+
+
+@query("cleaning_pipeline", "select p_partkey, upper(trim(p_brand)) as brand, ln(least(greatest(p_retailprice, 950), 1200) * 2) as price, case when p_size = 7 then -1 when p_size = 9 then -1 else p_size end::DOUBLE as size from part where p_size <> 11", "price size")
+def _(t):
+    p = steps.Pipeline([
+        ("names", steps.RenameColumns({"p_brand": "brand", "p_retailprice": "price", "p_size": "size"})), ("text", steps.NormalizeText(["brand"], "upper")), ("clip", steps.Clip(["price"], 950, 1200)),
+        ("scale", steps.Scale(["price"], 2.0)), ("log", steps.Log(["price"])), ("null", steps.ToNull([7, 11], ["size"])), ("replace", steps.Replace({9: 7}, ["size"])),
+    ])
+    d = p.transform(t("part").select("p_partkey", "p_brand", "p_retailprice", F.col("p_size").cast("double").alias("p_size")).filter("p_size <> 11"))
+    return steps.Pipeline([("back", steps.ToNull([7.0], ["size"])), ("fill", steps.FillNull(-1.0, ["size"]))]).transform(d).select("p_partkey", "brand", "price", "size")
+
+
+@query("pipeline_inverse", f"select k, p, a / (a + b + c) as a, b / (a + b + c) as b, c / (a + b + c) as c from ({SQL_PARTS})", "a b c")
+def _(t):
+    d = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), *[c.alias(n) for c, n in zip(parts(), "abc")])
+    p = steps.Pipeline.from_json(steps.Pipeline([("closure", steps.Closure(["a", "b", "c"])), ("ilr", steps.ILR(["a", "b", "c"]))]).to_json())
+    return p.inverse(p.transform(d)).select("k", "p", "a", "b", "c")
