@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as X
-from .operators import eda, holes, spatial, steps, transforms
+from .operators import blocks, eda, holes, kriging, spatial, steps, transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -666,3 +666,135 @@ def _(t):
     d = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), *[c.alias(n) for c, n in zip(parts(), "abc")])
     p = steps.Pipeline.from_json(steps.Pipeline([("closure", steps.Closure(["a", "b", "c"])), ("ilr", steps.ILR(["a", "b", "c"]))]).to_json())
     return p.inverse(p.transform(d)).select("k", "p", "a", "b", "c")
+
+
+# ---- kriging, simulation, blocks
+
+def model():
+    return kriging.Variogram(0.1, (kriging.Structure("spherical", 0.9, 60.0),))
+
+
+_COV = "case when {d} = 0 then 1.0 when {d} >= 60 then 0.0 else 0.9 * (1 - 1.5 * {d} / 60 + 0.5 * ({d} / 60) ** 3) end"
+_TWO = f"with n as (select id, j, v, d, row_number() over (partition by id order by d, j) as r from ({_T}) where d <= 30), s as ({SAMPLES}), p as (select a.id, a.v as v1, b.v as v2, a.d as d1, b.d as d2, sqrt((s.x - u.x) ** 2 + (s.y - u.y) ** 2 + (s.z - u.z) ** 2) as d12 from n a left join n b on b.id = a.id and b.r = 2 left join s on s.id = a.j left join s u on u.id = b.j where a.r = 1), c as (select *, {_COV.format(d='d1')} as b1, {_COV.format(d='d2')} as b2, {_COV.format(d='d12')} as c from p)"
+
+
+@query("ordinary_kriging_two", f"{_TWO} select t.id, case when v2 is null then v1 else (0.5 + (b1 - b2) / (2 * (1 - c))) * v1 + (0.5 - (b1 - b2) / (2 * (1 - c))) * v2 end as estimate, case when v2 is null then 2 - 2 * b1 else 1 + (0.5 + (b1 - b2) / (2 * (1 - c))) * ((0.5 + (b1 - b2) / (2 * (1 - c))) - 2 * b1) + (0.5 - (b1 - b2) / (2 * (1 - c))) * ((0.5 - (b1 - b2) / (2 * (1 - c))) - 2 * b2) + 2 * c * (0.25 - ((b1 - b2) / (2 * (1 - c))) ** 2) end as variance, case when v1 is null then 0 when v2 is null then 1 else 2 end as n from ({TARGETS}) t left join c using (id)", "estimate variance")
+def _(t):
+    return kriging.krige(targets(t), samples(t), XYZ, "v", kriging.System(model()), 30.0, 2)
+
+
+@query("simple_kriging_two", f"{_TWO} select t.id, case when v2 is null then b1 * v1 + (1 - b1) * 0.25 else (b1 - c * b2) / (1 - c * c) * v1 + (b2 - c * b1) / (1 - c * c) * v2 + (1 - (b1 - c * b2) / (1 - c * c) - (b2 - c * b1) / (1 - c * c)) * 0.25 end as estimate, case when v2 is null then 1 - b1 * b1 else 1 - (b1 - c * b2) / (1 - c * c) * b1 - (b2 - c * b1) / (1 - c * c) * b2 end as variance, case when v1 is null then 0 when v2 is null then 1 else 2 end as n from ({TARGETS}) t left join c using (id)", "estimate variance")
+def _(t):
+    return kriging.krige(targets(t), samples(t), XYZ, "v", kriging.System(model(), "simple", 0.25), 30.0, 2)
+
+
+def _kriging(name: str, **options) -> None:
+    @query(name)
+    def _(t):
+        return kriging.krige(targets(t), samples(t), XYZ, "v", kriging.System(model(), **options), 40.0, 12, 10)
+
+
+_kriging("ordinary_kriging")
+_kriging("simple_kriging", kind="simple", mean=0.2)
+_kriging("universal_kriging", kind="universal", degree=1)
+_kriging("block_kriging", kind="block", size=(4.0, 4.0, 4.0), discretization=(3, 3, 1))
+
+
+@query("kriging_cross_validation")
+def _(t):
+    return kriging.cross_validate(samples(t), XYZ, "v", kriging.System(model()), 40.0, 8)
+
+
+@query("kriging_cross_validation_by_hole")
+def _(t):
+    return kriging.cross_validate(samples(t), XYZ, "v", kriging.System(model()), 40.0, 8, folds=3, holes="h")
+
+
+@query("indicator_kriging")
+def _(t):
+    return kriging.indicator_krige(targets(t), samples(t), XYZ, "v", [-0.1, 0.0, 0.1], model(), 40.0, 8)
+
+
+@query("turning_bands_summary")
+def _(t):
+    return kriging.summarize(kriging.simulate_bands(targets(t), model(), 20, 7), [0.0], [0.1, 0.9])
+
+
+_REAL = "select p_partkey % 40 as id, (p_partkey // 40) as realization, p_retailprice as value from part"
+
+
+@query("simulation_summary", f"select id, count(*) as n, avg(value) as mean, var_pop(value) as variance, avg(case when value >= 1200 then 1.0 else 0.0 end) as p_above0, avg(case when value >= 1200 then value end) as mean_above0, quantile_cont(value, 0.1) as q0, quantile_cont(value, 0.9) as q1 from ({_REAL}) group by 1", "mean variance p_above0 mean_above0 q0 q1")
+def _(t):
+    return kriging.summarize(t("part").select((F.col("p_partkey") % 40).alias("id"), F.col("p_retailprice").alias("value")), [1200.0], [0.1, 0.9])
+
+
+FINE, COARSE = ((0.0, 0.0, 0.0), (10.0, 10.0, 5.0), (12, 10, 4)), ((5.0, -5.0, 0.0), (25.0, 25.0, 10.0), (5, 5, 2))
+MODEL = "select g as cell, g % 12 as i, g // 12 % 10 as j, g // 120 as k, ((g * 37) % 101)::DOUBLE as au, (g // 5 * 7) % 3 as dom from generate_series(0, 479) t(g)"
+
+
+def block_model(t) -> DataFrame:
+    g = F.col("cell")
+    return t("region").sparkSession.range(480).withColumnRenamed("id", "cell").select("cell", ((g * 37) % 101).cast("double").alias("au"), ((F.floor(g / 5) * 7) % 3).alias("dom"))
+
+
+_OVER = "greatest(0, least(({i} + 1) * {s}, {o} + ({k} + 1) * {t}) - greatest({i} * {s}, {o} + {k} * {t}))"
+
+
+@query(
+    "regularize",
+    f"with m as ({MODEL}), t as (select c, c % 5 as x, c // 5 % 5 as y, c // 25 as z from generate_series(0, 49) q(c)), o as (select c, au, dom, {_OVER.format(i='i', s='10.0', o='5.0', k='x', t='25.0')} * {_OVER.format(i='j', s='10.0', o='-5.0', k='y', t='25.0')} * {_OVER.format(i='k', s='5.0', o='0.0', k='z', t='10.0')} as v from m, t), a as (select c, sum(v) / 6250 as fraction, sum(v * au) / sum(v) as au from o where v > 0 group by 1), d as (select c, dom, row_number() over (partition by c order by sum(v) desc, dom) as r from o where v > 0 group by 1, 2) select c as cell, fraction, case when fraction >= 0.3 then a.au end as au, case when fraction >= 0.3 then dom end as dom from a join d using (c) where r = 1",
+    "fraction au",
+)
+def _(t):
+    return blocks.regularize(block_model(t), blocks.Grid(*FINE), blocks.Grid(*COARSE), ["au"], ["dom"], 0.3)
+
+
+@query("smooth_classes", f"with m as ({MODEL}), v as (select a.cell, a.dom as own, b.dom as c, count(*) as n from m a join m b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.k = b.k group by 1, 2, 3) select cell, c as dom from (select *, row_number() over (partition by cell order by n desc, case when c = own then 0 else 1 end, c) as r from v) where r = 1")
+def _(t):
+    return blocks.smooth_classes(block_model(t), blocks.Grid(*FINE), "dom")
+
+
+@query("contact_distance", f"with m as ({MODEL}) select a.cell, min(case when a.dom = 1 then -1 else 1 end * 1.0::DOUBLE) * min(sqrt(100.0 * (a.i - b.i) ** 2 + 100.0 * (a.j - b.j) ** 2 + 25.0 * (a.k - b.k) ** 2)) as distance from m a join m b on (a.dom = 1) <> (b.dom = 1) group by 1", "distance")
+def _(t):
+    return blocks.contact_distance(block_model(t), blocks.Grid(*FINE), "dom", 40.0, 1)
+
+
+@query("block_shell", f"with m as (select * from ({MODEL}) where dom <> 0), n as (select a.cell, f.face from m a, (values ('-x', -1, 0, 0), ('+x', 1, 0, 0), ('-y', 0, -1, 0), ('+y', 0, 1, 0), ('-z', 0, 0, -1), ('+z', 0, 0, 1)) f(face, x, y, z) where not exists (select 1 from m b where b.i = a.i + f.x and b.j = a.j + f.y and b.k = a.k + f.z)) select * from n")
+def _(t):
+    return blocks.block_shell(block_model(t).filter("dom <> 0"), blocks.Grid(*FINE))
+
+
+@query("row_at", f"select id, case when floor(x / 10) between 0 and 11 and floor(y / 10) between 0 and 9 and floor(z / 5) between 0 and 3 then floor(x / 10)::BIGINT + 12 * (floor(y / 10)::BIGINT + 10 * floor(z / 5)::BIGINT) else -1 end as cell from ({SAMPLES})")
+def _(t):
+    return samples(t).select("id", blocks.Grid(*FINE).cell("x", "y", "z").alias("cell"))
+
+
+@query("discretize", f"with m as ({MODEL}) select cell, n as node, (i + (n % 2 + 0.5) / 2) * 10 as x, (j + (n // 2 % 2 + 0.5) / 2) * 10 as y, (k + 0.5) * 5 as z from m, (select unnest([0, 1, 2, 3]) as n)", "x y z")
+def _(t):
+    return blocks.discretize(blocks.Grid(*FINE), block_model(t), (2, 2, 1))
+
+
+RING = [(-20.0, -30.0), (35.0, -12.0), (22.0, 31.0), (1.0, 4.0), (-27.0, 25.0)]
+_RING = "(values " + ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(RING, RING[1:] + RING[:1])) + ") e(ax, ay, bx, by_)"
+
+
+@query("point_in_polygon", f"select id, sum(case when (ay > y) <> (by_ > y) and x < (bx - ax) * (y - ay) / (by_ - ay) + ax then 1 else 0 end) % 2 = 1 as inside from ({SAMPLES}), {_RING} group by 1")
+def _(t):
+    return blocks.in_polygon(samples(t), [RING])
+
+
+@query("polygon_distance", f"select id, sqrt(min((x - ax - s * (bx - ax)) ** 2 + (y - ay - s * (by_ - ay)) ** 2)) as distance from (select *, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2), 0), 1) as s from ({SAMPLES}), {_RING}) group by 1", "distance")
+def _(t):
+    return blocks.polygon_distance(samples(t), [RING])
+
+
+@query("mesh_contains", f"select id, x > -15 and x < 20 and y > -10 and y < 25 and z > -20 and z < 12 as inside from ({SAMPLES})")
+def _(t):
+    corners = [(x, y, z) for z in (-20, 12) for y in (-10, 25) for x in (-15, 20)]
+    faces = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
+    return blocks.winding_number(samples(t), corners, faces).select("id", (F.abs("winding") > 0.5).alias("inside"))
+
+
+@query("assign_domain", f"with n as (select t.id, g::VARCHAR as g, row_number() over (partition by t.id order by (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2, s.id) as r from ({TARGETS}) t, ({SAMPLES}) s where (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2 <= 900), v as (select id, g, count(*) as m, min(r) as r, sum(count(*)) over (partition by id) as a from n where r <= 5 group by 1, 2), b as (select *, row_number() over (partition by id order by m desc, r) as q from v) select t.id, g as domain, m::DOUBLE / a as confidence from ({TARGETS}) t left join (select * from b where q = 1) b using (id)", "confidence")
+def _(t):
+    return blocks.assign_domain(targets(t), samples(t), "g", 30.0, 5)
