@@ -69,6 +69,9 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame
 
 def trim() -> None:
     """Give freed memory back to the system: a Python worker lives on between tasks, beside its executor's heap."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -174,7 +174,10 @@ def groups_of(table: pa.Table) -> pa.Table:
     order = np.lexsort((keys, gid))
     gid, keys, leader = gid[order], keys[order], leader[order]
     new = np.concatenate([[True], (gid[1:] != gid[:-1]) | (keys[1:] != keys[:-1])])
-    return pa.table([pa.array(x[new]) for x in (gid, keys, leader)], schema=GROUPS)
+    out = pa.table([pa.array(x[new]) for x in (gid, keys, leader)], schema=GROUPS)
+    del pairs, first, take, keys, leader, gid, order, new
+    trim()
+    return out
 
 
 class Lists:
@@ -271,6 +274,7 @@ def searched(table: pa.Table, measure: Measure) -> pa.Table:
                 hit = hit[np.unique(comp[hit], return_index=True)[1]]
                 out_a += [int(key[q])] * len(hit)
                 out_b += key[hit].tolist()
+    trim()
     return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=LINKS)
 
 
@@ -307,6 +311,7 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
         for b in batches:
             sets = list(shingle_sets(_encoded(b.column(1)), words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
+        trim()
 
     named = cut(d.mapInArrow(name, "doc_id long, n_shingles long, key long"))
     classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))

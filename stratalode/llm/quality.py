@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trim
 from .overlap_join import LOWER
 from .repeats import U64, _batches, word_hashes
 
@@ -76,7 +77,7 @@ def word_vectors(docs: DataFrame, near: int = 2) -> np.ndarray:
         total, counts = np.zeros(WORDS * DIMS), np.zeros(WORDS)
         for b in batches:
             texts = _encoded(b.column(0))
-            for i, j in _batches(texts, 1 << 21):
+            for i, j in _batches(texts, 1 << 20):
                 ids, off = tokens(texts[i:j])
                 doc = np.repeat(np.arange(j - i), np.diff(off))
                 counts += np.bincount(ids, minlength=WORDS)
@@ -88,6 +89,7 @@ def word_vectors(docs: DataFrame, near: int = 2) -> np.ndarray:
                     for k in range(ONES):
                         total += np.bincount(left * DIMS + places[right, k], signs[right, k], WORDS * DIMS)
                         total += np.bincount(right * DIMS + places[left, k], signs[left, k], WORDS * DIMS)
+        trim()
         table = np.concatenate([total.reshape(WORDS, DIMS), counts[:, None]], axis=1).astype(np.int64)
         small = np.int32 if np.abs(table).max(initial=0) < 1 << 31 else np.int64
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(SLICES), pa.int32()), "wide": pa.array([small is np.int64] * SLICES), "sums": pa.array([table[s * step : (s + 1) * step].astype(small).tobytes() for s in range(SLICES)], pa.binary())})
@@ -206,6 +208,7 @@ class Scorer:
             for b in batches:
                 s = net.value(pooled(_encoded(b.column(at)), vectors.value).astype(float))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
+            trim()
 
         return rows.mapInArrow(scores, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
 
