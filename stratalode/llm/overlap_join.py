@@ -279,15 +279,16 @@ def searched(table: pa.Table, measure: Measure) -> pa.Table:
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """key, comp: the least key reachable by links (a, b). Labels spread to neighbours and then jump to their label's label."""
+    """key, comp: the least key reachable by links (a, b). Each round a whole component takes the least label next to it, and that label's own."""
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     label = cut(nodes.select("key", F.col("key").alias("comp")))
     for _ in range(max_rounds):
         near = both.join(label.select(F.col("key").alias("y"), "comp"), "y").groupBy(F.col("x").alias("key")).agg(F.min("comp").alias("near"))
-        new = label.join(near, "key", "left").select("key", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        # the label itself may have found a lesser one
-        hop = new.select(F.col("key").alias("comp"), F.col("comp").alias("next"))
-        new = cut(new.join(hop, "comp", "left").select("key", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
+        new = label.join(near, "key", "left").select("key", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("least"))
+        root = new.groupBy("was").agg(F.min("least").alias("next"))  # a component goes to the least that any of it is next to
+        hop = root.select(F.col("was").alias("next"), F.col("next").alias("then"))  # and on to where that goes
+        root = root.join(hop, "next", "left").select("was", F.least("next", F.coalesce("then", "next")).alias("comp"))
+        new = cut(new.join(root, "was").select("key", "was", "comp"))
         label = new.select("key", "comp")
         if new.filter("was <> comp").isEmpty():
             return label
@@ -367,14 +368,16 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     label = components(nodes, links)
 
     # lists that still hold several components: their sets are searched in pairs of blocks
-    # a set's part: the largest of its lists, its range of sizes (links are within one range or the next), a salt
+    # a set's part: its family, its range of sizes (links are within one range or the next), a salt
     open_ = groups.join(label, "key")
-    held = open_.groupBy("gid").agg((F.min("comp") < F.max("comp")).alias("open"), F.count(F.lit(1)).alias("n_list")).filter("open and n_list > 2").select("gid", "n_list")
-    open_ = cut(open_.join(held, "gid").filter("key <> leader").join(size, "key"))
+    held = open_.groupBy("gid").agg((F.min("comp") < F.max("comp")).alias("open"), F.count(F.lit(1)).alias("n_list")).filter("open and n_list > 2").select("gid")
+    open_ = cut(open_.join(held, "gid", "left_semi").filter("key <> leader").join(size, "key"))
+    family = components(open_.select("key").union(open_.select("leader")).distinct(), open_.select(F.col("key").alias("a"), F.col("leader").alias("b")))
     band = F.floor(F.ln("n") / math.log(measure.den / measure.num) * 0.999999)
-    top = open_.groupBy("key").agg(F.max(F.struct("n_list", "gid")).alias("top"), F.first(band).alias("band"))
-    salt = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("top.n_list") / block_sets))
-    part = top.select("key", "band", F.xxhash64("top.gid", "band", salt).alias("part"))
+    family = family.withColumnRenamed("comp", "family").join(size, "key").select("key", "family", band.alias("band"))
+    salts = family.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("salts"))
+    salt = F.pmod(F.xxhash64("key", F.lit(1)), F.col("salts"))
+    part = family.join(salts, ["family", "band"]).select("key", "band", F.xxhash64("family", "band", salt).alias("part"))
     placed = cut(open_.join(part, "key").select("gid", "key", "comp", "part", "band"))
     of = placed.groupBy("gid", "part", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     other = of.select("gid", *[F.col(c).alias(f"{c}2") for c in ("part", "band", "lo", "hi")])
