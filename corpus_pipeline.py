@@ -50,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents, as read back."""
-    return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=200_000)  # beside what four stages left on the executors
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("mixing", mixed), ("token_files", tokens)]
