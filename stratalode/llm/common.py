@@ -67,6 +67,13 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame
     return F.broadcast(df) if rows <= limit else df
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in pieces, so that the Python objects made of one stay few."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def trim() -> None:
     """Give freed memory back to the system: a Python worker lives on between tasks, beside its executor's heap."""
     import pyarrow

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, maybe_broadcast, partitions, trim
+from .common import buckets, cut, maybe_broadcast, partitions, sliced, trim
 from .repeats import U64, mix, word_batches
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -309,7 +309,7 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
     def name(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = list(shingle_sets(_encoded(b.column(1)), words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
         trim()
@@ -320,7 +320,7 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
 
     def sign(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             keys, sigs = [], []
             for h in shingle_sets(_encoded(b.column(1)), words):
                 if len(h) and (k := set_key(h)) not in seen:
@@ -338,7 +338,7 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     nodes = cut(groups.select("key").distinct().join(classes, "key"))
 
     def spell(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = list(shingle_sets(_encoded(b.column(1)), words))
             yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([six(h) for h in sets], pa.binary())], ["key", "shingles"])
         trim()

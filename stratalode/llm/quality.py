@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trim
+from .common import sliced, trim
 from .overlap_join import LOWER
 from .repeats import U64, _batches, word_hashes
 
@@ -75,7 +75,7 @@ def word_vectors(docs: DataFrame, near: int = 2) -> np.ndarray:
     def add(batches):
         places, signs = _index_vectors()
         total, counts = np.zeros(WORDS * DIMS), np.zeros(WORDS)
-        for b in batches:
+        for b in sliced(batches):
             texts = _encoded(b.column(0))
             for i, j in _batches(texts, 1 << 20):
                 ids, off = tokens(texts[i:j])
@@ -190,7 +190,7 @@ class Scorer:
         self.vectors = vectors = sc.broadcast(word_vectors(docs))
 
         def features(batches):
-            for b in batches:
+            for b in sliced(batches):
                 x = pooled(_encoded(b.column(1)), vectors.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
@@ -205,7 +205,7 @@ class Scorer:
         vectors, net, at = self.vectors, self.net, rows.columns.index(text)
 
         def scores(batches):
-            for b in batches:
+            for b in sliced(batches):
                 s = net.value(pooled(_encoded(b.column(at)), vectors.value).astype(float))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
             trim()

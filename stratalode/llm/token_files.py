@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import partitions, shared_dir, trim
+from .common import partitions, shared_dir, sliced, trim
 
 NO_ID = -(1 << 63)  # a null doc_id in the files
 
@@ -159,7 +159,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
         t = encoder(tokenizer, dtype, keep)
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         n, ids, lengths, owners = TaskContext.get().partitionId(), [], [], []
-        for b in batches:
+        for b in sliced(batches):
             owners.append(np.array([NO_ID if x is None else x for x in b.column(0).to_pylist()], "<i8"))
             for x in t([x or "" for x in b.column(1).to_pylist()], chars_at_once):
                 ids.append(x + end)
@@ -191,7 +191,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     dtype = held["dtype"]
 
     def rows(batches):
-        for b in batches:
+        for b in sliced(batches):
             for n, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids, off, doc = _get(folder, f"{n:06d}.ids", dtype), _get(folder, f"{n:06d}.off", "<i8"), _get(folder, f"{n:06d}.doc", "<i8")
                 crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
