@@ -41,10 +41,14 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole passes, and once more if it takes half the words or more beyond those."""
-    taken = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = cut(taken.groupBy("_id").agg(F.max("_times").alias("_times")))
-    out = docs.join(maybe_broadcast(taken, taken.count()), docs["doc_id"].eqNullSafe(F.col("_id"))).filter("_times > 0")
+    """Whole documents as often as the mix takes them, so that each source comes near its target of words."""
+    taken = mixing.whole(docs).groupBy("doc_id", "source", "text_key").agg(F.sum("times").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    taken = cut(taken.filter("_times > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "text_key": "_key"}))
+    rows = docs.withColumn("_text_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text_key") == F.col("_key"))
+    if not taken.filter("_rows > 1").isEmpty():  # rows alike in these count together: one of them stands for all
+        rows = rows.dropDuplicates(["doc_id", "source", "_text_key"])
+    out = rows.join(maybe_broadcast(taken, taken.count()), same)
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

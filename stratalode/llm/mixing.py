@@ -14,10 +14,10 @@ def _hash48(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the words of the whole text; null text counts 0."""
+def word_counts(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size: the words of the whole text; null text counts 0. Also the columns of `more`."""
     n = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n.alias("size"))
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), n.alias("size"), *more)
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), total: int | None = None, max_repeat: int = 3) -> DataFrame:
@@ -69,19 +69,8 @@ def sainte_lague(rows: DataFrame, share: str, seats: Column | str, order: str, b
     return t.withColumn("quota", F.when(F.col("_p") > 0, F.col("_low") + F.coalesce("_won", F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("_n", "_all", "_rows", "_p", "_low", "_top", "_left", "_won")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), total: int | None = None, max_repeat: int = 3, block: int = 8, shard_docs: int = 500, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes.
-
-    The total is dealt in equal blocks of `block` words. Sainte-Lague gives each source, then each of
-    its shards (documents by a seeded hash, about `shard_docs` a shard, so that a hot source is many
-    shards), an integer quota of blocks. A shard's documents in seeded order form one stream of words;
-    quota div blocks whole passes are taken, and the remaining blocks are every so-manieth of the
-    stream from a seeded start. The last block of a stream may be short.
-
-    Null or empty texts: size and taken 0. Null source: a source of its own, last. Repeated rows are
-    documents of their own. An empty table gives no rows. Other columns are ignored.
-    """
-    sized = cut(word_counts(docs))
+def _dealt(sized: DataFrame, weights, total: int | None, max_repeat: int, block: int, shard_docs: int, seed: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Each row of `sized` with its shard's `passes`, `extra` blocks, `start` and `n_blocks`, and `_to`: the words of its stream up to and with it."""
     sources = cut(source_targets(sized, weights, total, max_repeat).withColumn("one", F.lit(1)))
     n_sources = sources.count()
     seats = F.round(F.sum("target").over(Window.partitionBy("one")) / block)
@@ -97,8 +86,38 @@ def mix(docs: DataFrame, weights=(5, 2, 1), total: int | None = None, max_repeat
     shards = shards.select("src", "shard", one.alias("n_blocks"), F.floor(F.col("quota") / one).alias("passes"), F.pmod(F.col("quota"), one).alias("extra"), F.pmod(_hash48(F.lit(seed), F.lit("shard"), F.col("src"), F.col("shard")), one).alias("start"))
     shards = cut(shards)
     d = d.join(maybe_broadcast(shards, shards.count()), ["src", "shard"])
-    stream = Window.partitionBy("src", "shard").orderBy("_h", "doc_id", "size")
-    d = d.withColumn("_to", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
+    stream = Window.partitionBy("src", "shard").orderBy("_h", "doc_id", "size", *ties)
+    return d.withColumn("_to", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), total: int | None = None, max_repeat: int = 3, block: int = 8, shard_docs: int = 500, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes.
+
+    The total is dealt in equal blocks of `block` words. Sainte-Lague gives each source, then each of
+    its shards (documents by a seeded hash, about `shard_docs` a shard, so that a hot source is many
+    shards), an integer quota of blocks. A shard's documents in seeded order form one stream of words;
+    quota div blocks whole passes are taken, and the remaining blocks are every so-manieth of the
+    stream from a seeded start. The last block of a stream may be short.
+
+    Null or empty texts: size and taken 0. Null source: a source of its own, last. Repeated rows are
+    documents of their own. An empty table gives no rows. Other columns are ignored.
+    """
+    d = _dealt(cut(word_counts(docs)), weights, total, max_repeat, block, shard_docs, seed)
     words_before = "{b} * ((({p} div {b}) * extra + start) div n_blocks) + ({p} % {b}) * (((({p} div {b}) + 1) * extra + start) div n_blocks - (({p} div {b}) * extra + start) div n_blocks)"
     upto, since = (F.expr(words_before.format(p=p, b=block)) for p in ("_to", "(_to - size)"))
     return d.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + upto - since).cast("long").alias("taken"))
+
+
+def whole(docs: DataFrame, weights=(5, 2, 1), total: int | None = None, max_repeat: int = 3, block: int = 8, shard_docs: int = 500, seed: int = 17) -> DataFrame:
+    """doc_id, source, text_key, size, target, times: how often the mix takes each document, whole.
+
+    Quotas are those of `mix`. A shard's whole passes take all its documents; the words beyond those are
+    filled with its documents in seeded order, the last one only if half of it or more fits, so that a
+    shard's words differ from its quota by at most about half a document. A document without words: 0 times.
+    text_key is a hash of the text, which tells rows of one doc_id apart.
+    """
+    sized = cut(word_counts(docs, F.xxhash64(docs["text"]).alias("text_key")))
+    d = _dealt(sized, weights, total, max_repeat, block, shard_docs, seed, ("text_key",))
+    once_more = (2 * F.col("_to") - F.col("size") <= 2 * block * F.col("extra")).cast("int")
+    times = F.when(F.col("size") > 0, F.col("passes").cast("int") + once_more).otherwise(F.lit(0))
+    return d.select("doc_id", "source", "text_key", "size", "target", times.alias("times"))

@@ -334,3 +334,22 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.mixed(spark, clean, at).columns == d.columns
     out = corpus_pipeline.run(spark, at).collect()
     assert out and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+
+
+def test_mixed_documents_meet_the_targets(spark, nothing):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    sizes = [(i, rng.randrange(5, 40), f"s{i % 4}") for i in range(480)]
+    rows = [(i, " ".join(["x"] * n), None, s, None) for i, n, s in sizes] + [(7, "y " * 20, None, "s3", None), (None, "z " * 15, None, "s0", None), (None, "z " * 15, None, "s0", None), (None, "", None, "s0", None)]
+    d = frame(spark, rows)
+    targets = {r.source: r.target for r in mixing.mix(d).collect()}
+    got = corpus_pipeline.mixed(spark, d, "").collect()
+    kept = Counter()
+    for r in got:
+        kept[r.source] += len(r.text.split())
+    assert {s: abs(kept[s] - t) <= 20 + 8 for s, t in targets.items()} == dict.fromkeys(targets, True)  # half a document and a block
+    same(got, corpus_pipeline.mixed(spark, d.repartition(5), "").collect())
+    times = Counter((r.doc_id, r.text) for r in got)
+    assert all(max(times[(i, t)] for i, t, _, s, _ in rows if s == x and i is not None) - min(times[(i, t)] for i, t, _, s, _ in rows if s == x and i is not None) <= 1 for x in targets)
+    assert corpus_pipeline.mixed(spark, nothing, "").collect() == []
