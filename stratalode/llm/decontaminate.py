@@ -34,9 +34,10 @@ def listed_terms(wins: DataFrame, common: float = 0.05, least: int = 3) -> DataF
     """term, tid: the terms whose postings are stored.
 
     Of a window these are its terms that few items have (at most `common` of them, or `least`); if it
-    has none such, all its terms. Which terms are listed changes the work, not the matches.
+    has none such, all its terms. Which terms are listed changes the work, not the matches. Terms are
+    stored in lower case beyond ASCII too, as postings are: that lists more places, and matches() compares words.
     """
-    placed = wins.select("item_id", "win", F.explode("words").alias("term")).distinct()
+    placed = wins.select("item_id", "win", F.explode("words").alias("term")).withColumn("term", F.lower("term")).distinct()
     n = wins.select("item_id").distinct().count()
     rare = placed.groupBy("term").agg((F.countDistinct("item_id") <= max(least, int(common * n))).alias("rare"))
     placed = placed.select("win", "term").distinct().join(rare, "term")
@@ -45,8 +46,11 @@ def listed_terms(wins: DataFrame, common: float = 0.05, least: int = 3) -> DataF
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """tid, doc_id, pos: where the vocabulary's terms stand in the documents."""
-    d = docs.select(docs["doc_id"].alias("doc_id"), F.posexplode(terms(F.lower(docs["text"]))).alias("pos", "term"))
+    """tid, doc_id, pos: where the vocabulary's terms stand in the documents.
+
+    Each word is lower-cased by itself, as the vocabulary's are: in a text a letter's lower case may depend on its neighbours.
+    """
+    d = docs.select(docs["doc_id"].alias("doc_id"), F.posexplode(terms(docs["text"])).alias("pos", "term")).withColumn("term", F.lower("term"))
     return d.join(maybe_broadcast(vocabulary, vocabulary.count()), "term").select("tid", "doc_id", "pos")
 
 

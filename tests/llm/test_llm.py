@@ -193,6 +193,14 @@ def test_decontaminate(spark, docs, nothing):
     assert [h.exact for r in near.collect() for h in r.hits] == [False]
 
 
+def test_decontaminate_capitals_beyond_ascii(spark):
+    items = ["МОСКВА СЛЕЗАМ НЕ ВЕРИТ", "École Étage Île Ñandú", "ΟΔΟΣ.ΟΔΟΣ ΛΟΓΟΣ", "İzmir K ÅB", "ÉTUDE " + "the " * 12, "москва слезам не верит им"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"before {t} after" for t in items] + [items[0].lower(), "école étage île ñandú"]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), b).collect()}
+    assert got == {0: (4, 1), 1: (4, 1), 2: (3, 1), 3: (3, 1), 4: (13, 1), 5: (5, 1), 6: (0, 0), 7: (0, 0)}  # the contract lower-cases A-Z only
+
+
 def test_mix(docs, nothing):
     rows = mixing.mix(docs, block=2, shard_docs=10).collect()
     sizes = [len(SPACE.findall(r[1] or "")) for r in corpus()]
