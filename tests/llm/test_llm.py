@@ -361,3 +361,16 @@ def test_mixed_documents_meet_the_targets(spark, nothing):
     times = Counter((r.doc_id, r.text) for r in got)
     assert all(max(times[(i, t)] for i, t, _, s, _ in rows if s == x and i is not None) - min(times[(i, t)] for i, t, _, s, _ in rows if s == x and i is not None) <= 1 for x in targets)
     assert corpus_pipeline.mixed(spark, nothing, "").collect() == []
+
+
+def test_license_full_texts_and_headers(spark):
+    import pkgutil
+
+    full = {n: pkgutil.get_data("stratalode.llm", f"license_texts/{n}.txt").decode() for n in licenses.FULL}
+    apache = ["Copyright 2020 me", "", 'Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0", "", "Unless required by applicable law or agreed to in writing, software", 'distributed under the License is distributed on an "AS IS" BASIS,', "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and", "limitations under the License."]
+    texts = [full[n].replace("(c) <year>", "(c) 2020").replace("<copyright holders>", "me") for n in licenses.FULL]
+    texts += ["\n".join(["x = 1", "", *apache, "", "y = 2"]), "\n".join(["/*", *(f" * {x}" for x in apache), " */", "", "int x;"]), "words\n\n" + texts[0] + "\nmore\nwords"]
+    got = {r.doc_id: (r.n_notices > 0, r.licenses, r.whole_license) for r in licenses.scan(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    for i, n in enumerate(licenses.FULL):
+        assert got[i][2] == n
+    assert got[4] == (True, "Apache-2.0", None) and got[5] == (True, "Apache-2.0", None) and got[6] == (True, "MIT", None)
