@@ -9,6 +9,8 @@ from .common import partitions
 
 #: A token is up to so many code points without white space, so that a text without spaces has tokens too.
 TOKEN = r"[^\x20\x09-\x0D]{1,8}"
+#: A token is a run of up to 8 code points, or each 8 consecutive code points of a longer run: what two texts share in one meets at any offset.
+ROLLING = r"(?=((?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,8}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]{8}))[^\x20\x09-\x0D]"
 POS_BITS = 24
 _MASK = (1 << POS_BITS) - 1
 
@@ -19,7 +21,7 @@ def _pairs(a: str, shift: int, f) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + shift), n), f)
 
 
-def winnow(df: DataFrame, text: str, out: str, k: int = 4, window: int = 8) -> DataFrame:
+def winnow(df: DataFrame, text: str, out: str, k: int = 4, window: int = 8, token: str = TOKEN) -> DataFrame:
     """Add `out`: array<long>, the selected k-gram hashes with their positions, ascending by position.
 
     Rolling hashes of k tokens are made by doubling: a hash of 2n tokens from two of n tokens. Each
@@ -27,12 +29,12 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 4, window: int = 8) -> D
     k + window - 1 tokens that two texts share gives both a common hash. k and window are powers of 2.
     A value holds 40 bits of hash above 24 bits that fall with the token position (`hashes`,
     `positions`); past 2^24 tokens the positions begin again. Fewer than k tokens: one gram of all;
-    fewer than `window` grams: one window. Null or empty text: an empty array.
+    fewer than `window` grams: one window. Null or empty text: an empty array. `token` is TOKEN or ROLLING.
     """
     if k & (k - 1) or window & (window - 1):
         raise ValueError("k and window must be powers of 2")
     keep = df.columns
-    t = df.withColumn("_w", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)))
+    t = df.withColumn("_w", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(token), F.lit(int(token == ROLLING))))
     t = t.withColumn("_h", F.when(F.size("_w") >= k, F.transform("_w", lambda x: F.xxhash64(x))).when(F.size("_w") > 0, F.array(F.xxhash64("_w"))).otherwise(F.array().cast("array<long>")))
     t = t.drop("_w").withColumn("_short", F.size("_h") < k)
     step = 1
@@ -99,7 +101,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
 
 def fingerprint(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
     """doc_id and fp of every document (see winnow)."""
-    return winnow(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), "text", "fp", k, window).drop("text")
+    return winnow(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), "text", "fp", k, window, ROLLING).drop("text")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
@@ -109,11 +111,11 @@ def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFra
     the next document by doc_id (the last's next is the first; ties by text). Null text: empty.
     """
     d, order = with_next(docs)
-    d = winnow(d, "text", "fp", k, window)
+    d = winnow(d, "text", "fp", k, window, ROLLING)
     d = d.withColumn("_hashes", hashes(F.col("fp")))
     half = F.floor(F.char_length("text") / 2).cast("int")
     d = d.select("doc_id", "_ghost", "text", "fp", "_hashes", F.lead("text").over(order).alias("_next"), F.lead("_hashes").over(order).alias("_next_hashes")).filter("_ghost = 0")
     d = d.withColumn("n_chars", F.char_length("text").cast("long"))
     d = d.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("_next", F.lit(1), half)))
-    d = winnow(d.drop("_next", "text"), "_edited", "_efp", k, window)
+    d = winnow(d.drop("_next", "text"), "_edited", "_efp", k, window, ROLLING)
     return d.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("fp")).alias("fingerprint"), as_string(F.col("_efp")).alias("edited_fingerprint"), likeness(F.col("_hashes"), hashes(F.col("_efp"))).alias("near_edited"), likeness(F.col("_hashes"), F.col("_next_hashes")).alias("near_next"))

@@ -374,3 +374,12 @@ def test_license_full_texts_and_headers(spark):
     for i, n in enumerate(licenses.FULL):
         assert got[i][2] == n
     assert got[4] == (True, "Apache-2.0", None) and got[5] == (True, "Apache-2.0", None) and got[6] == (True, "MIT", None)
+
+
+def test_fingerprints_of_a_shifted_run(spark):
+    rng = random.Random(2)
+    run = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(800))
+    rows = [(i, shift + run, None, None, None) for i, shift in enumerate(["", "x", "xyz", "abcde"])]
+    got = {r.doc_id: set(r.h) for r in fingerprints.fingerprint(frame(spark, rows)).select("doc_id", fingerprints.hashes(F.col("fp")).alias("h")).collect()}
+    assert all(len(got[0] & got[i]) > 0.9 * len(got[0]) for i in (1, 2, 3))
+    assert fingerprints.ROLLING != fingerprints.TOKEN
