@@ -209,7 +209,7 @@ def fit_variogram(experimental: DataFrame, model: str = "spherical", ranges: Seq
 
 
 def simulate_bands(targets: DataFrame, variogram: Variogram, n: int, seed: int = 0, bands: int = 200, id: str = "id") -> DataFrame:
-    """realization, id, value: unconditional Gaussian fields by random cosines; a value depends on seed, realization and place only.
+    """realization, id, value: unconditional Gaussian fields by random cosines, of spherical, exponential, gaussian or matern structures; a value depends on seed, realization and place only.
 
     One row of each target goes through numpy for all realizations of its batch; nothing is shared between tasks.
     """
@@ -235,11 +235,22 @@ def simulate_bands(targets: DataFrame, variogram: Variogram, n: int, seed: int =
 
 
 def _frequencies(s: Structure, bands: int, rng) -> np.ndarray:
-    """Frequencies drawn from the spectrum of a Gaussian or exponential covariance (others are taken as exponential)."""
+    """Frequencies drawn from the spectrum of the structure's covariance in three dimensions."""
     z = rng.standard_normal((bands, 3))
     if s.model == "gaussian":
         return z * math.sqrt(6) / s.range
-    return z / np.sqrt(rng.gamma(0.5, 2.0, bands))[:, None] * 3 / s.range  # a Cauchy spectrum
+    if s.model == "exponential":
+        return z / np.sqrt(rng.gamma(0.5, 2.0, bands))[:, None] * 3 / s.range  # a Cauchy spectrum
+    if s.model == "matern":  # Student's t with 2 nu degrees of freedom; nu as _shape takes it
+        nu = min((0.5, 1.5, 2.5), key=lambda x: abs(x - (s.order or 0.5)))
+        return z / np.sqrt(rng.gamma(nu, 2.0, bands))[:, None] * {0.5: 3.0, 1.5: 4.744, 2.5: 5.918}[nu] / s.range
+    if s.model == "spherical":  # the ball's transform squared: the radius times range / 2 has density j1(x) ** 2
+        x = np.zeros(0)
+        while len(x) < bands:
+            y = np.maximum(2.0 * np.abs(np.tan(math.pi * (rng.random(4 * bands) - 0.5))), 1e-3)  # 1.8 / (4 + y ** 2) bounds j1(y) ** 2
+            x = np.append(x, y[rng.random(4 * bands) * 1.8 / (4 + y * y) < ((np.sin(y) / y - np.cos(y)) / y) ** 2])
+        return z / np.sqrt((z * z).sum(-1))[:, None] * (x[:bands, None] * 2 / s.range)
+    raise ValueError(f"no spectrum for model {s.model!r}")
 
 
 def summarize(realizations: DataFrame, cutoffs: Sequence[float] = (), quantiles: Sequence[float] = ()) -> DataFrame:

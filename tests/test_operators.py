@@ -146,3 +146,17 @@ def test_grid_and_polygon(spark):
     b = g.blocks(spark)
     assert b.select(g.cell("x", "y", "z").alias("c"), "cell").filter("c <> cell").count() == 0
     assert blocks.ring_area([(0, 0), (4, 0), (4, 3)]) == 6
+
+
+@pytest.mark.parametrize(("model", "order"), [("spherical", None), ("exponential", None), ("gaussian", None), ("matern", 1.5), ("matern", 2.5)])
+def test_fields_have_the_covariance_given(model, order):
+    v = kriging.Variogram(0.0, (kriging.Structure(model, 1.0, 60.0, order),))
+    w = kriging._frequencies(v.structures[0], 200_000, np.random.default_rng(3))
+    for h in (3.0, 10.0, 20.0, 30.0, 45.0, 60.0, 90.0):
+        for axis in range(3):
+            assert abs(np.cos(w[:, axis] * h).mean() - v.covariance(np.array([h]))[0]) < 0.01
+
+
+def test_fields_refuse_a_model_without_a_spectrum():
+    with pytest.raises(ValueError):
+        kriging._frequencies(kriging.Structure("cubic", 1.0, 60.0), 10, np.random.default_rng(3))
