@@ -2,9 +2,10 @@
 
 Documents with one set of shingles are one class; classes are joined. Two sets of sizes a <= b that link
 differ in at most (a + b)(1 - t)/(1 + t) shingles. Shingles are dealt by hash into more parts than that,
-so linked sets agree wholly on a part; sets that agree on none are never compared. What is left is
-small families. In each the inverted lists are searched: short lists are merged, long ones probed by
-binary search, and sets that reach the overlap required by their sizes are links.
+so linked sets agree wholly on a part; sets that agree on none are never compared. Bitmaps of a few bits a
+shingle then rule out pairs that differ in too many. Of the sets that are left the inverted lists are searched:
+short lists are merged, long ones probed by binary search, and sets that reach the overlap required by their
+sizes are links. Only these sets' shingles travel.
 """
 
 from __future__ import annotations
@@ -260,7 +261,8 @@ def searched(table: pa.Table, measure: Measure) -> pa.Table:
     key, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("key", "comp"))
     blobs = table.column("shingles")
     out_a, out_b = [], []
-    order = np.argsort(block, kind="stable")
+    order = np.lexsort((asks, key, block))
+    order = order[np.concatenate([[True], np.diff(block[order]) != 0]) | np.concatenate([[True], np.diff(key[order]) != 0])]  # a set once a block
     cuts = np.flatnonzero(np.diff(block[order])) + 1
     for rows in np.split(order, cuts):
         some, query = rows[listed[rows]], rows[asks[rows]]
@@ -278,32 +280,118 @@ def searched(table: pa.Table, measure: Measure) -> pa.Table:
     return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=LINKS)
 
 
+def parity(h: np.ndarray, measure: Measure) -> bytes:
+    """A bitmap of a set: a bit is on if an odd number of its hashes fall on it; at least 4 bits for each shingle that a linked set may lack or add.
+
+    Two sets' bitmaps differ in no more bits than the sets in shingles, so a pair that differs in more can't link.
+    Halves laid over one another by XOR give the bitmap of half the length.
+    """
+    i = int(np.searchsorted(measure.low, len(h), "right")) - 1
+    d = measure.differ(measure.low[i + 1] - 1, measure.low[i + 2] - 1)
+    m = 1 << max(6, (4 * d - 1).bit_length())
+    odd = np.bincount(((h >> U64(16)) & U64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each, 64 bits a column) at a length of `words` columns."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _may_link(maps_a: np.ndarray, n_a, maps_b: np.ndarray, n_b, measure: Measure) -> np.ndarray:
+    """Of pairs: whether sizes and bitmaps (last axis: 64 bits a column) allow a link."""
+    least, most = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    apart = np.bitwise_count(maps_a ^ maps_b).sum(axis=-1, dtype=np.int64)
+    return (measure.num * most <= measure.den * least) & (apart <= (n_a + n_b) * (measure.den - measure.num) // (measure.den + measure.num))
+
+
+def that_may_link(batches, measure: Measure):
+    """Rows (leader, key, n, n2, bits, bits2) that may link, as (leader, key)."""
+    for b in sliced(batches, 20_000):
+        n, n2 = (np.array(b.column(c).to_pylist(), np.int64) for c in ("n", "n2"))
+        bits, bits2 = b.column("bits").to_pylist(), b.column("bits2").to_pylist()
+        length = np.array([len(x) for x in bits], np.int64) * (1 << 32) + np.array([len(x) for x in bits2], np.int64)
+        keep = np.zeros(b.num_rows, bool)
+        for x in np.unique(length).tolist():
+            at = np.flatnonzero(length == x)
+            one, two = (np.frombuffer(b"".join([side[i] for i in at.tolist()]), "<u8").reshape(len(at), -1) for side in (bits, bits2))
+            words = min(one.shape[1], two.shape[1])
+            keep[at] = _may_link(fold(one, words), n[at], fold(two, words), n2[at], measure)
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("leader", "key")], ["leader", "key"])
+
+
+LEFT = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("comp", pa.int64())])
+
+
+def still_open(table: pa.Table, measure: Measure) -> pa.Table:
+    """Of each block of a list: the sets that may link with a set of another component, under a name of those sets."""
+    block, key, comp, n = (np.array(table.column(c).to_pylist(), np.int64) for c in ("block", "key", "comp", "n"))
+    bits = table.column("bits").to_pylist()
+    out = [np.zeros((0, 3), np.int64)]
+    order = np.lexsort((key, block))
+    for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        if len(rows) < 2 or len(np.unique(comp[rows])) < 2:
+            continue
+        length = np.array([len(bits[i]) for i in rows.tolist()])
+        near = np.zeros(len(rows), bool)
+        for x in np.unique(length).tolist():  # a set against those whose bitmaps are as long or longer
+            mine = np.flatnonzero(length == x)
+            for y in np.unique(length[length >= x]).tolist():
+                theirs = np.flatnonzero(length == y)
+                maps, other = (np.frombuffer(b"".join([bits[rows[i]] for i in some.tolist()]), "<u8").reshape(len(some), -1) for some in (mine, theirs))
+                other = fold(other, x // 8)
+                step = max(1, (1 << 17) // other.size)
+                for at in range(0, len(mine), step):
+                    some = mine[at : at + step]
+                    fit = _may_link(maps[at : at + step, None], n[rows[some]][:, None], other[None], n[rows[theirs]][None], measure)
+                    fit &= comp[rows[some]][:, None] != comp[rows[theirs]][None]
+                    near[some] |= fit.any(axis=1)
+                    near[theirs] |= fit.any(axis=0)
+        rows = rows[near]
+        if len(rows):
+            name = mix(np.array([mix(key[rows].view(U64) * U64(0x9FB21C651E98DF25)).sum(dtype=U64) + U64(len(rows))], U64)).view(np.int64)[0]
+            out.append(np.stack([np.full(len(rows), name), key[rows], comp[rows]], axis=1))
+    got = np.concatenate(out)
+    trim()
+    return pa.table([pa.array(np.ascontiguousarray(got[:, i])) for i in range(3)], schema=LEFT)
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """key, comp: the least key reachable by links (a, b). Each round a whole component takes the least label next to it, and that label's own."""
-    both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    label = cut(nodes.select("key", F.col("key").alias("comp")))
+    """key, comp: the least key reachable by links (a, b).
+
+    Each round every vertex goes to the least one next to it, and on to where that goes; links then join what
+    they have become, each once, and links within one are gone. So there are fewer vertices and links every round.
+    """
+    edge = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x <> y").distinct()
+    label, edge = nodes.select("key", F.col("key").alias("comp")), cut(edge)
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("key").alias("y"), "comp"), "y").groupBy(F.col("x").alias("key")).agg(F.min("comp").alias("near"))
-        new = label.join(near, "key", "left").select("key", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("least"))
-        root = new.groupBy("was").agg(F.min("least").alias("next"))  # a component goes to the least that any of it is next to
-        hop = root.select(F.col("was").alias("next"), F.col("next").alias("then"))  # and on to where that goes
-        root = root.join(hop, "next", "left").select("was", F.least("next", F.coalesce("then", "next")).alias("comp"))
-        new = cut(new.join(root, "was").select("key", "was", "comp"))
-        label = new.select("key", "comp")
-        if new.filter("was <> comp").isEmpty():
+        if edge.isEmpty():
             return label
+        ends = edge.select(F.col("y").alias("v"), "x").union(edge.select(F.col("x").alias("v"), "x"))
+        to = ends.groupBy("v").agg(F.min("x").alias("to"))
+        hop = to.select(F.col("v").alias("to"), F.col("to").alias("then"))
+        to = cut(to.join(hop, "to").select("v", F.col("then").alias("root")))
+        label = cut(label.join(to.select(F.col("v").alias("comp"), "root"), "comp", "left").select("key", F.coalesce("root", "comp").alias("comp")))
+        edge = edge.join(to.select(F.col("v").alias("x"), F.col("root").alias("x2")), "x").join(to.select(F.col("v").alias("y"), F.col("root").alias("y2")), "y")
+        edge = cut(edge.select(F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y")).filter("x <> y").distinct())
     raise RuntimeError("components did not settle")
 
 
-def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_sets: int = 512) -> DataFrame:
+def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_sets: int = 512, list_sets: int = 2048) -> DataFrame:
     """doc_id, n_shingles, key, component_id: classes of documents that links (Jaccard >= num/den) connect.
 
     component_id is the least doc_id reachable. Words are lower-cased (A-Z); a set is the distinct
     shingles of `words` words, or the whole sequence if there are fewer. Null, empty or blank texts have
-    an empty set and link with nothing. Equal sets are one class at once, however many documents have
-    them, and only one of them goes on. A family is searched first from one of its sets; only sets that
-    are then still in different components, and share a part, are searched against one another, in blocks of
-    about `block_sets`. No list, family or set of candidates is capped.
+    an empty set and link with nothing. A row without doc_id links like any other and has the component_id of what it
+    reaches, null if that has no doc_id. Rows that share a doc_id are documents of their own.
+
+    Equal sets are one class at once, however many documents have them, and only one of them goes on. Each
+    list of sets that share a part is searched from its first set. Lists that then still hold several components lose
+    the sets whose bitmaps rule out every other component's; what is left of them is searched whole. Lists of more
+    than `list_sets` sets are compared block by block. No list or set of candidates is capped.
     """
     measure, n = Measure(num, den), partitions(docs)
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
@@ -311,11 +399,12 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     def name(batches):
         for b in sliced(batches):
             sets = list(shingle_sets(_encoded(b.column(1)), words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
+            bits = [parity(h, measure) if len(h) else b"" for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_key(h) for h in sets], pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "key", "bits"])
         trim()
 
-    named = cut(d.mapInArrow(name, "doc_id long, n_shingles long, key long"))
-    classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    named = cut(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(name, "doc_id long, text_key long, n_shingles long, key long, bits binary"))
+    classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("doc_id").alias("rep"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     bits = buckets(docs, n)
 
     def sign(batches):
@@ -336,6 +425,7 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     signed = d.mapInArrow(sign, "bucket int, packed binary")
     groups = cut(signed.groupBy("bucket").applyInArrow(groups_of, "gid long, key long, leader long").distinct())
     nodes = cut(groups.select("key").distinct().join(classes, "key"))
+    size = nodes.select("key", "n", "bits")
 
     def spell(batches):
         for b in sliced(batches):
@@ -346,18 +436,17 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     def search(rows: DataFrame) -> DataFrame:
         """rows: block, key, comp, asks, listed. The sets are spelled again from the texts, only those that are asked for."""
         rows = cut(rows)
-        wanted = cut(rows.select("key").distinct().join(nodes, "key").select(F.col("rep").alias("doc_id")))
-        texts = d.join(maybe_broadcast(wanted, wanted.count()), "doc_id", "left_semi")
+        wanted = cut(rows.select("key").distinct().join(nodes, "key").select("rep", "text_key"))
+        same = d["doc_id"].eqNullSafe(F.col("rep")) & (F.xxhash64(d["text"]) == F.col("text_key"))
+        texts = d.join(maybe_broadcast(wanted, wanted.count()), same, "left_semi")
         full = texts.mapInArrow(spell, "key long, shingles binary").join(maybe_broadcast(rows, rows.count()), "key")
         full = full.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(8 * n)))
         return full.groupBy("bucket").applyInArrow(lambda t: searched(t, measure), "a long, b long")
 
-    # from the first set of each list, to the others in blocks
+    # from the first set of each list, to the others that may link with it, in blocks
     star = groups.filter("key <> leader").select("leader", "key").distinct()
-    size = nodes.select("key", "n")
-    star = star.join(size, "key").join(size.select(F.col("key").alias("leader"), F.col("n").alias("n2")), "leader")
-    fits = measure.num * F.greatest("n", "n2") <= measure.den * F.least("n", "n2")  # else too unlike in size to link
-    star = cut(star.filter(fits).select("leader", "key"))
+    star = star.join(size, "key").join(size.select(F.col("key").alias("leader"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "leader")
+    star = cut(star.mapInArrow(lambda batches: that_may_link(batches, measure), "leader long, key long"))
     salts = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("salts"))
     star = star.join(salts, "leader").withColumn("block", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("salts"))))
     star = cut(star.select("block", "leader", "key"))
@@ -367,30 +456,28 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     links = cut(search(members.unionByName(firsts)))
     label = components(nodes, links)
 
-    # lists that still hold several components: their sets are searched in pairs of blocks
-    # a set's part: its family, its range of sizes (links are within one range or the next), a salt
-    open_ = groups.join(label, "key")
-    held = open_.groupBy("gid").agg((F.min("comp") < F.max("comp")).alias("open"), F.count(F.lit(1)).alias("n_list")).filter("open and n_list > 2").select("gid")
-    open_ = cut(open_.join(held, "gid", "left_semi").filter("key <> leader").join(size, "key"))
-    family = components(open_.select("key").union(open_.select("leader")).distinct(), open_.select(F.col("key").alias("a"), F.col("leader").alias("b")))
-    band = F.floor(F.ln("n") / math.log(measure.den / measure.num) * 0.999999)
-    family = family.withColumnRenamed("comp", "family").join(size, "key").select("key", "family", band.alias("band"))
-    salts = family.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("salts"))
-    salt = F.pmod(F.xxhash64("key", F.lit(1)), F.col("salts"))
-    part = family.join(salts, ["family", "band"]).select("key", "band", F.xxhash64("family", "band", salt).alias("part"))
-    placed = cut(open_.join(part, "key").select("gid", "key", "comp", "part", "band"))
-    of = placed.groupBy("gid", "part", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    other = of.select("gid", *[F.col(c).alias(f"{c}2") for c in ("part", "band", "lo", "hi")])
-    pairs = of.join(other, "gid").filter("part <= part2 and abs(band - band2) <= 1 and (lo <> lo2 or lo <> hi or lo2 <> hi2)").select("part", "part2").distinct()
-    pairs = cut(pairs.withColumn("block", F.xxhash64("part", "part2")))
-    whole = cut(placed.select("key", "comp", "part").distinct())
-    ask = pairs.join(whole, "part").select("block", "key", "comp", yes.alias("asks"), (F.col("part") == F.col("part2")).alias("listed"))
-    lists = pairs.filter("part <> part2").join(whole.withColumnRenamed("part", "part2"), "part2").select("block", "key", "comp", no.alias("asks"), yes.alias("listed"))
-    more = cut(search(ask.unionByName(lists)))
+    # lists that still hold several components, without their first set; a large one is dealt into blocks that meet one another
+    open_ = groups.filter("key <> leader").join(label, "key")
+    held = open_.groupBy("gid").agg((F.min("comp") < F.max("comp")).alias("open"), F.count(F.lit(1)).alias("sets")).filter("open").select("gid", "sets")
+    open_ = open_.join(held, "gid").join(size, "key")
+    weight = open_.groupBy("gid").agg(F.greatest(F.ceil(F.count(F.lit(1)) / list_sets), F.ceil(F.sum("n") / (8 << 20))).cast("int").alias("salts"))
+    open_ = open_.select("gid", "key", "comp", "n", "bits").join(weight, "gid").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.col("salts")))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    open_ = open_.select(F.xxhash64("gid", F.least("salt", "other"), F.greatest("salt", "other")).alias("block"), "key", "comp", "n", "bits")
+    open_ = open_.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(8 * n)))
+    left = cut(open_.groupBy("bucket").applyInArrow(lambda t: still_open(t, measure), "block long, key long, comp long").distinct())
+    # lists of the same sets overlap: those that hang together are searched as one block where that is no larger than a list's may be
+    first = left.groupBy("block").agg(F.min("key").alias("b"))
+    family = components(left.select("key").distinct(), left.join(first, "block").select(F.col("key").alias("a"), "b")).withColumnRenamed("comp", "family")
+    family = family.join(size.select("key", "n"), "key")
+    sums = family.groupBy("family").agg(((F.count(F.lit(1)) <= list_sets) & (F.sum("n") <= 8 << 20)).alias("small"))
+    left = left.join(family.join(sums, "family").select("key", "family", "small"), "key")
+    left = left.select(F.when(F.col("small"), F.col("family")).otherwise(F.col("block")).alias("block"), "key", "comp").distinct()
+    more = cut(search(left.select("block", "key", "comp", yes.alias("asks"), yes.alias("listed"))))
     label = components(nodes, links.unionByName(more))
 
-    classes = classes.join(label, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    classes = classes.select("key", "least_id").join(label, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_key = classes.join(least, "comp").select(F.col("key").alias("_key"), "component_id")
     out = named.join(of_key, (F.col("key") == F.col("_key")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -140,9 +140,46 @@ def jaccard_classes(rows, words, num, den):
 def test_overlap_join(docs, nothing, words, num):
     got = overlap_join.join(docs, words, num, 100, block_sets=4).select("doc_id", "n_shingles", "component_id").collect()
     same(got, jaccard_classes(corpus(), words, num, 100))
+    got = overlap_join.join(docs, words, num, 100, block_sets=4, list_sets=3).select("doc_id", "n_shingles", "component_id").collect()
+    same(got, jaccard_classes(corpus(), words, num, 100))
     assert overlap_join.join(nothing).collect() == []
 
 
+def test_overlap_join_bridges_and_families(spark):
+    """Rows without doc_id that alone connect others, repeated ids, and large families of near but unlinked texts."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(words, at):
+        return [f"e{a}" if i in at else w for i, (w, a) in enumerate(zip(words, range(10_000)))]
+
+    one, two = edited(base, {10}), edited(base, {10, 60})
+    rows = [(7, " ".join(base)), (None, " ".join(one)), (None, " ".join(one)), (3, " ".join(two)), (3, "alone " * 5), (None, "z " * 9), (None, "y x z")]
+    for k in range(60):  # all share most words, few link
+        at = rng.sample(range(120), rng.choice([2, 3, 4, 8]))
+        rows.append((100 + k, " ".join(f"f{k}" if i in at else w for i, w in enumerate(base))))
+    rows = [(*r, None, None, None) for r in rows]
+    for words, num in ((3, 90), (3, 95), (5, 80)):
+        got = overlap_join.join(frame(spark, rows), words, num, 100, block_sets=5, list_sets=7).select("doc_id", "n_shingles", "component_id").collect()
+        same(got, jaccard_classes(rows, words, num, 100))
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    for num in (90, 80, 55):
+        m = overlap_join.Measure(num)
+        for n in (1, 2, 7, 40, 300, 900):
+            for _ in range(8):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                b = np.unique(np.concatenate([a[rng.integers(0, max(1, n // 8)) :], rng.integers(0, 1 << 63, rng.integers(0, n // 8 + 1), dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both < num * (len(a) + len(b) - both) or not len(b):
+                    continue
+                x, y = (np.frombuffer(overlap_join.parity(s, m), "<u8")[None] for s in (a, b))
+                w = min(x.shape[1], y.shape[1])
+                assert overlap_join._may_link(overlap_join.fold(x, w), len(a), overlap_join.fold(y, w), len(b), m).all()
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     for num in (90, 80, 60):
