@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set.
+    Where the setting is absent on one machine (as in tests) a temporary folder is set; on a cluster that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratalode-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -62,6 +65,20 @@ def buckets(df: DataFrame, n: int, bytes_each: int = 16 << 20) -> int:
     return max(3, min(24, (size // bytes_each).bit_length())) if size < 1 << 60 else (2 * n - 1).bit_length()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, by the file system that Spark itself uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that is not among `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """A broadcast hint only where the counted rows stay under `limit`; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -105,7 +105,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+    """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated of every document; text_key: a hash of the text.
 
     A document word inside any occurrence of a benchmark window is hit. Null or empty texts have no
     words. Repeated rows give a row each; rows that share a doc_id are judged each by its own text.
@@ -124,4 +124,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     d = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"), F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(TERM)).cast("long").alias("n_words"))
     d = d.join(maybe_broadcast(sums, sums.count()), d["doc_id"].eqNullSafe(F.col("_id")) & (d["text_key"] == F.col("_key")), "left")
     zero = F.lit(0).cast("long")
-    return d.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return d.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))

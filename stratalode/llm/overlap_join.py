@@ -381,9 +381,10 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> Dat
 
 
 def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_sets: int = 512, list_sets: int = 2048) -> DataFrame:
-    """doc_id, n_shingles, key, component_id: classes of documents that links (Jaccard >= num/den) connect.
+    """doc_id, text_key, n_shingles, key, component_id, first: classes of documents that links (Jaccard >= num/den) connect.
 
-    component_id is the least doc_id reachable. Words are lower-cased (A-Z); a set is the distinct
+    component_id is the least doc_id reachable; first: whether the row has the least doc_id and then text_key (a hash
+    of the text) of all that it reaches, or no words. Words are lower-cased (A-Z); a set is the distinct
     shingles of `words` words, or the whole sequence if there are fewer. Null, empty or blank texts have
     an empty set and link with nothing. A row without doc_id links like any other and has the component_id of what it
     reaches, null if that has no doc_id. Rows that share a doc_id are documents of their own.
@@ -404,7 +405,8 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
         trim()
 
     named = cut(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(name, "doc_id long, text_key long, n_shingles long, key long, bits binary"))
-    classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("doc_id").alias("rep"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = named.filter("n_shingles > 0").groupBy("key").agg(F.min(row).alias("least"), F.first("doc_id").alias("rep"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     bits = buckets(docs, n)
 
     def sign(batches):
@@ -476,8 +478,9 @@ def join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, block_s
     more = cut(search(left.select("block", "key", "comp", yes.alias("asks"), yes.alias("listed"))))
     label = components(nodes, links.unionByName(more))
 
-    classes = classes.select("key", "least_id").join(label, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_key = classes.join(least, "comp").select(F.col("key").alias("_key"), "component_id")
+    classes = classes.select("key", "least").join(label, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = classes.groupBy("comp").agg(F.min("least").alias("first"))
+    of_key = classes.join(least, "comp").select(F.col("key").alias("_key"), "first")
     out = named.join(of_key, (F.col("key") == F.col("_key")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    return out.select("doc_id", "text_key", "n_shingles", "key", F.coalesce("first.doc_id", "doc_id").alias("component_id"), first.alias("first"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, trim
+from .common import fresh, sliced, trim
 from .overlap_join import LOWER
 from .repeats import U64, _batches, word_hashes
 
@@ -227,4 +227,5 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "quality", train_rows: int = 8_000) -> DataFrame:
     """The rows of docs, all columns, whose score is at least the threshold."""
-    return Scorer(docs, labels, label, train_rows).over(docs).filter(F.col("_score") >= threshold).drop("_score")
+    out = fresh(docs.columns, "_score")
+    return Scorer(docs, labels, label, train_rows).over(docs, out=out).filter(F.col(out) >= threshold).select(*docs.columns)

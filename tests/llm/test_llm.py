@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalode.llm import decontaminate, fingerprints, language, licenses, mixing, overlap_join, quality, repeats, substrings, suffixes, token_files
+from stratalode.llm import decontaminate, fingerprints, language, licenses, mixing, overlap_join, quality, repeats, stages, substrings, suffixes, token_files
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size long, chunk int, key string, _w string, bucket int, term string, score double, _text string"
@@ -223,7 +223,7 @@ def test_decontaminate(spark, docs, nothing):
                     hit.update(range(i, i + n))
                     items |= wins[x]
         want.append((k, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), bool(hit)))
-    same(decontaminate.decontaminate(docs, b).collect(), want)
+    same(decontaminate.decontaminate(docs, b).drop("text_key").collect(), want)
     assert decontaminate.decontaminate(nothing, b).collect() == []
     assert not decontaminate.decontaminate(docs, b.limit(0)).filter("contaminated").count()
     near, _ = decontaminate.matches(docs.limit(0).unionByName(frame(spark, [(1, "x alpha y beta gamma z", None, None, None)])), spark.createDataFrame([(1, "beta alpha gamma")], "item_id long, text string"), slop=2)
@@ -290,7 +290,7 @@ def test_token_files(docs, nothing):
     assert token_files.token_files(nothing, path).collect() == []
     e = token_files.Encoder(path, "<u2", keep=20)
     odd = ["a<|endoftext|>, b x", "it's, don't  two\n new \x85 x", "  lead", "tail ", "", "日本 語, x.y", " .a ,b!!! c'll? 's,", "x" * 3000, "é, é. ü;ß  \xa0 y z"] * 3
-    assert [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in odd] == list(e(odd, 40))
+    assert [t.encode(x, add_special_tokens=False).ids for x in odd] == [x.tolist() for x in e(odd, 40)]
 
 
 def winnowed(text, k=4, w=8):
@@ -368,36 +368,37 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, rows[40][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     at = str(tmp_path)
-    kept = corpus_pipeline.good(spark, d, at)
+    good, distinct, clean, mixed, _ = (f for _, f in corpus_pipeline.STAGES)
+    kept = good(spark, d, at)
     assert kept.count() == len(rows)
-    once = corpus_pipeline.distinct(spark, d, at)
+    once = distinct(spark, d, at)
     least = {(k, c) for k, _, c in jaccard_classes(rows, 5, 80, 100)}
-    assert {r.doc_id for r in once.collect()} == {k for k, c in least if k == c} | {None}  # a row without an id stays
-    assert once.filter("doc_id = 3").count() == 1
-    clean = corpus_pipeline.clean(spark, d, at)
-    assert rows[40][0] not in {r.doc_id for r in clean.collect()} and clean.count() >= len(rows) - 12
-    assert corpus_pipeline.mixed(spark, clean, at).columns == d.columns
+    assert {r.doc_id for r in once.collect()} == {k for k, c in least if k == c}  # the row without an id is a copy of one that stays
+    assert once.filter("doc_id = 3").count() == 1  # of rows alike
+    left = clean(spark, d, at)
+    assert rows[40][0] not in {r.doc_id for r in left.collect()} and left.count() >= len(rows) - 12
+    assert mixed(spark, left, at).columns == d.columns
     out = corpus_pipeline.run(spark, at).collect()
     assert out and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
 
 
 def test_mixed_documents_meet_the_targets(spark, nothing):
-    import corpus_pipeline
+    mixed = stages.mixed
 
     rng = random.Random(6)
     sizes = [(i, rng.randrange(5, 40), f"s{i % 4}") for i in range(480)]
     rows = [(i, " ".join(["x"] * n), None, s, None) for i, n, s in sizes] + [(7, "y " * 20, None, "s3", None), (None, "z " * 15, None, "s0", None), (None, "z " * 15, None, "s0", None), (None, "", None, "s0", None)]
     d = frame(spark, rows)
     targets = {r.source: r.target for r in mixing.mix(d).collect()}
-    got = corpus_pipeline.mixed(spark, d, "").collect()
+    got = mixed(spark, d, "").collect()
     kept = Counter()
     for r in got:
         kept[r.source] += len(r.text.split())
     assert {s: abs(kept[s] - t) <= 20 + 8 for s, t in targets.items()} == dict.fromkeys(targets, True)  # half a document and a block
-    same(got, corpus_pipeline.mixed(spark, d.repartition(5), "").collect())
+    same(got, mixed(spark, d.repartition(5), "").collect())
     times = Counter((r.doc_id, r.text) for r in got)
     assert all(max(times[(i, t)] for i, t, _, s, _ in rows if s == x and i is not None) - min(times[(i, t)] for i, t, _, s, _ in rows if s == x and i is not None) <= 1 for x in targets)
-    assert corpus_pipeline.mixed(spark, nothing, "").collect() == []
+    assert mixed(spark, nothing, "").collect() == []
 
 
 def test_license_full_texts_and_headers(spark):
@@ -420,3 +421,53 @@ def test_fingerprints_of_a_shifted_run(spark):
     got = {r.doc_id: set(r.h) for r in fingerprints.fingerprint(frame(spark, rows)).select("doc_id", fingerprints.hashes(F.col("fp")).alias("h")).collect()}
     assert all(len(got[0] & got[i]) > 0.9 * len(got[0]) for i in (1, 2, 3))
     assert fingerprints.ROLLING != fingerprints.TOKEN
+
+
+def test_stages_tell_rows_apart(spark):
+    """Rows without doc_id, rows that share one, and columns named like the stages' own."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    words = lambda k, n=40: " ".join(f"{k}x{i}" for i in range(n))
+    texts = [(1, words("a")), (1, f"{words('b')} {passage}"), (None, f"{words('c')} {passage}"), (None, words("d")), (2, words("e")), (2, words("f")), (3, words("f")), (None, words("g")), (None, words("g")), (None, None), (4, ""), (5, words("h")), (5, words("h"))]
+    kind = "doc_id long, text string, source string, _n int, _id long, _times int, _text_key long, _doc_id long, _score double, _pass int, _rows int"
+    d = spark.createDataFrame([(k, t, "s", 7, 8, 9, 10, 11, 0.5, 12, 13) for k, t in texts], kind)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.mode("overwrite").parquet(f"{(at := shared(spark))}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.mode("overwrite").parquet(f"{at}/labels.parquet")
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert key(stages.good(spark, d, at)) == Counter(texts)
+    gone = Counter([(3, words("f")), (None, words("g")), (5, words("h"))])
+    assert key(stages.distinct(spark, d, at)) == Counter(texts) - gone
+    assert key(stages.clean(spark, d, at)) == Counter(x for x in texts if passage not in (x[1] or ""))
+    out = stages.mixed(spark, d, at)
+    assert set(key(out)) <= {x for x in texts if x[1]}
+    for f in (stages.good, stages.distinct, stages.clean, stages.mixed):
+        got = f(spark, d, at)
+        assert got.columns == d.columns and {tuple(r)[3:] for r in got.collect()} == {(7, 8, 9, 10, 11, 0.5, 12, 13)}
+
+
+def shared(spark):
+    from stratalode.llm.common import shared_dir
+
+    return shared_dir(spark)
+
+
+def test_fresh_names():
+    from stratalode.llm.common import fresh
+
+    assert fresh(["a", "_ID"], "_id") == "_id_" and fresh([], "x") == "x"
+
+
+def test_token_pieces():
+    """Pieces may begin only where the tokenizer's own pattern begins one; and ids are those of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), token_files.Encoder(path, "<u2", keep=3)
+    rng = random.Random(3)
+    chars = "ab ,.'é×÷ß ĀȿɀΩж日\u00a0\u0085\n\t19<|>!?\u1680\u2003’"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    for size in (50, 1 << 20):
+        assert all(list(x) == w.ids for x, w in zip(e(texts, size), t.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+    ids = token_files.Encoder(path, "<u2")
+    ids.raw = None  # not reached for empty texts
+    assert [len(x) for x in ids(["", ""])] == [0, 0]
