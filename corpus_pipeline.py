@@ -1,73 +1,8 @@
-"""A corpus from documents to token files: quality, near duplicates, decontamination, mixing, token ids.
+"""A corpus from documents to token files: quality, near duplicates, decontamination, mixing, token ids (see the stages)."""
 
-Each stage works on all that the one before kept, written as Parquet and read again.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from stratalode.llm import decontaminate, mixing, overlap_join, quality, token_files
-from stratalode.llm.common import cut, maybe_broadcast, shared_dir
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone; a null doc_id stays."""
-    gone = cut(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
-
-
-def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5."""
-    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that shingles of five words link at 0.8 or more; a row without doc_id stays."""
-    found = overlap_join.join(docs, words=5, num=80, den=100)
-    out = _without(docs, found.filter("component_id <> doc_id"))
-    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
-
-
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a run of ten words of a benchmark item."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, so that each source comes near its target of words."""
-    taken = mixing.whole(docs).groupBy("doc_id", "source", "text_key").agg(F.sum("times").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    taken = cut(taken.filter("_times > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "text_key": "_key"}))
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text_key") == F.col("_key"))
-    if not taken.filter("_rows > 1").isEmpty():  # rows alike in these count together: one of them stands for all
-        rows = rows.dropDuplicates(["doc_id", "source", "_text_key"])
-    out = rows.join(maybe_broadcast(taken, taken.count()), same)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, as read back."""
-    return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=200_000)  # beside what four stages left on the executors
-
-
-STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("mixing", mixed), ("token_files", tokens)]
+from stratalode.llm.stages import STAGES, run
 
 #: The scores, the hashes and the tokenizer of the stages are not in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what each leaves lies in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
