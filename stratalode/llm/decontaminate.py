@@ -54,36 +54,60 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return d.join(maybe_broadcast(vocabulary, vocabulary.count()), "term").select("tid", "doc_id", "pos")
 
 
-def anchors(stored: DataFrame, wins: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """tid, win, off, words: each window under its rarest listed term by training occurrences.
+def ranked(stored: DataFrame, wins: DataFrame, vocabulary: DataFrame, depth: int = 3) -> DataFrame:
+    """win, words, lists array<struct<n, tid, off>>: each window's listed terms, the rarest by training occurrences first, `depth` at most.
 
     Occurrences are counted over all documents. A window with a listed term that never occurs can't
-    occur and is left out. Ties: the lower tid, then its first place.
+    occur and is left out. Ties: the lower tid; a term that a window has twice: its first place.
     """
     counted = vocabulary.join(stored.groupBy("tid").agg(F.count(F.lit(1)).alias("n")), "tid", "left")
     placed = wins.select("win", "words").distinct().select("win", "words", F.posexplode(F.transform("words", lambda w: F.lower(w))).alias("off", "term")).join(counted, "term")
-    best = placed.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tid", "off")).alias("best"), F.first("words").alias("words"))
-    return best.filter("best.n > 0").select("best.tid", "win", "best.off", "words")
+    placed = placed.groupBy("win", "tid").agg(F.first(F.coalesce("n", F.lit(0))).alias("n"), F.min("off").alias("off"), F.first("words").alias("words"))
+    best = placed.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("n", "tid", "off"))).alias("lists"), F.first("words").alias("words"))
+    return best.filter(F.col("lists")[0]["n"] > 0).select("win", "words", F.slice("lists", 1, depth).alias("lists"))
+
+
+def intersected(stored: DataFrame, index: DataFrame, length: int, slop: int) -> DataFrame:
+    """doc_id, start, off, win: where the postings of all of a window's lists, less their offsets, agree.
+
+    From the rarest list on: what one list leaves is looked up in the next. With slop the lists' places need only
+    lie within the window's length plus slop of the rarest term's.
+    """
+    found = stored.join(maybe_broadcast(index.select(F.col("lists")[0]["tid"].alias("tid"), F.col("lists")[0]["off"].alias("off"), "win"), index.count()), "tid")
+    found = found.select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off", "win")
+    if not slop:
+        found = found.filter("start >= 0")
+    depth = index.agg(F.max(F.size("lists"))).first()[0] or 0
+    for k in range(1, depth):
+        found = cut(found)
+        more = index.filter(F.size("lists") > k).select("win", F.col("lists")[k]["tid"].alias("_tid"), F.col("lists")[k]["off"].alias("_off"))
+        asked = found.join(maybe_broadcast(more, more.count()), "win", "left")
+        asked = asked.withColumn("_at", F.col("start") + F.col("_off" if not slop else "off"))
+        own = asked.filter("_tid is not null").withColumnRenamed("doc_id", "_doc")
+        here = (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+        here &= F.col("pos") == F.col("_at") if not slop else F.abs(F.col("pos") - F.col("_at")) < length + slop
+        kept = stored.join(maybe_broadcast(own, found.count()), here).select("doc_id", "start", "off", "win")
+        found = kept.unionByName(asked.filter("_tid is null").select("doc_id", "start", "off", "win"))
+        if slop:
+            found = found.distinct()
+    return found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """(found, wins). found: doc_id, text_key, hits array<struct<start, win, n, exact>> of documents with any.
 
-    The postings of listed terms are stored in the shared folder; those of each window's rarest term,
-    shifted by its offset, give starts, at which the other terms are intersected with the document's own
-    positions. exact: the words stand there in order. With slop > 0 also proximity matches: all words
+    The postings of listed terms are stored in the shared folder. Those of each window's rarest terms, less their
+    offsets, are intersected; where all agree, the words of the document are compared, as terms that most items have are
+    not listed and lists know no case. exact: the words stand there in order. With slop > 0 also proximity matches: all words
     of the window within its length plus slop words around the rarest term, in any order (start is
     then where that span begins, n its length). text_key tells rows of one doc_id apart.
     """
     wins = cut(windows(benchmark, length))
     vocabulary = cut(listed_terms(wins))
     stored = cut(postings(docs, vocabulary))
-    index = cut(anchors(stored, wins, vocabulary))
-    n = index.count()
-    found = stored.join(maybe_broadcast(index, n), "tid").select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off", "win", "words")
-    if not slop:
-        found = found.filter("start >= 0")
-    by_doc = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "off", "win", "words")).alias("_c")))
+    index = cut(ranked(stored, wins, vocabulary))
+    found = intersected(stored, index, length, slop).join(maybe_broadcast(index.select("win", "words"), index.count()), "win")
+    by_doc = cut(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "off", "win", "words")).alias("_c")))
     near = by_doc.count()
     d = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"))
     if near <= 200_000:  # else all documents are shuffled once
