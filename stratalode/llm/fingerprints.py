@@ -5,51 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, fresh, partitions
 
-#: A token is up to so many code points without white space, so that a text without spaces has tokens too.
-TOKEN = r"[^\x20\x09-\x0D]{1,8}"
-#: A token is a run of up to 8 code points, or each 8 consecutive code points of a longer run: what two texts share in one meets at any offset.
-ROLLING = r"(?=((?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,8}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]{8}))[^\x20\x09-\x0D]"
-POS_BITS = 24
+POS_BITS = 28
 _MASK = (1 << POS_BITS) - 1
+#: Each run of so many code points, at every code point (not between the halves of one that Java keeps in two).
+RUN = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))"
+COARSE = 256  # buckets of the first level, whose bounds stand in the plan
 
 
-def _pairs(a: str, shift: int, f) -> Column:
-    """f(a[i], a[i + shift]) for each i."""
-    n = F.greatest(F.size(a) - shift, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + shift), n), f)
+def _roll(h: str, few: str, n: int, f, step: int = 1) -> list[Column]:
+    """Steps that, from folds of `step` neighbours on, fold every n (a power of 2) neighbours of array h by f: neighbours of neighbours, four or eight at a time.
+
+    What has too few neighbours folds those that it has; the last step cuts these off.
+    """
+    out, begun = [], step
+    while step < n:
+        ways = n // step if n // step in (2, 8) else 4
+        apart = [j * step for j in range(1, ways)]
+        step *= ways
+
+        def fold(x: Column, i: Column) -> Column:
+            return f(x, *[F.get(F.col(h), i + j) for j in apart])
+
+        each = F.transform(h, fold)
+        out.append(F.when(F.col(few), F.col(h)).otherwise(each if step < n else F.slice(each, F.lit(1), F.size(h) - n + begun)))
+    return out
 
 
-def winnow(df: DataFrame, text: str, out: str, k: int = 4, window: int = 8, token: str = TOKEN) -> DataFrame:
+def winnow(df: DataFrame, text: str, out: str, k: int = 16, window: int = 32) -> DataFrame:
     """Add `out`: array<long>, the selected k-gram hashes with their positions, ascending by position.
 
-    Rolling hashes of k tokens are made by doubling: a hash of 2n tokens from two of n tokens. Each
-    window of `window` consecutive k-grams gives its least hash, ties the rightmost, so that any run of
-    k + window - 1 tokens that two texts share gives both a common hash. k and window are powers of 2.
-    A value holds 40 bits of hash above 24 bits that fall with the token position (`hashes`,
-    `positions`); past 2^24 tokens the positions begin again. Fewer than k tokens: one gram of all;
-    fewer than `window` grams: one window. Null or empty text: an empty array. `token` is TOKEN or ROLLING.
+    Grams are k consecutive code points, at every code point. Their hashes roll: from 8 code points on a hash of 2n
+    is made of two of n. Each window of `window` consecutive grams gives its least hash, ties the rightmost, so
+    that any run of k + window - 1 code points that two texts share, at whatever places, gives both a common hash. k and
+    window are powers of 2. A value holds 36 bits of hash above 28 bits that fall with the position in code
+    points (`hashes`, `positions`). Fewer than k code points: one gram of all; fewer than `window` grams: one
+    window. Null or empty text: an empty array. Other columns stay as they are.
     """
     if k & (k - 1) or window & (window - 1):
         raise ValueError("k and window must be powers of 2")
     keep = df.columns
-    t = df.withColumn("_w", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(token), F.lit(int(token == ROLLING))))
-    t = t.withColumn("_h", F.when(F.size("_w") >= k, F.transform("_w", lambda x: F.xxhash64(x))).when(F.size("_w") > 0, F.array(F.xxhash64("_w"))).otherwise(F.array().cast("array<long>")))
-    t = t.drop("_w").withColumn("_short", F.size("_h") < k)
-    step = 1
-    while step < k:
-        t = t.withColumn("_h", F.when(F.col("_short"), F.col("_h")).otherwise(_pairs("_h", step, lambda a, b: F.xxhash64(a, b))))
-        step *= 2
-    high = F.lit(~_MASK)
-    t = t.withColumn("_h", F.transform("_h", lambda h, i: h.bitwiseAND(high) + (F.lit(_MASK) - i.bitwiseAND(F.lit(_MASK)))))
-    t = t.withColumn("_few", F.size("_h") < window)
-    step = 1
-    while step < window:
-        t = t.withColumn("_h", F.when(F.col("_few"), F.col("_h")).otherwise(_pairs("_h", step, lambda a, b: F.least(a, b))))
-        step *= 2
-    least = F.when(F.col("_few") & (F.size("_h") > 0), F.array(F.array_min("_h"))).otherwise(F.array_distinct("_h"))
-    return t.select(*keep, least.alias(out))
+    h, few = fresh(keep, "_h"), fresh(keep, "_few")
+    t = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn(h, F.when(F.char_length(t) >= k, F.transform(F.regexp_extract_all(t, F.lit(RUN % min(k, 8)), F.lit(1)), lambda x: F.xxhash64(x))).when(t != "", F.array(F.xxhash64(t))).otherwise(F.array().cast("array<long>")))
+    df = df.withColumn(few, F.char_length(t) < k)
+    for each in _roll(h, few, k, F.xxhash64, min(k, 8)):
+        df = df.withColumn(h, each)
+    df = df.withColumn(h, F.transform(h, lambda x, i: x.bitwiseOR(F.lit(_MASK)) - i))
+    df = df.withColumn(few, F.size(h) < window)
+    for each in _roll(h, few, window, F.least):
+        df = df.withColumn(h, each)
+    least = F.when(F.col(few) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.array_distinct(h))
+    return df.select(*keep, least.alias(out))
 
 
 def hashes(fp: Column) -> Column:
@@ -57,13 +65,17 @@ def hashes(fp: Column) -> Column:
     return F.array_distinct(F.transform(fp, lambda x: F.shiftright(x, POS_BITS)))
 
 
+def position(x: Column) -> Column:
+    return F.lit(_MASK) - x.bitwiseAND(F.lit(_MASK))
+
+
 def positions(fp: Column) -> Column:
-    return F.transform(fp, lambda x: F.lit(_MASK) - x.bitwiseAND(F.lit(_MASK)))
+    return F.transform(fp, position)
 
 
 def as_string(fp: Column) -> Column:
-    """The hashes in order of position, 10 hexadecimal digits each, joined by spaces."""
-    return F.concat_ws(" ", F.transform(fp, lambda x: F.lower(F.substring(F.lpad(F.hex(x), 16, "0"), 1, 10))))
+    """Each value in hexadecimal, in order, joined by spaces: the hash, and in the last 7 digits 0xfffffff less the position."""
+    return F.concat_ws(" ", F.transform(fp, F.hex))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -72,50 +84,82 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
+def _upto(fp: Column, n: Column, k: int, window: int) -> Column:
+    """The part of a text's fingerprint that windows wholly within its first n code points select.
+
+    Places that windows select never fall as windows go on, so it ends with the last such window's.
+    """
+    last = n - (k + window - 1)
+    inside = F.filter(fp, lambda x: (position(x) >= last) & (position(x) < last + window))
+    return F.when(last < 0, F.array().cast("array<long>")).otherwise(F.slice(fp, F.lit(1), F.coalesce(F.array_position(fp, F.array_min(inside)), F.lit(0)).cast("int")))
+
+
+def _bounds(d: DataFrame, key: str, n: int, by: list[str]) -> DataFrame:
+    """For each group: n - 1 values of key that deal its text into about equal parts; a long text counts as many."""
+    each = d.select(*by, key, F.explode(F.sequence(F.lit(0), (F.col("_len") / 4096).cast("int"))))
+    return each.groupBy(*by).agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [1.0], 10 * n).alias("_cuts"))
+
+
+def _below(cuts: Column, key: Column) -> Column:
+    return F.size(F.filter(cuts, lambda x: x < key))
+
+
+def with_next(docs: DataFrame, bytes_each: int = 4 << 20) -> tuple[DataFrame, object]:
     """doc_id, text and `_b`, `_ghost`, `_key`: dealt so that the next document is in the same bucket; and the window.
 
-    Buckets are ranges of doc_id with about equal rows. The first document of a bucket also goes, as
-    a ghost, to the bucket before it; that of the first bucket to the last. One exchange of the texts.
+    Buckets are ranges of doc_id with about equal text, in two levels: up to 256 bounds in the plan, and a broadcast
+    row of up to 4096 more for each of those. The first document of a bucket also goes, as a ghost, to the bucket before
+    it; that of the first bucket to the last. One exchange of the texts. Rows that share a doc_id are in one bucket.
     """
-    n = partitions(docs)
-    key = F.coalesce(docs["doc_id"], F.lit(-(1 << 63)))
-    d = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), key.alias("_key"))
-    cuts = sorted(set(d.agg(F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []))
-    width = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)] or [[0]]
-    tops = F.array(*[F.lit(g[-1]) for g in groups])
-    inner = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-    d = d.withColumn("_g", F.size(F.filter(tops, lambda x: x < F.col("_key"))))
-    within = F.when(F.col("_g") < len(groups), F.size(F.filter(F.get(inner, F.col("_g")), lambda x: x < F.col("_key")))).otherwise(0)
-    d = d.withColumn("_home", (F.col("_g") * width + within).cast("int"))
-    firsts = sorted((r[0], r[1]) for r in d.groupBy("_home").agg(F.min("_key")).collect())  # one row a bucket
-    before = [(k, b, firsts[i - 1][0]) for i, (b, k) in enumerate(firsts)]
-    b = docs.sparkSession.createDataFrame(before, "_first long, _h2 int, _before int")
-    d = d.join(F.broadcast(b), (F.col("_home") == F.col("_h2")) & (F.col("_key") == F.col("_first")), "left")
+    n = partitions(docs, bytes_each)
+    text = F.coalesce(docs["text"], F.lit(""))
+    d = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))).alias("_key"))
+    coarse = min(COARSE, n)
+    narrow = d.select("_key", F.char_length("text").alias("_len"))
+    first = F.array(*[F.lit(x) for x in sorted(set(_bounds(narrow, "_key", coarse, []).first()[0] or [0]))])
+    fine = min(4096, -(-n // coarse))
+    inner = cut(_bounds(narrow.withColumn("_g", _below(first, F.col("_key"))), "_key", fine, ["_g"]).withColumnRenamed("_g", "_g2"))
+    d = d.withColumn("_g", _below(first, F.col("_key"))).join(F.broadcast(inner), F.col("_g") == F.col("_g2"), "left")
+    within = _below(F.coalesce("_cuts", F.array().cast("array<long>")), F.col("_key")) if fine > 1 else F.lit(0)
+    d = d.select("doc_id", "text", "_key", (F.col("_g") * fine + within).cast("int").alias("_home"))
+    firsts = cut(d.groupBy(F.col("_home").alias("_h2")).agg(F.min("_key").alias("_first")))  # one row a bucket
+    firsts = firsts.withColumn("_before", F.coalesce(F.lag("_h2").over(Window.orderBy("_h2")), F.max("_h2").over(Window.partitionBy())))
+    d = d.join(F.broadcast(firsts), (F.col("_home") == F.col("_h2")) & (F.col("_key") == F.col("_first")), "left")
     own = F.struct(F.col("_home").alias("b"), F.lit(0).alias("ghost"))
     both = F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_before").alias("b"), F.lit(1).alias("ghost"))))
     d = d.select("doc_id", "text", "_key", F.explode(both).alias("_e")).select("doc_id", "text", "_key", F.col("_e.b").alias("_b"), F.col("_e.ghost").alias("_ghost"))
-    return d.repartition(n, "_b"), Window.partitionBy("_b").orderBy("_ghost", "_key", "text")
+    return d.repartition(partitions(docs), "_b"), Window.partitionBy("_b").orderBy("_ghost", "_key", "text")
 
 
-def fingerprint(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
+def fingerprint(docs: DataFrame, k: int = 16, window: int = 32) -> DataFrame:
     """doc_id and fp of every document (see winnow)."""
-    return winnow(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), "text", "fp", k, window, ROLLING).drop("text")
+    return winnow(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), "text", "fp", k, window).drop("text")
 
 
-def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = 16, window: int = 32) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     The edited text has its last half (rounded down, in code points) replaced by the first as many of
-    the next document by doc_id (the last's next is the first; ties by text). Null text: empty.
+    the next document by doc_id (the last's next is the first; ties by text). Null text: empty. Null doc_id: first.
+
+    Windows wholly within one of its two parts select what they select in the document that the part comes from; only
+    those across the seam are looked at again.
     """
+    span = k + window - 1
     d, order = with_next(docs)
-    d = winnow(d, "text", "fp", k, window, ROLLING)
-    d = d.withColumn("_hashes", hashes(F.col("fp")))
-    half = F.floor(F.char_length("text") / 2).cast("int")
-    d = d.select("doc_id", "_ghost", "text", "fp", "_hashes", F.lead("text").over(order).alias("_next"), F.lead("_hashes").over(order).alias("_next_hashes")).filter("_ghost = 0")
-    d = d.withColumn("n_chars", F.char_length("text").cast("long"))
-    d = d.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("_next", F.lit(1), half)))
-    d = winnow(d.drop("_next", "text"), "_edited", "_efp", k, window, ROLLING)
-    return d.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string(F.col("fp")).alias("fingerprint"), as_string(F.col("_efp")).alias("edited_fingerprint"), likeness(F.col("_hashes"), hashes(F.col("_efp"))).alias("near_edited"), likeness(F.col("_hashes"), F.col("_next_hashes")).alias("near_next"))
+    d = winnow(d, "text", "fp", k, window)
+    d = d.select("doc_id", "_ghost", "text", "fp", F.lead("text").over(order).alias("_next"), F.lead("fp").over(order).alias("_next_fp")).filter("_ghost = 0")
+    n = F.char_length("text")
+    d = d.withColumn("n_chars", n.cast("long")).withColumn("_m", n - F.floor(n / 2).cast("int"))
+    d = d.withColumn("_tail", F.substring("_next", F.lit(1), n - F.col("_m")))
+    d = d.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("_m")), F.col("_tail"))).withColumn("_h", F.char_length("_tail"))
+    d = d.withColumn("_from", F.greatest(F.col("_m") - span + 1, F.lit(0)))
+    seam = F.substring("_edited", F.col("_from") + 1, F.col("_m") - F.col("_from") + F.least("_h", F.lit(span - 1)))
+    alone = (F.char_length(seam) < span) & ((F.col("_m") >= span) | (F.col("_h") >= span))
+    d = winnow(d.drop("text", "_next", "_tail").withColumn("_seam", F.when(alone, F.lit("")).otherwise(seam)), "_seam", "_sfp", k, window)
+    parts = F.concat(
+        _upto(F.col("fp"), F.col("_m"), k, window), F.transform("_sfp", lambda x: x - F.col("_from")),
+        F.transform(_upto(F.col("_next_fp"), F.col("_h"), k, window), lambda x: x - F.col("_m")),
+    )
+    d = d.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fp", F.array_distinct(parts).alias("_efp"), hashes(F.col("fp")).alias("_hashes"), hashes(F.col("_next_fp")).alias("_next_hashes"))
+    return d.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("fp")).alias("fingerprint"), as_string(F.col("_efp")).alias("edited_fingerprint"), likeness(F.col("_hashes"), hashes(F.col("_efp"))).alias("near_edited"), likeness(F.col("_hashes"), F.col("_next_hashes")).alias("near_next"))

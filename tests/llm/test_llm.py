@@ -293,38 +293,70 @@ def test_token_files(docs, nothing):
     assert [t.encode(x, add_special_tokens=False).ids for x in odd] == [x.tolist() for x in e(odd, 40)]
 
 
-def winnowed(text, k=4, w=8):
-    """The selected places, as the method has it: the least of each window, ties the rightmost."""
-    tokens = re.findall(r"[^\x20\x09-\x0D]{1,8}", text)
-    grams = [tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1)] or ([tuple(tokens)] if tokens else [])
-    return tokens, grams
+def spark_hash(values):
+    """xxhash64 as Spark chains it over strings or longs."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def winnowed(text, k=16, w=32):
+    """(position, hash) of the selected grams, as the method has it: the least of each window, ties the rightmost."""
+    known = {}
+
+    def gram(x):
+        if x not in known:
+            known[x] = spark_hash([x]) if len(x) == 8 else spark_hash([gram(x[: len(x) // 2]), gram(x[len(x) // 2 :])])
+        return known[x]
+
+    grams = [gram(text[i : i + k]) for i in range(len(text) - k + 1)] or ([spark_hash([text])] if text else [])
+    grams = [g >> fingerprints.POS_BITS for g in grams]
+    return sorted({max(range(i, min(i + w, len(grams))), key=lambda p: (-grams[p], p)) for i in range(max(1, len(grams) - w + 1)) if grams}), grams
+
+
+def fp_text(places, grams):
+    return " ".join(f"{(grams[p] & (1 << 36) - 1) << 28 | (1 << 28) - 1 - p:X}" for p in places)
 
 
 def test_fingerprints(docs, nothing):
-    fp = {(r.doc_id, r.text): (r.p, r.h) for r in fingerprints.winnow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "fp").select("doc_id", "text", fingerprints.positions(F.col("fp")).alias("p"), F.transform("fp", lambda x: F.shiftright(x, 24)).alias("h")).collect()}
-    value = {}
-    for (_, text), (places, hashed) in fp.items():  # one gram has one hash everywhere
-        _, grams = winnowed(text)
-        assert places == sorted(set(places)) and all(value.setdefault(grams[p], h) == h for p, h in zip(places, hashed))
-        for i in range(max(0, len(grams) - 7)):  # every window holds a selected place
-            assert any(i <= p < i + 8 for p in places)
-        for i in range(max(0, len(grams) - 7)):  # which is the least that is known of, the rightmost of ties
-            known = [(value[grams[p]], -p) for p in range(i, i + 8) if grams[p] in value]
-            assert -min(known)[1] in places
-        assert bool(places) == bool(grams)
     rows = sorted(((-(1 << 63) if r[0] is None else r[0], r[1] or "", r[0]) for r in corpus()))
     want = []
+
+    def said(t):
+        places, grams = winnowed(t)
+        return fp_text(places, grams), {grams[p] for p in places}
+
+    def like(a, b):
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
     for i, (_, t, k) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][1]
         half = len(t) // 2
-        want.append((k, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
-    out = fingerprints.edited_fingerprints(docs).collect()
-    same([(r.doc_id, r.n_chars, r.edited_sha256) for r in out], want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
-    assert len({r.fingerprint for r in out if r.n_chars == len(corpus()[8][1])}) >= 1
+        edited = t[: len(t) - half] + nxt[:half]
+        (f, a), (e, b), (_, c) = said(t), said(edited), said(nxt)
+        want.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, e, like(a, b), like(a, c)))
+    same(fingerprints.edited_fingerprints(docs).collect(), want)
     assert fingerprints.edited_fingerprints(nothing).collect() == []
 
 
+def test_edited_fingerprints_of_all_lengths(spark):
+    """Texts around the lengths at which windows begin to fit, beside long and empty ones, and code points beyond 16 bits."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab😀é") for _ in range(n))
+    texts = [word(n) for n in [0, 1, 2, 15, 16, 17, 31, 32, 46, 47, 48, 60, 92, 93, 94, 95, 96, 140, 0, 300, 20, 300, 0, 95, 3]]
+    rng.shuffle(texts)
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + texts[(i + 1) % len(texts)][:half]
+        for text, said in ((t, got[i].fingerprint), (edited, got[i].edited_fingerprint)):
+            places, grams = winnowed(text)
+            assert said == fp_text(places, grams), (i, len(text))
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(9)
     texts, labels = [], []
@@ -414,13 +446,16 @@ def test_license_full_texts_and_headers(spark):
     assert got[4] == (True, "Apache-2.0", None) and got[5] == (True, "Apache-2.0", None) and got[6] == (True, "MIT", None)
 
 
-def test_fingerprints_of_a_shifted_run(spark):
+def test_shared_runs_share_a_hash(spark):
+    """The guarantee: any 47 code points that two texts share, at whatever places and without spaces, give both a common hash at the same place in the run."""
     rng = random.Random(2)
-    run = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(800))
-    rows = [(i, shift + run, None, None, None) for i, shift in enumerate(["", "x", "xyz", "abcde"])]
-    got = {r.doc_id: set(r.h) for r in fingerprints.fingerprint(frame(spark, rows)).select("doc_id", fingerprints.hashes(F.col("fp")).alias("h")).collect()}
-    assert all(len(got[0] & got[i]) > 0.9 * len(got[0]) for i in (1, 2, 3))
-    assert fingerprints.ROLLING != fingerprints.TOKEN
+    cjk = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    run = cjk(47)
+    rows = [(i, cjk(before) + run + cjk(after), None, None, None) for i, (before, after) in enumerate([(0, 0), (1, 30), (3, 0), (50, 7), (211, 400)])]
+    start = [0, 1, 3, 50, 211]
+    got = {r.doc_id: dict(zip([p - start[r.doc_id] for p in r.p], r.h)) for r in fingerprints.fingerprint(frame(spark, rows)).select("doc_id", fingerprints.positions(F.col("fp")).alias("p"), F.transform("fp", lambda x: F.shiftright(x, fingerprints.POS_BITS)).alias("h")).collect()}
+    (place, value), = got[0].items()
+    assert all(got[i].get(place) == value for i in got)
 
 
 def test_stages_tell_rows_apart(spark):
