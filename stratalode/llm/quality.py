@@ -180,7 +180,8 @@ def held_out(doc_id: Column) -> Column:
 class Scorer:
     """Vectors of all documents' words and a network fitted on at most `train_rows` labelled rows that are not held out.
 
-    The rows are the first by a hash of doc_id, so the sample is bounded and the same each time.
+    The rows are the first by a hash of doc_id, so the sample is bounded and the same each time. Of rows that share a
+    doc_id the least text counts.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = 8_000):
@@ -195,7 +196,7 @@ class Scorer:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
         d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-        known = d.join(F.broadcast(sample), d["doc_id"] == F.col("_id")).select("doc_id", "text", F.col("_y").alias("y"))
+        known = d.join(F.broadcast(sample), d["doc_id"] == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("y"))
         rows = sorted((r.doc_id, r.y, bytes(r.x)) for r in known.mapInArrow(features, "doc_id long, y double, x binary").collect())
         x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), 2 * DIMS + 1).astype(float)
         self.net = sc.broadcast(Network(x, np.array([r[1] for r in rows])))

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, with nulls, empty and long texts, repeats, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -506,3 +507,67 @@ def test_token_pieces():
     ids = token_files.Encoder(path, "<u2")
     ids.raw = None  # not reached for empty texts
     assert [len(x) for x in ids(["", ""])] == [0, 0]
+
+
+def test_quality_against_brute_force(spark):
+    """Word vectors, pooled texts and scores, by plain loops over words; the network itself is fitted the same way."""
+    rng = random.Random(4)
+    words = ["stone", "river", "HILL", "moss", "cloud", "é", "42", "!!", "é"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + ["", "one", None]
+    index = quality._index_vectors()
+    numbered = [quality.tokens([(t or "").encode()])[0].tolist() for t in texts]
+    sums, counts = np.zeros((quality.WORDS, quality.DIMS)), np.zeros(quality.WORDS)
+    for ids in numbered:
+        for i, a in enumerate(ids):
+            counts[a] += 1
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if j != i:
+                    for place, sign in zip(index[0][ids[j]], index[1][ids[j]]):
+                        sums[a, place] += sign
+    length = np.linalg.norm(sums, axis=1)
+    vector = {a: sums[a] / (length[a] or 1) for a in range(quality.WORDS)}
+    rare = 1e-3 / (1e-3 + counts / counts.sum())
+    feature = []
+    for ids in numbered:
+        plain = sum((vector[a] for a in ids), np.zeros(quality.DIMS)) / max(len(ids), 1)
+        heavy = sum((vector[a] * rare[a] for a in ids), np.zeros(quality.DIMS)) / max(sum(rare[a] for a in ids), 1e-9)
+        feature.append(np.concatenate([plain, heavy, [math.log1p(len(ids))]]))
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    y = {i: float(i % 2) for i in range(len(texts))}
+    learned = [i for i in y if zlib.crc32(str(i).encode()) % 3 != 1]
+    net = quality.Network(np.array([feature[i] for i in learned], np.float32).astype(float), np.array([y[i] for i in learned]))
+    want = net(np.array(feature, np.float32).astype(float))
+    labels = spark.createDataFrame([(i, int(v)) for i, v in y.items()], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, rows), labels).collect()}
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-4 and len(got) == len(texts)
+
+
+def test_language_against_brute_force(spark):
+    """The fusion of all evidence, by loops over pages; only the likelihoods of the texts are taken from the model."""
+    rng = random.Random(3)
+    words = {"en": "the of and with that this from have".split(), "de": "der die und nicht auch ist ein war".split(), "fr": "le la et les des une pour dans".split()}
+    text = lambda l, n: " ".join(rng.choice(words[l]) for _ in range(n))
+    d = frame(spark, [(i, text(l := rng.choice(list(words)), 20), l, None, None) for i in range(60)])
+    pages = [(i, f"https://h{rng.randrange(4)}.x.{rng.choice(['de', 'fr', 'com'])}/p", f'<html lang="{rng.choice(["en", "de", "fr", "xx"])}">{text(rng.choice(list(words)), rng.randrange(4))}', 1) for i in range(50)] + [(50, None, None, 1), (51, "http://only.de/", "", 1)]
+    got = {r.page_id: r for r in language.fuse(spark.createDataFrame(pages, "page_id long, url string, html string, q int"), d).collect()}
+    model = language.train(d)
+    langs, read = model.langs, []
+    for i, url, html, _ in pages:
+        tag = re.search(r'lang="(..)"', html or "")
+        host = re.sub(r"^https?://|/.*", "", url or "")
+        ll = model(re.sub("<[^>]*>", " ", html or ""))
+        q = np.exp(ll - ll.max())
+        read.append((i, host, host.rsplit(".", 1)[-1], tag[1] if tag else "", ll, q / q.sum()))
+    total = sum(r[5] for r in read)
+    base = (total + 1) / (total.sum() + len(langs))
+    for i, host, suffix, tag, ll, q in read:
+        of_suffix = np.maximum(sum(r[5] for r in read if r[2] == suffix) - q, 0)
+        of_host = np.maximum(sum(r[5] for r in read if r[1] == host) - q, 0)
+        p_suffix = (of_suffix + 8 * base) / (of_suffix.sum() + 8)
+        p_host = (of_host + 4 * p_suffix) / (of_host.sum() + 4)
+        said = sum(r[5] for r in read if r[3] == tag)
+        e = np.log((said + np.array([20.0 if l == tag else 1.0 for l in langs])) / (total + 40)) if tag else 0
+        lp = ll + e + np.log(p_host)
+        post = np.exp(lp - lp.max()) / np.exp(lp - lp.max()).sum()
+        assert got[i].lang == langs[int(post.argmax())] and abs(got[i].probability - post.max()) < 1e-9
+        assert got[i].text_lang == langs[int(q.argmax())] and (got[i].host, got[i].suffix, got[i].declared) == (host, suffix, tag)
