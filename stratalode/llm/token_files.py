@@ -193,7 +193,7 @@ def encoder(path: str, dtype: str, keep: int) -> Encoder:
     return _ENCODERS[path, dtype]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, bytes_at_once: int = 1 << 20, keep: int = 1_000_000) -> str:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, bytes_at_once: int = 1 << 20, keep: int = 1_000_000, reuse: bool = True) -> str:
     """Encode every whole text, append end_id, write shards in ascending doc_id order; returns the folder.
 
     Documents are range-partitioned and sorted by doc_id (ties: by text), one shard a partition:
@@ -201,7 +201,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
     `<n>.doc` 64-bit doc_ids. `manifest.json` holds each shard's base, the prefix sum of the ids
     before it, and how many of its documents, the first ones, have no doc_id. Null text: empty, only the end id. Null doc_id: first. An empty table: no shards.
     Only the tokenizer's path goes to executors, where the file must be found. `keep` bounds the encoded
-    pieces that a worker holds; it changes the time, not the ids.
+    pieces that a worker holds; with `reuse` a worker holds them from task to task. Both change the time, not the ids.
     """
     from tokenizers import Tokenizer
 
@@ -214,7 +214,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
     dtype = "<u2" if small else "<u4"
 
     def encode(batches):
-        t = encoder(tokenizer, dtype, keep)
+        t = encoder(tokenizer, dtype, keep) if reuse else Encoder(tokenizer, dtype, keep)
         end = np.array([end_id], dtype)
         n, ids, lengths, owners, nulls = TaskContext.get().partitionId(), [], [], [], 0
         for b in sliced(batches):
@@ -263,6 +263,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return df.mapInArrow(rows, kind)
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, keep: int = 1_000_000) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, keep: int = 1_000_000, reuse: bool = True) -> DataFrame:
     """Write the files, then give one row per document as read back from them."""
-    return read(docs.sparkSession, write(docs, tokenizer, end_id, folder, keep=keep))
+    return read(docs.sparkSession, write(docs, tokenizer, end_id, folder, keep=keep, reuse=reuse))
