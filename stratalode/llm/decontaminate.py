@@ -70,27 +70,22 @@ def ranked(stored: DataFrame, wins: DataFrame, vocabulary: DataFrame, depth: int
 def intersected(stored: DataFrame, index: DataFrame, length: int, slop: int) -> DataFrame:
     """doc_id, start, off, win: where the postings of all of a window's lists, less their offsets, agree.
 
-    From the rarest list on: what one list leaves is looked up in the next. With slop the lists' places need only
-    lie within the window's length plus slop of the rarest term's.
+    The rarest list gives the places, its other lists are asked for them in one join, and a place where all answer is
+    left. With slop the lists' places need only lie within the window's length plus slop of the rarest term's.
     """
     found = stored.join(maybe_broadcast(index.select(F.col("lists")[0]["tid"].alias("tid"), F.col("lists")[0]["off"].alias("off"), "win"), index.count()), "tid")
     found = found.select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off", "win")
-    if not slop:
-        found = found.filter("start >= 0")
-    depth = index.agg(F.max(F.size("lists"))).first()[0] or 0
-    for k in range(1, depth):
-        found = cut(found)
-        more = index.filter(F.size("lists") > k).select("win", F.col("lists")[k]["tid"].alias("_tid"), F.col("lists")[k]["off"].alias("_off"))
-        asked = found.join(maybe_broadcast(more, more.count()), "win", "left")
-        asked = asked.withColumn("_at", F.col("start") + F.col("_off" if not slop else "off"))
-        own = asked.filter("_tid is not null").withColumnRenamed("doc_id", "_doc")
-        here = (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-        here &= F.col("pos") == F.col("_at") if not slop else F.abs(F.col("pos") - F.col("_at")) < length + slop
-        kept = stored.join(maybe_broadcast(own, found.count()), here).select("doc_id", "start", "off", "win")
-        found = kept.unionByName(asked.filter("_tid is null").select("doc_id", "start", "off", "win"))
-        if slop:
-            found = found.distinct()
-    return found
+    found = cut(found if slop else found.filter("start >= 0"))
+    more = index.filter(F.size("lists") > 1).select("win", F.expr("shiftleft(1, size(lists) - 1) - 1").alias("all"), F.posexplode(F.expr("slice(lists, 2, size(lists))")).alias("k", "l"))
+    asked = found.join(maybe_broadcast(more, more.count()), "win")
+    asked = asked.select(F.col("doc_id").alias("_doc"), "start", "off", "win", "all", F.expr("shiftleft(1, k)").alias("bit"), F.col("l.tid").alias("_tid"), (F.col("start") + F.col("l.off" if not slop else "off")).alias("_at"))
+    here = (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    here &= F.col("pos") == F.col("_at") if not slop else F.abs(F.col("pos") - F.col("_at")) < length + slop
+    answers = stored.join(maybe_broadcast(asked, 2 * found.count()), here).groupBy("doc_id", "start", "off", "win", "all").agg(F.bit_or("bit").alias("bits"))
+    single = index.filter(F.size("lists") == 1).select("win")
+    alone = found.join(maybe_broadcast(single, single.count()), "win", "left_semi")
+    columns = ["doc_id", "start", "off", "win"]
+    return answers.filter(F.col("bits") == F.col("all")).select(*columns).unionByName(alone.select(*columns))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -105,8 +100,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int =
     wins = cut(windows(benchmark, length))
     vocabulary = cut(listed_terms(wins))
     stored = cut(postings(docs, vocabulary))
-    index = cut(ranked(stored, wins, vocabulary))
-    found = intersected(stored, index, length, slop).join(maybe_broadcast(index.select("win", "words"), index.count()), "win")
+    index = cut(ranked(stored, wins, vocabulary).withColumn("name", F.col("win")).withColumn("win", F.monotonically_increasing_id()))
+    found = intersected(stored, index, length, slop).join(maybe_broadcast(index.select("win", "name", "words"), index.count()), "win").withColumn("win", F.col("name"))
     by_doc = cut(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "off", "win", "words")).alias("_c")))
     near = by_doc.count()
     d = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"))
