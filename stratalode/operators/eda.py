@@ -354,11 +354,16 @@ def uncertainty_curve(df: DataFrame, spacing, uncertainty, edges: Sequence[float
 
 
 def required_spacing(curve: DataFrame, column: str = "p90", threshold: float = 0.15) -> DataFrame:
-    """Spacing at which the curve first exceeds the threshold, linear from the point before; null if the first does."""
+    """spacing, exceeded: where the curve first exceeds the threshold, linear from the point before; null if the first does.
+
+    A curve that never does gives its last spacing, not exceeded.
+    """
     w = Window.orderBy("bin")  # one row a bin
     t = curve.select("bin", "spacing", F.col(column).alias("v"), F.lag("spacing").over(w).alias("s0"), F.lag(column).over(w).alias("v0"))
-    first = t.filter(F.col("v") > threshold).agg(F.min_by(F.struct("spacing", "v", "s0", "v0"), "bin").alias("r")).select("r.*")
-    return first.select((F.col("s0") + (F.col("spacing") - F.col("s0")) * (threshold - F.col("v0")) / (F.col("v") - F.col("v0"))).alias("spacing"))
+    over = F.when(F.col("v") > threshold, F.col("bin"))
+    t = t.agg(F.min_by(F.struct("spacing", "v", "s0", "v0"), over).alias("r"), F.max_by("spacing", "bin").alias("last"), F.count(over).alias("n"))
+    between = F.col("r.s0") + (F.col("r.spacing") - F.col("r.s0")) * (threshold - F.col("r.v0")) / (F.col("r.v") - F.col("r.v0"))
+    return t.select(F.when(F.col("n") > 0, between).otherwise(F.col("last")).alias("spacing"), (F.col("n") > 0).alias("exceeded"))
 
 
 def vertical_proportions(df: DataFrame, z, categories, size: float, weights=None) -> DataFrame:

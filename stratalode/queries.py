@@ -317,13 +317,13 @@ _coda("aitchison_distance", lambda p: X.aitchison_distance(p, [p[1], p[2], p[0]]
 # ---- space
 
 _P = f"select a.id as i, b.id as j, a.v as v, b.v as w, a.g as g, b.g as k, a.h as h, b.h as l, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from ({SAMPLES}) a, ({SAMPLES}) b"
-TARGETS = "select p_partkey as id, p_size * 2.0 - 50 as x, (p_partkey % 41) * 2.0 - 40 as y, (p_partkey % 17) * 2.0 - 16 as z from part where p_partkey <= 300"
+TARGETS = "select p_partkey as id, p_size * 2.0 - 50 as x, (p_partkey % 41) * 2.0 - 40 as y, (p_partkey % 17) * 2.0 - 16 as z from part"
 _T = f"select t.id as id, s.id as j, s.v as v, s.h as h, sqrt((t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2) as d from ({TARGETS}) t, ({SAMPLES}) s"
 
 
 def targets(t) -> DataFrame:
     k = F.col("p_partkey")
-    return t("part").filter(k <= 300).select(k.alias("id"), (F.col("p_size") * 2.0 - 50).alias("x"), ((k % 41) * 2.0 - 40).alias("y"), ((k % 17) * 2.0 - 16).alias("z"))
+    return t("part").select(k.alias("id"), (F.col("p_size") * 2.0 - 50).alias("x"), ((k % 41) * 2.0 - 40).alias("y"), ((k % 17) * 2.0 - 16).alias("z"))
 
 
 XYZ = ["x", "y", "z"]
@@ -442,7 +442,7 @@ def _(t):
 # ---- drill holes
 
 _O = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity"
-ASSAYS = f"select l_orderkey as HOLE_ID, (sum(l_quantity) over w) - l_quantity as \"FROM\", sum(l_quantity) over w as \"TO\", case when l_linenumber <> 3 then l_extendedprice / l_quantity end as au, l_returnflag as dom from lineitem where l_orderkey % 4 = 1 window w as (partition by l_orderkey order by {_O} rows unbounded preceding)"
+ASSAYS = f"select l_orderkey as HOLE_ID, (sum(l_quantity) over w) - l_quantity as \"FROM\", sum(l_quantity) over w as \"TO\", case when l_linenumber <> 3 then l_extendedprice / l_quantity end as au, l_returnflag as dom from lineitem window w as (partition by l_orderkey order by {_O} rows unbounded preceding)"
 GEOLOGY = f"select HOLE_ID, k * 30.0::DOUBLE as \"FROM\", least((k + 1) * 30.0::DOUBLE, e) as \"TO\", (HOLE_ID + k) % 4 as lith from (select HOLE_ID, max(\"TO\") as e, unnest(generate_series(0, ceil(max(\"TO\") / 30)::BIGINT - 1)) as k from ({ASSAYS}) group by HOLE_ID)"
 
 
@@ -450,7 +450,7 @@ def assays(t) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy(*_O.split(", ")).rowsBetween(Window.unboundedPreceding, 0)
-    li = t("lineitem").filter("l_orderkey % 4 = 1").withColumn("TO", F.sum("l_quantity").over(w))
+    li = t("lineitem").withColumn("TO", F.sum("l_quantity").over(w))
     return li.select(F.col("l_orderkey").alias("HOLE_ID"), (F.col("TO") - F.col("l_quantity")).alias("FROM"), "TO", F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / F.col("l_quantity")).alias("au"), F.col("l_returnflag").alias("dom"))
 
 
@@ -479,21 +479,21 @@ _composites("keep", "k")
 _composites("drop", "k", f"not {_TAIL}")
 _composites("merge", f"case when {_TAIL} and k > 0 then k - 1 else k end")
 
-_ST = "select o_orderkey as h, s::DOUBLE as depth, radians((o_orderkey * 37 + s) % 360) as a, radians(45 + o_orderkey % 45) as dip, o_custkey::DOUBLE as x0 from orders, (select unnest([0, 40, 80]) as s) where o_orderkey % 4 = 1"
+_ST = "select o_orderkey as h, s::DOUBLE as depth, radians((o_orderkey * 37 + s) % 360) as a, radians(45 + o_orderkey % 45) as dip, o_custkey + 0.37::DOUBLE as x0 from orders, (select unnest([0, 40, 80]) as s)"
 _DIR = f"select *, cos(dip) * sin(a) as u, cos(dip) * cos(a) as v, -sin(dip) as w from ({_ST})"
 _STEP = f"select *, lag(depth) over (partition by h order by depth) as d0, lag(u) over (partition by h order by depth) as u0, lag(v) over (partition by h order by depth) as v0, lag(w) over (partition by h order by depth) as w0 from ({_DIR})"
 
 
 def surveys(t):
-    o = t("orders").filter("o_orderkey % 4 = 1")
-    c = o.select(F.col("o_orderkey").alias("HOLE_ID"), F.col("o_custkey").cast("double").alias("X"), F.lit(0.0).alias("Y"), F.lit(0.0).alias("Z"))
+    o = t("orders")
+    c = o.select(F.col("o_orderkey").alias("HOLE_ID"), (F.col("o_custkey") + 0.37).alias("X"), F.lit(500.0).alias("Y"), F.lit(0.0).alias("Z"))
     s = o.select(F.col("o_orderkey").alias("HOLE_ID"), F.explode(F.array(F.lit(0), F.lit(40), F.lit(80))).alias("DEPTH"))
     s = s.withColumn("AZIMUTH", (F.col("HOLE_ID") * 37 + F.col("DEPTH")) % 360).withColumn("DIP", 45 + F.col("HOLE_ID") % 45)
     return c, s
 
 
 def _desurvey(method: str, m: str) -> None:
-    move = ", ".join(f"coalesce(sum({m.format(c=c)}) over (partition by h order by depth), 0) {'+ x0' if n == 'x' else ''} as {n}" for n, c in zip("xyz", "uvw"))
+    move = ", ".join(f"coalesce(sum({m.format(c=c)}) over (partition by h order by depth), 0) {dict(x='+ x0', y='+ 500').get(n, '')} as {n}" for n, c in zip("xyz", "uvw"))
 
     @query(f"desurvey_{method}", f"select h as hole, depth, {move}, u, v, w from (select *, depth - d0 as s, 2 * asin(least(1, sqrt((u - u0) ** 2 + (v - v0) ** 2 + (w - w0) ** 2) / 2)) as beta from ({_STEP}))", "x y z u v w")
     def _(t):
@@ -505,7 +505,7 @@ _desurvey("balanced", "({c} + {c}0) / 2 * s")
 _desurvey("tangential", "{c}0 * s")
 
 
-@query("samples_at_midpoints", f"with p as (select h, depth, coalesce(sum(u0 * (depth - d0)) over (partition by h order by depth), 0) + x0 as x, coalesce(sum(v0 * (depth - d0)) over (partition by h order by depth), 0) as y, coalesce(sum(w0 * (depth - d0)) over (partition by h order by depth), 0) as z, u, v, w from ({_STEP})), a as (select HOLE_ID, (\"FROM\" + \"TO\") / 2 as d, au from ({ASSAYS})) select HOLE_ID as hole, d as depth, au, x + u * (d - depth) as x, y + v * (d - depth) as y, z + w * (d - depth) as z from a join p on p.h = a.HOLE_ID and p.depth = (select max(q.depth) from p q where q.h = a.HOLE_ID and q.depth <= a.d)", "au x y z")
+@query("samples_at_midpoints", f"with p as (select h, depth, coalesce(sum(u0 * (depth - d0)) over (partition by h order by depth), 0) + x0 as x, coalesce(sum(v0 * (depth - d0)) over (partition by h order by depth), 0) + 500 as y, coalesce(sum(w0 * (depth - d0)) over (partition by h order by depth), 0) as z, u, v, w from ({_STEP})), a as (select HOLE_ID, (\"FROM\" + \"TO\") / 2 as d, au from ({ASSAYS})) select HOLE_ID as hole, d as depth, au, x + u * (d - depth) as x, y + v * (d - depth) as y, z + w * (d - depth) as z from a join p on p.h = a.HOLE_ID and p.depth = (select max(q.depth) from p q where q.h = a.HOLE_ID and q.depth <= a.d)", "au x y z")
 def _(t):
     return holes.samples(holes.desurvey(*surveys(t), method="tangential"), assays(t), keep=["au"])
 
@@ -577,9 +577,9 @@ def _(t):
     return transforms.cell_declustering(samples(t), XYZ, 15.5, 5)
 
 
-@query("polygon_declustering", "with s as (select p_partkey as id, p_size::DOUBLE as x, (p_partkey * 7 % 53)::DOUBLE as y from part where p_partkey <= 60), b as (select min(x) as lx, min(y) as ly, max(x) - min(x) as ex, max(y) - min(y) as ey, count(*) as n from s), st as (select *, sqrt(ex * ey / 400) as h from b), g as (select (lx + (i + 0.5) * ex / nx) as x, (ly + (j + 0.5) * ey / ny) as y, nx * ny as t, n from (select *, ceil(ex / h - 1e-9)::BIGINT as nx, ceil(ey / h - 1e-9)::BIGINT as ny from st), lateral (select unnest(generate_series(0, nx - 1)) as i), lateral (select unnest(generate_series(0, ny - 1)) as j)), w as (select min_by(s.id, ((s.x - g.x) ** 2 + (s.y - g.y) ** 2, s.id)) as id, any_value(g.n) / any_value(t)::DOUBLE as u from g, s group by g.x, g.y) select s.id, coalesce(sum(u), 0) as weight from s left join w using (id) group by 1", "weight")
+@query("polygon_declustering", "with s as (select p_partkey as id, p_size::DOUBLE as x, (p_partkey * 7 % 53)::DOUBLE as y from part), b as (select min(x) as lx, min(y) as ly, max(x) - min(x) as ex, max(y) - min(y) as ey, count(*) as n from s), st as (select *, sqrt(ex * ey / 400) as h from b), g as (select (lx + (i + 0.5) * ex / nx) as x, (ly + (j + 0.5) * ey / ny) as y, nx * ny as t, n from (select *, ceil(ex / h - 1e-9)::BIGINT as nx, ceil(ey / h - 1e-9)::BIGINT as ny from st), lateral (select unnest(generate_series(0, nx - 1)) as i), lateral (select unnest(generate_series(0, ny - 1)) as j)), w as (select min_by(s.id, ((s.x - g.x) ** 2 + (s.y - g.y) ** 2, s.id)) as id, any_value(g.n) / any_value(t)::DOUBLE as u from g, s group by g.x, g.y) select s.id, coalesce(sum(u), 0) as weight from s left join w using (id) group by 1", "weight")
 def _(t):
-    s = t("part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") * 7 % 53).cast("double").alias("y"))
+    s = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") * 7 % 53).cast("double").alias("y"))
     return transforms.polygon_declustering(s, ["x", "y"], 400)
 
 
@@ -799,3 +799,6 @@ def _(t):
 @query("assign_domain", f"with n as (select t.id, g::VARCHAR as g, row_number() over (partition by t.id order by (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2, s.id) as r from ({TARGETS}) t, ({SAMPLES}) s where (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2 <= 900), v as (select id, g, count(*) as m, min(r) as r, sum(count(*)) over (partition by id) as a from n where r <= 5 group by 1, 2), b as (select *, row_number() over (partition by id order by m desc, r) as q from v) select t.id, g as domain, m::DOUBLE / a as confidence from ({TARGETS}) t left join (select * from b where q = 1) b using (id)", "confidence")
 def _(t):
     return blocks.assign_domain(targets(t), samples(t), "g", 30.0, 5)
+
+
+from . import more_queries  # noqa: E402, F401  (registers its queries)

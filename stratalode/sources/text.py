@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: What counts as missing where the caller names nothing.
 NODATA_NUMBERS = (-99.0, -999.0, 1e21)
-NODATA_TEXTS = ("", "na", "n/a", "nan", "null", "none", "-")
+NODATA_TEXTS = ("", "-", "--", "#n/a", "n.a.", "n/a", "n/d", "na", "nan", "nd", "none", "null")
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
