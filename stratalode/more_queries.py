@@ -9,26 +9,30 @@ from .queries import SAMPLES, XYZ, query, samples
 
 # ---- compositions in aggregate
 
-PARTS = [F.col("l_quantity"), 1 + 100 * F.col("l_discount"), 1 + 100 * F.col("l_tax")]
+PARTS = ["l_quantity", "_discount", "_tax"]
 _L = "select ln(l_quantity) as x0, ln(1 + 100 * l_discount) as x1, ln(1 + 100 * l_tax) as x2, l_extendedprice as w from lineitem"
 _E = ", ".join(f"exp(sum(w * x{i}) / sum(w)) as e{i}" for i in range(3))
 _PAIRS = "select i, j, w, list_value(x0, x1, x2)[i + 1] - list_value(x0, x1, x2)[j + 1] as d from ({}), (select unnest([0, 1, 2]) as i), (select unnest([0, 1, 2]) as j)".format(_L)
 _V = f"select i, j, sum(w * (d - m) ** 2) / sum(w) as variance from (select p.*, (sum(w * d) over (partition by i, j)) / (sum(w) over (partition by i, j)) as m from ({_PAIRS}) p) group by 1, 2"
 
 
+def _parts(t):
+    return t("lineitem").withColumns({"_discount": 1 + 100 * F.col("l_discount"), "_tax": 1 + 100 * F.col("l_tax")})
+
+
 @query("composition_center", f"select part, e / sum(e) over () as share from (select unnest([0, 1, 2]) as part, unnest([e0, e1, e2]) as e from (select {_E} from ({_L})))", "share")
 def _(t):
-    return containers.composition_center(t("lineitem"), PARTS, "l_extendedprice")
+    return containers.composition_center(_parts(t), PARTS, "l_extendedprice")
 
 
 @query("variation_matrix", _V, "variance")
 def _(t):
-    return containers.variation_matrix(t("lineitem"), PARTS, "l_extendedprice").withColumn("variance", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("variance")))
+    return containers.variation_matrix(_parts(t), PARTS, "l_extendedprice").withColumn("variance", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("variance")))
 
 
 @query("total_variance", f"select sum(variance) / 6 as variance from ({_V})", "variance")
 def _(t):
-    return containers.total_variance(t("lineitem"), PARTS, "l_extendedprice")
+    return containers.total_variance(_parts(t), PARTS, "l_extendedprice")
 
 
 # ---- tables, categories
@@ -100,13 +104,13 @@ def _(t):
 
 # ---- polylines
 
-_LINE = "select p_size as feature, p_partkey % 2 as part, row_number() over (partition by p_size, p_partkey % 2 order by p_partkey) - 1 as vertex, p_retailprice as x, (p_partkey % 41)::DOUBLE as y, (p_partkey % 17)::DOUBLE as z from part"
+_LINE = "select p_size as feature, p_partkey % 2 as part, row_number() over (partition by p_size, p_partkey % 2 order by p_partkey) - 1 as vertex, p_retailprice as x, (p_partkey * p_partkey % 41)::DOUBLE as y, (p_partkey % 17)::DOUBLE as z from part"
 _NEXT = f"select *, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny, coalesce(lead(z) over w, first_value(z) over w) as nz, lead(x) over w is null as last from ({_LINE}) window w as (partition by feature, part order by vertex)"
 
 
 def _lines(t):
     k = F.col("p_partkey")
-    return containers.polyline_points(t("part"), "p_size", ["p_partkey"], ["p_retailprice", k % 41, k % 17], part=k % 2)
+    return containers.polyline_points(t("part"), "p_size", ["p_partkey"], ["p_retailprice", k * k % 41, k % 17], part=k % 2)
 
 
 @query("polyline_points", _LINE, "x y z")
@@ -124,7 +128,7 @@ def _(t):
     return containers.polyline_lengths(_lines(t), closed=True)
 
 
-@query("polyline_areas", f"select feature, abs(sum((x - 1000) * (ny - 20) - (nx - 1000) * (y - 20))) / 2 as area from ({_NEXT}) group by 1", "area")
+@query("polyline_areas", f"select feature, abs(sum(case when k >= 3 then (x - 1000) * (ny - 20) - (nx - 1000) * (y - 20) else 0 end)) / 2 as area from (select *, count(*) over (partition by feature, part) as k from ({_NEXT})) group by 1", "area")
 def _(t):
     return containers.polyline_areas(_lines(t))
 

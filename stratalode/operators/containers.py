@@ -180,12 +180,13 @@ def polyline_lengths(vertices: DataFrame, closed: bool = False) -> DataFrame:
 
 
 def polyline_areas(vertices: DataFrame) -> DataFrame:
-    """feature, area: the shoelace area of each feature's closed parts in the plane, holes wound the other way taken off."""
+    """feature, area: the shoelace area of each feature's closed parts in the plane, holes wound the other way taken off; fewer than three vertices have none."""
     w = Window.partitionBy("feature", "part").orderBy("vertex")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in "xy")
     ox, oy = (F.first(c).over(whole) for c in "xy")
-    t = vertices.withColumn("_a", (F.col("x") - ox) * (ny - oy) - (nx - ox) * (F.col("y") - oy))
+    enough = F.count(F.lit(1)).over(whole) >= 3
+    t = vertices.withColumn("_a", F.when(enough, 1.0).otherwise(0.0) * ((F.col("x") - ox) * (ny - oy) - (nx - ox) * (F.col("y") - oy)))
     return t.groupBy("feature").agg((F.abs(F.sum("_a")) / 2).alias("area"))
 
 

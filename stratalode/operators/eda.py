@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, divided, value
+from .ranks import joined, mid_ranks, weighted_quantiles
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 ALL = "all"
@@ -35,35 +36,12 @@ def _with_all(t: DataFrame) -> DataFrame:
     return e.withColumn("category", F.col("_e.g")).withColumn("_all", F.col("_e.k")).drop("_e", "_g").filter("category is not null")
 
 
-def weighted_quantiles(t: DataFrame, by: Sequence[str], quantiles: Sequence[float], v: str = "_v", w: str = "_w") -> DataFrame:
-    """One row per group with q0, q1, ...: linear between the middles of the ordered weights, constant outside.
-
-    Only the rows around a wanted quantile leave the window: each row carries the next row's place, and a
-    conditional aggregate picks the pair that brackets it.
-    """
-    t = t.filter(F.col(w) > 0)
-    order = Window.partitionBy(*by).orderBy(v, w)
-    whole = Window.partitionBy(*by)
-    upto = F.sum(w).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("_p", (upto - F.col(w) / 2) / F.sum(w).over(whole))
-    t = t.withColumn("_p2", F.lead("_p").over(order)).withColumn("_v2", F.lead(v).over(order))
-    aggs = []
-    for k, q in enumerate(quantiles):
-        q = F.lit(float(q))
-        inside = (F.col("_p") <= q) & (F.col("_p2") > q)
-        between = F.col(v) + (F.col("_v2") - F.col(v)) * (q - F.col("_p")) / (F.col("_p2") - F.col("_p"))
-        got = F.max(F.when(inside, between))
-        aggs.append(F.coalesce(got, F.when(q < F.min("_p"), F.min(v)).otherwise(F.max(v))).alias(f"q{k}"))
-    return t.groupBy(*by).agg(*aggs)
-
-
 def _moments(t: DataFrame, by: Sequence[str]) -> DataFrame:
-    mean = divided(F.sum(F.col("_w") * F.col("_v")), F.sum("_w"))
-    m = t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
-    about = t.join(m.select(*by, F.col("mean").alias("_m")), list(by)) if by else t.crossJoin(F.broadcast(m.select(F.col("mean").alias("_m"))))
+    """One pass of sums about the mean of all rows, which loses few digits."""
+    t = joined(t, t.agg(F.avg("_v").alias("_m")), [])
     d = F.col("_v") - F.col("_m")
-    var = about.groupBy(*by).agg(divided(F.sum(F.col("_w") * d * d), F.sum("_w")).alias("variance"))
-    m = m.join(var, list(by)) if by else m.crossJoin(F.broadcast(var))
+    s1, s2 = divided(F.sum(F.col("_w") * d), F.sum("_w")), divided(F.sum(F.col("_w") * d * d), F.sum("_w"))
+    m = t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.first("_m") + s1).alias("mean"), F.greatest(s2 - s1 * s1, F.lit(0.0)).alias("variance"), F.min("_v").alias("min"), F.max("_v").alias("max"))
     return m.withColumn("std", F.sqrt("variance")).withColumn("cv", divided(F.col("std"), F.col("mean")))
 
 
@@ -270,31 +248,36 @@ def cap(df: DataFrame, values: str, caps: DataFrame, domains: str | None = None,
     return joined.withColumn(out, F.when(v.isNotNull(), F.least(v, F.coalesce("_cap", v)))).drop("_cap")
 
 
-def mid_rank(v: str, w: str, by: Sequence[str] = ()) -> Column:
-    """Weight below plus half the weight of the ties."""
-    less = Window.partitionBy(*by).orderBy(v).rangeBetween(Window.unboundedPreceding, 0)
-    ties = Window.partitionBy(*by, v)
-    return F.sum(w).over(less) - F.sum(w).over(ties) / 2
-
-
 def correlation(df: DataFrame, columns: Sequence[str], weights=None, method: str = "pearson") -> DataFrame:
     """a, b, n and value of each pair of columns, over rows where both are known.
 
-    The pairs are turned to rows first, so one aggregation serves all of them.
+    `pearson` and `covariance` are one aggregation of sums about the columns' means. `spearman` correlates ranks among the rows
+    of a pair, so there each pair has rows of its own.
     """
     cols = [value(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    t = df.select(*cols, _weight(weights).alias("_w"))
+    t = df.select(*cols, _weight(weights).alias("_w")).filter("_w > 0")
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    rows = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for i, j in pairs])
-    t = t.select("_w", F.explode(rows).alias("r")).select("_w", "r.*").filter("x is not null and y is not null and _w > 0")
+
+    def sums(t: DataFrame, x: str, y: str, ok: Column) -> list[Column]:
+        dx, dy, w = F.col(x) - F.col(f"{x}m"), F.col(y) - F.col(f"{y}m"), F.when(ok, F.col("_w"))
+        return [F.count(w), F.sum(w), *[F.sum(w * d) for d in (dx, dy, dx * dy, dx * dx, dy * dy)]]
+
+    def measured(s: Sequence[Column]) -> Column:
+        n, w, x, y, xy, xx, yy = s
+        xy, xx, yy = (p / w - (q / w) * (r / w) for p, q, r in ((xy, x, y), (xx, x, x), (yy, y, y)))
+        return xy if method == "covariance" else divided(xy, F.sqrt(xx * yy))
+
     if method == "spearman":
-        t = t.select("a", "b", "_w", mid_rank("x", "_w", ["a", "b"]).alias("x"), mid_rank("y", "_w", ["a", "b"]).alias("y"))
-    m = t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("mx"), (F.sum(F.col("_w") * F.col("y")) / F.sum("_w")).alias("my"))
-    d = t.join(F.broadcast(m), ["a", "b"])
-    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    s = d.groupBy("a", "b").agg(F.first("n").alias("n"), F.sum(F.col("_w") * dx * dy).alias("xy"), F.sum(F.col("_w") * dx * dx).alias("xx"), F.sum(F.col("_w") * dy * dy).alias("yy"), F.sum("_w").alias("W"))
-    out = F.col("xy") / F.col("W") if method == "covariance" else divided(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
-    return s.select("a", "b", "n", out.alias("value"))
+        rows = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for i, j in pairs])
+        t = t.select("_w", F.explode(rows).alias("r")).select("_w", "r.*").filter("x is not null and y is not null")
+        t = mid_ranks(mid_ranks(t, ["a", "b"], "x", "_w", "_x"), ["a", "b"], "y", "_w", "_y").select("a", "b", "_w", F.col("_x").alias("x"), F.col("_y").alias("y"))
+        t = joined(t, t.agg(F.avg("x").alias("xm"), F.avg("y").alias("ym")), [])
+        s = sums(t, "x", "y", F.lit(True))
+        return t.groupBy("a", "b").agg(*[c.alias(f"s{k}") for k, c in enumerate(s)]).select("a", "b", F.col("s0").alias("n"), measured([F.col(f"s{k}") for k in range(7)]).alias("value"))
+    t = joined(t, t.agg(*[F.avg(f"c{i}").alias(f"c{i}m") for i in range(len(columns))]), [])
+    aggs = [c.alias(f"p{i}_{j}_{k}") for i, j in pairs for k, c in enumerate(sums(t, f"c{i}", f"c{j}", F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()))]
+    one = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"p{i}_{j}_0").alias("n"), measured([F.col(f"p{i}_{j}_{k}") for k in range(7)]).alias("value")) for i, j in pairs]
+    return t.agg(*aggs).select(F.inline(F.array(*one))).filter("n > 0")
 
 
 def compare(df: DataFrame, estimate, truth) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, direction, divided, value
-from .eda import weighted_quantiles
+from .ranks import weighted_quantiles
 from .joins import components, nearest, points, second, within
 
 

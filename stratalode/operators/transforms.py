@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box_cox, divided, normal_ppf, total, value
-from .eda import _weight, valued, weighted_quantiles
+from .eda import _weight, valued
+from .ranks import between, cumulative, joined, weighted_quantiles
 
 
 def normal_score_table(df: DataFrame, values, weights=None, order: Sequence = ()) -> DataFrame:
@@ -20,10 +21,10 @@ def normal_score_table(df: DataFrame, values, weights=None, order: Sequence = ()
     Weights up to 1e-10 of the greatest are left out.
     """
     t = df.select(value(values).alias("value"), _weight(weights).alias("w"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).filter("value is not null and w is not null")
-    everything = Window.partitionBy()
-    t = t.withColumn("_m", F.max("w").over(everything)).filter("w > 1e-10 * _m")
-    up = Window.orderBy("value", *[f"o{i}" for i in range(len(order))], "w").rowsBetween(Window.unboundedPreceding, 0)
-    p = (F.sum("w").over(up) - F.col("w") / 2) / F.sum("w").over(everything)
+    t = joined(t, t.agg(F.max("w").alias("_m")), []).filter("w > 1e-10 * _m").drop("_m")
+    t = joined(t, cumulative(t, [], "value", "w").select("value", "_below", "_whole"), ["value"])
+    ties = Window.partitionBy("value").orderBy(*[f"o{i}" for i in range(len(order))], "w").rowsBetween(Window.unboundedPreceding, 0)
+    p = (F.col("_below") + F.sum("w").over(ties) - F.col("w") / 2) / F.col("_whole")
     return t.select("value", p.alias("p")).withColumn("score", normal_ppf("p"))
 
 
@@ -32,29 +33,12 @@ def normal_score_nodes(table: DataFrame) -> DataFrame:
     return table.groupBy("value").agg(F.avg("score").alias("score"), F.avg("p").alias("p"))
 
 
-def _between(df: DataFrame, x, nodes: DataFrame, key: str, out: str, name: str) -> DataFrame:
-    """All rows with the value of `out` interpolated linearly at x in `nodes` ordered by `key`; constant outside.
-
-    An as-of join as one window: rows and nodes are sorted together.
-    """
-    kind = F.struct(F.col(key).alias("k"), F.col(out).alias("v"))
-    a = df.select(value(x).alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast("struct<k:double,v:double>").alias("_n"), F.struct(*df.columns).alias("_row"))
-    b = nodes.select(F.col(key).alias("_x"), F.lit(0).alias("_o"), kind.alias("_n"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.orderBy("_x", "_o")
-    t = a.filter("_x is not null").unionByName(b)
-    t = t.withColumn("_p", F.last("_n", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_q", F.first("_n", True).over(w.rowsBetween(1, Window.unboundedFollowing))).filter("_o = 1")
-    share = divided(F.col("_x") - F.col("_p.k"), F.col("_q.k") - F.col("_p.k"))
-    v = F.when(F.col("_p").isNull(), F.col("_q.v")).when(F.col("_q").isNull(), F.col("_p.v")).otherwise(F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * share)
-    known = t.select("_row.*", v.alias(name))
-    return known.unionByName(df.filter(value(x).isNull()).withColumn(name, F.lit(None).cast("double")))
-
-
 def normal_score(df: DataFrame, x, nodes: DataFrame, out: str = "score") -> DataFrame:
-    return _between(df, x, nodes, "value", "score", out)
+    return between(df, value(x), nodes, "value", "score", out)
 
 
 def normal_score_inverse(df: DataFrame, y, nodes: DataFrame, out: str = "value_") -> DataFrame:
-    return _between(df, y, nodes, "score", "value", out)
+    return between(df, value(y), nodes, "score", "value", out)
 
 
 def cell_declustering(df: DataFrame, coords: Sequence, size: float, offsets: int = 25, id: str = "id") -> DataFrame:
@@ -152,13 +136,14 @@ def downscale(df: DataFrame, size: Sequence[float], refine: Sequence[int]) -> Da
 def correct_distribution(df: DataFrame, values, reference: DataFrame, ref_values, ref_weights=None, strength: float = 1.0, order: Sequence[str] = (), out: str = "corrected") -> DataFrame:
     """Each value moved, by strength, to the reference's quantile at its own rank (i + 0.5) / m."""
     v = value(values)
-    known = df.filter(v.isNotNull())
-    m = Window.partitionBy()
-    r = known.withColumn("_q", (F.row_number().over(Window.orderBy(v, *order)) - 0.5) / F.count(F.lit(1)).over(m))
-    t = valued(reference, ref_values, ref_weights).filter("_w > 0")
-    up = Window.orderBy("_v", "_w").rowsBetween(Window.unboundedPreceding, 0)
-    nodes = t.select(((F.sum("_w").over(up) - F.col("_w") / 2) / F.sum("_w").over(m)).alias("p"), F.col("_v").alias("value"))
-    done = _between(r, "_q", nodes, "p", "value", "_ref")
+    known = df.filter(v.isNotNull()).withColumn("_cv", v).withColumn("_one", F.lit(1.0))
+    r = joined(known, cumulative(known, [], "_cv", "_one").select("_cv", "_below", "_whole"), ["_cv"])
+    ties = Window.partitionBy("_cv").orderBy(*(order or ["_cv"]))
+    r = r.withColumn("_q", (F.col("_below") + F.row_number().over(ties) - 0.5) / F.col("_whole")).drop("_cv", "_one", "_below", "_whole")
+    c = cumulative(valued(reference, ref_values, ref_weights).filter("_w > 0"), [], "_v", "_w")
+    first, last = F.col("_below") + F.col("_least") / 2, F.col("_below") + F.col("_ties") - F.col("_most") / 2  # ties have one value from their first to their last
+    nodes = c.select(F.explode(F.array_distinct(F.array(first / F.col("_whole"), last / F.col("_whole")))).alias("p"), F.col("_v").alias("value"))
+    done = between(r, F.col("_q"), nodes, "p", "value", "_ref")
     return done.withColumn(out, v + strength * (F.col("_ref") - v)).drop("_ref", "_q")
 
 
@@ -273,13 +258,12 @@ def kernel_density(df: DataFrame, values, at: Sequence[float], weights=None, ban
 
 
 def anamorphosis(df: DataFrame, values, degree: int, weights=None) -> list[float]:
-    """Hermite coefficients psi_0..psi_degree of the sorted values: each is one ordered window sum."""
+    """Hermite coefficients psi_0..psi_degree of the sorted values, sums over the distinct ones."""
     from ..functions.columns import hermite
 
     t = valued(df, values, weights).filter("_w > 0")
-    up = Window.orderBy("_v", "_w")
-    cum = F.sum("_w").over(up.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(Window.partitionBy())
-    t = t.select("_v", F.lead("_v").over(up).alias("_n"), normal_ppf(cum).alias("_y"), cum.alias("_c"))
+    cum = (F.col("_below") + F.col("_ties")) / F.col("_whole")
+    t = cumulative(t, [], "_v", "_w").select("_v", F.col("_next.v").alias("_n"), normal_ppf(cum).alias("_y"))
     g = F.exp(-F.col("_y") * F.col("_y") / 2) / math.sqrt(2 * math.pi)
     h = hermite("_y", degree)
     step = F.col("_v") - F.col("_n")  # by parts: what is left at each bound between classes
