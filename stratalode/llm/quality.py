@@ -89,9 +89,10 @@ def word_vectors(docs: DataFrame, near: int = 2) -> np.ndarray:
                     for k in range(ONES):
                         total += np.bincount(left * DIMS + places[right, k], signs[right, k], WORDS * DIMS)
                         total += np.bincount(right * DIMS + places[left, k], signs[left, k], WORDS * DIMS)
-        trim()
         table = np.concatenate([total.reshape(WORDS, DIMS), counts[:, None]], axis=1).astype(np.int64)
+        del total, counts
         small = np.int32 if np.abs(table).max(initial=0) < 1 << 31 else np.int64
+        trim()
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(SLICES), pa.int32()), "wide": pa.array([small is np.int64] * SLICES), "sums": pa.array([table[s * step : (s + 1) * step].astype(small).tobytes() for s in range(SLICES)], pa.binary())})
 
     def total(t):

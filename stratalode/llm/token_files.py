@@ -168,7 +168,7 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(lengths)])
         return self.ids[_ranges(there, lengths)], upto[np.searchsorted(starts, off)]
 
-    def __call__(self, texts: list[str], size: int = 1 << 20):
+    def __call__(self, texts: list[str], size: int = 1 << 18):
         """Ids of each text, in order; about `size` bytes are worked on at once."""
         if not self.pieces:
             for e in self.t.encode_batch_fast(texts, add_special_tokens=False):
@@ -193,7 +193,7 @@ def encoder(path: str, dtype: str, keep: int) -> Encoder:
     return _ENCODERS[path, dtype]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, bytes_at_once: int = 1 << 20, keep: int = 1_000_000, reuse: bool = True) -> str:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, bytes_at_once: int = 1 << 18, keep: int = 1_000_000, reuse: bool = True) -> str:
     """Encode every whole text, append end_id, write shards in ascending doc_id order; returns the folder.
 
     Documents are range-partitioned and sorted by doc_id (ties: by text), one shard a partition:
@@ -215,6 +215,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
 
     def encode(batches):
         t = encoder(tokenizer, dtype, keep) if reuse else Encoder(tokenizer, dtype, keep)
+        done = None
         end = np.array([end_id], dtype)
         n, ids, lengths, owners, nulls = TaskContext.get().partitionId(), [], [], [], 0
         for b in sliced(batches):
@@ -227,8 +228,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
             _put(folder, f"{n:06d}.ids", ids)
             _put(folder, f"{n:06d}.off", [np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")])
             _put(folder, f"{n:06d}.doc", owners)
-            yield pa.RecordBatch.from_pydict({"shard": [n], "docs": [len(lengths)], "ids": [int(sum(lengths))], "nulls": [nulls]})
+            done = pa.RecordBatch.from_pydict({"shard": [n], "docs": [len(lengths)], "ids": [int(sum(lengths))], "nulls": [nulls]})
+        b = x = None
+        del t, ids, lengths, owners  # else they would outlive what is given back
         trim()
+        if done:
+            yield done
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     d = d.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
