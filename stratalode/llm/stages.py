@@ -66,7 +66,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents, as read back."""
     import public_tokenizers
 
-    return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), reuse=False)  # workers that did four stages before hold enough
+    return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=300_000)  # beside what four stages left on the executors
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("mixing", mixed), ("token_files", tokens)]
