@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import value
+from . import near
 
 AXES = ("x", "y", "z")
 
@@ -56,13 +57,17 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return near.drop("cx", "cy", "cz", "cx2", "cy2", "cz2")
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int, radius: float, condition: Column | None = None) -> DataFrame:
-    """The k nearest rows of b within radius of each row of a, with distance and rank; ties by id of b."""
-    t = within(a, b, radius)
-    if condition is not None:
-        t = t.filter(condition)
+def nearest(a: DataFrame, b: DataFrame, k: int, radius: float, condition: Column | None = None, spare: int | None = None) -> DataFrame:
+    """The k nearest rows of b within radius of each row of a, with distance and rank; ties by id of b.
+
+    A condition on the pairs leaves out `spare` rows of b at most for each row of a; where that is not known, all pairs
+    within radius are listed.
+    """
     w = Window.partitionBy("id").orderBy("distance", "id2")
-    return t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if condition is None:
+        return near.nearest(a, b, k, radius)
+    t = within(a, b, radius) if spare is None else near.nearest(a, b, k + spare, radius).drop("rank")
+    return t.filter(condition).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:

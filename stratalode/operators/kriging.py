@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import shape, value
 from .joins import nearest, points
+from .near import by_place
 
 
 @dataclass(frozen=True)
@@ -126,16 +127,23 @@ class System:
         return estimate, np.maximum(c0 - (w * right).sum(-1), 0), weights
 
 
-def krige(targets: DataFrame, data: DataFrame, coords: Sequence, values, system: System, radius: float, k: int = 16, min_samples: int = 1, target_id: str = "id", data_id: str = "id", condition=None, weights: bool = False) -> DataFrame:
+def krige(targets: DataFrame, data: DataFrame, coords: Sequence, values, system: System, radius: float, k: int = 16, min_samples: int = 1, target_id: str = "id", data_id: str = "id", condition=None, spare: int | None = None, weights: bool = False) -> DataFrame:
     """id, estimate, variance, n of every target (null where fewer than min_samples or singular); optionally samples and weights.
 
-    Samples at one place count once, the first by id.
+    Samples at one place count once, the first by id. Targets at one place are solved once. For condition and spare see `nearest`.
     """
     t = points(targets, coords, [], target_id)
+    if condition is None:
+        return by_place(t, lambda places: _solved(places, data, coords, values, system, radius, k, min_samples, data_id, None, None, weights))
+    return _solved(t, data, coords, values, system, radius, k, min_samples, data_id, condition, spare, weights)
+
+
+def _solved(t: DataFrame, data: DataFrame, coords, values, system: System, radius: float, k: int, min_samples: int, data_id: str, condition, spare, weights: bool, cuts: Sequence[float] | None = None) -> DataFrame:
+    """See `krige`; with cuts also `shares`, the estimates of the indicators of each."""
     s = points(data, coords, [value(values).alias("v")], data_id).filter("v is not null")
     first = Window.partitionBy("x", "y", "z").orderBy("id")
     s = s.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    near = nearest(t, s, k, radius, condition)
+    near = nearest(t, s, k, radius, condition, spare)
     rows = near.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"), F.array_sort(F.collect_list(F.struct("rank", "id2", "x2", "y2", "z2", "v2"))).alias("s")).filter(F.size("s") >= min_samples)
     flat = rows.select("id", F.array("x", "y", "z").alias("t"), F.flatten(F.transform("s", lambda p: F.array(p["x2"], p["y2"], p["z2"]))).alias("p"), F.transform("s", lambda p: p["v2"]).alias("v"), F.transform("s", lambda p: p["id2"]).alias("samples"))
 
@@ -148,19 +156,23 @@ def krige(targets: DataFrame, data: DataFrame, coords: Sequence, values, system:
                 x = np.stack(part["p"].to_list()).reshape(len(part), n, 3)
                 e, var, w = system.solve(x, np.stack(part["v"].to_list()), np.stack(part["t"].to_list()))
                 out = pd.DataFrame({"id": part["id"].to_numpy(), "estimate": e, "variance": var, "n": n})
-                out["samples"], out["weights"] = list(part["samples"]), list(w)
+                if cuts is not None:
+                    v = np.stack(part["v"].to_list())
+                    out["shares"] = list(np.stack([(w * (v <= c)).sum(-1) for c in cuts], axis=1)) if cuts else [[]] * len(out)
+                if weights:
+                    out["samples"], out["weights"] = list(part["samples"]), list(w)
                 yield out.where(out.notna(), None) if np.isnan(e).any() else out
 
-    done = flat.mapInPandas(solved, "id long, estimate double, variance double, n long, samples array<long>, weights array<double>")
+    done = flat.mapInPandas(solved, "id long, estimate double, variance double, n long" + ", shares array<double>" * (cuts is not None) + ", samples array<long>, weights array<double>" * weights)
     out = t.select("id").join(done, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return out if weights else out.select("id", "estimate", "variance", "n")
+    return out
 
 
 def cross_validate(data: DataFrame, coords: Sequence, values, system: System, radius: float, k: int = 16, id: str = "id", folds: int | None = None, holes=None) -> DataFrame:
     """id, truth, estimate, variance: each sample from the others, or from other folds (whole holes, dealt in order)."""
     if folds is None:
         condition = F.col("id") != F.col("id2")
-        est = krige(data, data, coords, values, system, radius, k, 1, id, id, condition)
+        est = krige(data, data, coords, values, system, radius, k, 1, id, id, condition, 1)
     else:
         key = F.col(id) if holes is None else F.col(holes)
         fold = data.select(key.alias("_k")).distinct().withColumn("_f", (F.row_number().over(Window.orderBy("_k")) - 1) % folds)
@@ -174,13 +186,15 @@ def cross_validate(data: DataFrame, coords: Sequence, values, system: System, ra
 
 
 def indicator_krige(targets: DataFrame, data: DataFrame, coords: Sequence, values, thresholds: Sequence[float], variogram: Variogram, radius: float, k: int = 16, target_id: str = "id", data_id: str = "id") -> DataFrame:
-    """id, threshold, cdf: ordinary kriging of each indicator, clamped, order corrected by the mean of the upward running maximum and the downward running minimum."""
-    out = None
-    for c in thresholds:
-        v = value(values)
-        one = krige(targets, data.withColumn("_i", F.when(v.isNotNull(), (v <= c).cast("double"))), coords, "_i", System(variogram), radius, k, 1, target_id, data_id)
-        one = one.select("id", F.lit(float(c)).alias("threshold"), F.least(F.greatest("estimate", F.lit(0.0)), F.lit(1.0)).alias("cdf"))
-        out = one if out is None else out.unionByName(one)
+    """id, threshold, cdf: ordinary kriging of each indicator, clamped, order corrected by the mean of the upward running maximum and the downward running minimum.
+
+    The indicators share their samples and weights: one search and one solution for all thresholds.
+    """
+    cuts = [float(c) for c in thresholds]
+    t = points(targets, coords, [], target_id)
+    out = by_place(t, lambda places: _solved(places, data, coords, values, System(variogram), radius, k, 1, data_id, None, None, False, cuts))
+    each = [F.struct(F.lit(c).alias("threshold"), F.get("shares", F.lit(i)).alias("estimate")) for i, c in enumerate(cuts)]
+    out = out.select("id", F.inline(F.array(*each))).select("id", "threshold", F.least(F.greatest("estimate", F.lit(0.0)), F.lit(1.0)).alias("cdf"))
     w = Window.partitionBy("id").orderBy("threshold")
     up = F.max("cdf").over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.min("cdf").over(w.rowsBetween(0, Window.unboundedFollowing))
