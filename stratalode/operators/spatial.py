@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, direction, divided, value
 from .ranks import weighted_quantiles
 from .joins import components, nearest, points, second, within
+from .near import by_place, counted, nearest_holes
 
 
 def _samples(df: DataFrame, coords, values, id, **more) -> DataFrame:
@@ -22,8 +23,7 @@ def interpolate(targets: DataFrame, data: DataFrame, coords: Sequence, values, r
 
     Fewer than min_samples: null. Inverse distance: an exact hit (1e-12) wins.
     """
-    t = points(targets, coords, [], target_id)
-    near = nearest(t, _samples(data, coords, values, data_id), k, radius)
+    s = _samples(data, coords, values, data_id)
     w = F.pow(F.greatest("distance", F.lit(1e-12)), F.lit(-float(power)))
     hit = F.col("distance") < 1e-12
     made = {
@@ -32,8 +32,7 @@ def interpolate(targets: DataFrame, data: DataFrame, coords: Sequence, values, r
         "average": F.avg("v2"),
         "median": F.median("v2"),
     }[method]
-    g = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), made.alias("estimate"))
-    out = t.select("id").join(g, "id", "left")
+    out = by_place(points(targets, coords, [], target_id), lambda t: nearest(t, s, k, radius).groupBy("id").agg(F.count(F.lit(1)).alias("n"), made.alias("estimate")))
     return out.select("id", F.when(F.col("n") >= min_samples, F.col("estimate")).alias("estimate"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -41,31 +40,32 @@ def neighborhood_stats(targets: DataFrame, data: DataFrame, coords: Sequence, va
     """Of each target: samples and holes within radius, nearest, mean and max distance of the k nearest, and their values."""
     t = points(targets, coords, [], target_id)
     s = _samples(data, coords, values, data_id, hole=holes if holes is not None else F.lit(0))
-    all_ = within(t, s, radius)
-    n = all_.groupBy("id").agg(F.count(F.lit(1)).alias("n_within"), F.countDistinct("hole2").alias("n_holes"))
-    near = all_.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "id2"))).filter(F.col("rank") <= k)
     w = 1 / F.pow(F.greatest("distance", F.lit(1e-12)), F.lit(2.0))
-    g = near.groupBy("id").agg(F.min("distance").alias("nearest"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), F.avg("v2").alias("mean"), F.var_pop("v2").alias("variance"), F.min("v2").alias("min"), F.max("v2").alias("max"), (F.sum(w * F.col("v2")) / F.sum(w)).alias("idw"))
     zero = F.lit(0).cast("long")
-    return t.select("id").join(n, "id", "left").join(g, "id", "left").select("id", F.coalesce("n_within", zero).alias("n_within"), F.coalesce("n_holes", zero).alias("n_holes"), *[c for c in g.columns if c != "id"])
+
+    def made(places):
+        n = counted(places, s.drop("v", "hole"), radius).withColumnRenamed("n", "n_within")
+        h = nearest_holes(places, s.drop("v"), None, radius).groupBy("id").agg(F.count("hole2").alias("n_holes"))
+        g = nearest(places, s, k, radius).groupBy("id").agg(F.min("distance").alias("nearest"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), F.avg("v2").alias("mean"), F.var_pop("v2").alias("variance"), F.min("v2").alias("min"), F.max("v2").alias("max"), (F.sum(w * F.col("v2")) / F.sum(w)).alias("idw"))
+        return n.join(h, "id").join(g, "id")
+
+    out = by_place(t, made)
+    return out.select("id", F.coalesce("n_within", zero).alias("n_within"), F.coalesce("n_holes", zero).alias("n_holes"), *[c for c in out.columns if c not in ("id", "n_within", "n_holes")])
 
 
 def hole_distance(targets: DataFrame, data: DataFrame, coords: Sequence, holes, n: int, radius: float, target_id: str | None = None, data_id: str | None = None) -> DataFrame:
     """Mean distance of each target to the n nearest holes, each at its nearest sample; null where fewer are in reach."""
     t = points(targets, coords, [], target_id)
     s = points(data, coords, [col(holes).alias("hole")], data_id)
-    per = within(t, s, radius).groupBy("id", "hole2").agg(F.min("distance").alias("distance"))
-    r = per.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "hole2"))).filter(F.col("rank") <= n)
-    g = r.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("d"))
-    return t.select("id").join(g, "id", "left").select("id", F.when(F.col("n") >= n, F.col("d")).alias("distance"))
+    g = by_place(t, lambda places: nearest_holes(places, s, n, radius).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("d")))
+    return g.select("id", F.when(F.col("n") >= n, F.col("d")).alias("distance"))
 
 
 def data_spacing(targets: DataFrame, data: DataFrame, coords: Sequence, radius: float, composite_length: float, target_id: str | None = None, data_id: str | None = None) -> DataFrame:
     """sqrt(volume of the search ball / (composite length * samples in it)); null without samples."""
     t, s = points(targets, coords, [], target_id), points(data, coords, [], data_id)
-    n = within(t, s, radius).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     volume = 4 / 3 * math.pi * radius**3
-    return t.select("id").join(n, "id", "left").select("id", F.sqrt(F.lit(volume / composite_length) / F.col("n")).alias("spacing"))
+    return by_place(t, lambda places: counted(places, s, radius)).select("id", F.sqrt(F.lit(volume / composite_length) / F.col("n")).alias("spacing"))
 
 
 def duplicates(data: DataFrame, coords: Sequence, tolerance: float, id: str | None = None) -> DataFrame:
