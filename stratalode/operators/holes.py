@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,45 +218,66 @@ def planned_drillholes(spark, corner: tuple[float, float], count: tuple[int, int
 
 
 def runs(df: DataFrame, grade: str, cutoff: float, min_length: float = 0.0, max_dilution: float = 0.0, hole: str = "HOLE_ID", from_: str = "FROM", to: str = "TO") -> DataFrame:
-    """Ore and waste runs per hole: neighbours of one kind joined, thin inner waste diluted down-hole, short ore turned to waste shortest first."""
-
-    def one(pdf):
-        import pandas as pd
-
-        out: list[list] = []
-        for f, t, g in pdf.sort_values([from_, to])[[from_, to, grade]].itertuples(index=False):
-            ore = g is not None and g == g and g >= cutoff
-            metal, known = ((t - f) * g, t - f) if g is not None and g == g else (0.0, 0.0)
-            if out and out[-1][2] == ore and abs(out[-1][1] - f) < 1e-9:
-                r = out[-1]
-                r[1], r[3], r[4], r[5] = t, r[3] + t - f, r[4] + metal, r[5] + known
-            else:
-                out.append([f, t, ore, t - f, metal, known])
-
-        def join(rows):
-            made: list[list] = []
-            for r in rows:
-                if made and made[-1][2] == r[2] and abs(made[-1][1] - r[0]) < 1e-9:
-                    m = made[-1]
-                    m[1], m[3], m[4], m[5] = r[1], m[3] + r[3], m[4] + r[4], m[5] + r[5]
-                else:
-                    made.append(list(r))
-            return made
-
-        i = 1
-        while i + 1 < len(out):
-            if not out[i][2] and out[i - 1][2] and out[i + 1][2] and out[i][3] <= max_dilution + 1e-9 and abs(out[i - 1][1] - out[i][0]) < 1e-9 and abs(out[i][1] - out[i + 1][0]) < 1e-9:
-                out[i][2] = True
-                out = join(out)
-            else:
-                i += 1
-        while True:
-            short = [(r[3], k) for k, r in enumerate(out) if r[2] and r[3] < min_length - 1e-9]
-            if not short:
-                break
-            out[min(short)[1]][2] = False
-            out = join(out)
-        return pd.DataFrame([(pdf[hole].iloc[0], f, t, ore, n, m / k if k else None) for f, t, ore, n, m, k in out], columns=["hole", "from", "to", "ore", "length", "mean"])
+    """Ore and waste runs per hole: neighbours of one kind joined, thin waste between ore made ore, then short ore made waste.
 
+    Whether a run changes depends on it and its neighbours only, so many holes are done at once. Holes are sorted in their
+    partition and stream through; a batch ends where a hole does.
+    """
     t = _interval(df, hole, from_, to).select(hole, from_, to, value(grade).alias(grade))
-    return t.groupBy(hole).applyInPandas(one, f"hole {dict(t.dtypes)[hole]}, `from` double, `to` double, ore boolean, length double, mean double")
+    names = ["hole", "from", "to", "ore", "length", "mean"]
+
+    def joined(hole, f, t, ore, *sums):
+        """Neighbours of one hole and kind as one, where they touch."""
+        new = np.ones(len(f), bool)
+        new[1:] = (hole[1:] != hole[:-1]) | (ore[1:] != ore[:-1]) | ~(np.abs(t[:-1] - f[1:]) < 1e-9)
+        at = np.flatnonzero(new)
+        return hole[at], f[at], t[np.append(at[1:], len(f)) - 1], ore[at], *(np.add.reduceat(x, at) for x in sums)
+
+    def made(rows):
+        import pyarrow as pa
+
+        label = rows[0].combine_chunks().dictionary_encode()
+        code = label.indices.to_numpy()
+        f, t, g = (rows[i].to_numpy().astype(float) for i in (1, 2, 3))
+        known = np.where(np.isnan(g), 0.0, t - f)
+        h, f, t, ore, n, metal, known = joined(code, f, t, g >= cutoff, t - f, np.where(np.isnan(g), 0.0, (t - f) * g), known)
+        if len(f) > 2:
+            touch = (h[1:] == h[:-1]) & (np.abs(t[:-1] - f[1:]) < 1e-9)
+            thin = ~ore[1:-1] & ore[:-2] & ore[2:] & touch[1:] & touch[:-1] & (n[1:-1] <= max_dilution + 1e-9)
+            ore[1:-1] |= thin
+            h, f, t, ore, n, metal, known = joined(h, f, t, ore, n, metal, known)
+        h, f, t, ore, n, metal, known = joined(h, f, t, ore & (n >= min_length - 1e-9), n, metal, known)
+        mean = np.divide(metal, known, out=np.zeros(len(f)), where=known != 0)
+        out = label.dictionary.take(pa.array(h))
+        return pa.RecordBatch.from_arrays([out, pa.array(f), pa.array(t), pa.array(ore), pa.array(n), pa.array(mean, mask=known == 0)], names=names)
+
+    def stream(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = []  # the hole that may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h = b.column(0)
+            cut = b.num_rows - pc.sum(pc.is_in(h, value_set=h.slice(b.num_rows - 1))).as_py()
+            if held and (cut or not _same(held[-1].column(0)[-1], h[0])):
+                whole = not _same(held[-1].column(0)[-1], h[0])
+                yield made(pa.Table.from_batches(held if whole else [*held, b.slice(0, cut)]))
+                if whole and cut:
+                    yield made(pa.Table.from_batches([b.slice(0, cut)]))
+                held = [b.slice(cut)]
+            elif cut:
+                yield made(pa.Table.from_batches([b.slice(0, cut)]))
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    return t.repartition(hole).sortWithinPartitions(hole, from_, to).mapInArrow(stream, f"hole {dict(t.dtypes)[hole]}, `from` double, `to` double, ore boolean, length double, mean double")
+
+
+def _same(a, b) -> bool:
+    a, b = a.as_py(), b.as_py()
+    return a == b or (a != a and b != b)
