@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, direction, divided, value
 from .ranks import weighted_quantiles
 from .joins import components, nearest, points, second, within
-from .near import by_place, counted, nearest_holes
+from .near import by_place, counted, lag_cells, nearest_holes
 
 
 def _samples(df: DataFrame, coords, values, id, **more) -> DataFrame:
@@ -222,12 +222,8 @@ def variogram_map(data: DataFrame, coords: Sequence, values, lag: float, max_lag
 
 def variogram_volume(data: DataFrame, coords: Sequence, values, lag: float, max_lag: float, id: str) -> DataFrame:
     """ix, iy, iz, pairs, gamma per cell of the lag vector, each pair once with its first non-zero offset positive."""
-    t = pairs_by_lag(data, coords, values, max_lag, id)
-    dx, dy, dz = (F.col(f"{a}2") - F.col(a) for a in "xyz")
-    flip = F.when((dx < 0) | ((dx == 0) & ((dy < 0) | ((dy == 0) & (dz < 0)))), -1.0).otherwise(1.0)
-    cell = [F.floor(o * flip / lag + 0.5).cast("long").alias(n) for o, n in ((dx, "ix"), (dy, "iy"), (dz, "iz"))]
-    d = F.col("v2") - F.col("v")
-    return t.groupBy(*cell).agg(F.count(F.lit(1)).alias("pairs"), (F.sum(d * d) / (2 * F.count(F.lit(1)))).alias("gamma"))
+    t = lag_cells(_samples(data, coords, values, id).select("id", "x", "y", "z", "v"), lag, max_lag)
+    return t.select("ix", "iy", "iz", "pairs", (F.col("square") / (2 * F.col("pairs"))).alias("gamma"))
 
 
 def experimental_transiogram(data: DataFrame, coords: Sequence, categories, lag: float, max_lag: float, id: str) -> DataFrame:
