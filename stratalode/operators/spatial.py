@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, direction, divided, value
 from .ranks import weighted_quantiles
-from .joins import components, nearest, points, second, within
+from .joins import cells, components, nearest, points, second, within
 from .near import by_place, counted, lag_cells, nearest_holes
 
 
@@ -69,12 +69,44 @@ def data_spacing(targets: DataFrame, data: DataFrame, coords: Sequence, radius:
 
 
 def duplicates(data: DataFrame, coords: Sequence, tolerance: float, id: str | None = None) -> DataFrame:
-    """id, group of points that others lie within tolerance of, transitively; the group is its least id."""
+    """id, group of points that others lie within tolerance of, transitively; the group is its least id.
+
+    Points of one cell are linked at once; cells by their outermost points, and by all points where that leaves them apart.
+    """
     p = points(data, coords, [], id)
-    reach = max(tolerance, 1e-9)
-    links = within(p, p, reach).filter((F.col("id") < F.col("id2")) & (F.col("distance") <= tolerance)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    return components(nodes, links).select("id", F.col("component").alias("group"))
+    if tolerance <= 0:
+        same = p.groupBy("x", "y", "z").agg(F.min("id").alias("group"), F.count(F.lit(1)).alias("n")).filter("n > 1" if tolerance == 0 else "false")
+        return p.join(same, ["x", "y", "z"]).select("id", "group")
+    size = tolerance * 0.999 / math.sqrt(3)  # all points of a cell are linked
+    at = ["cx", "cy", "cz"]
+    p = p.select("*", *cells(size))
+    place = F.struct("x", "y", "z")
+    ends = F.array_distinct(F.array(*[f(place, a) for a in "xyz" for f in (F.min_by, F.max_by)]))
+    own = p.groupBy(*at).agg(F.min("id").alias("cell"), ends.alias("ends"))
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(a) for a, x in zip(at, s)]) for s in steps]))
+    other = own.select(*[(F.col(a)).alias(f"{a}2") for a in at], F.col("cell").alias("cell2"), F.col("ends").alias("ends2"))
+    pairs = own.withColumn("_s", step).join(other, [F.col(a) + F.col(f"_s.{a}") == F.col(f"{a}2") for a in at])
+
+    def apart(a, b):
+        return F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]) + (b["z"] - a["z"]) * (b["z"] - a["z"]))
+
+    touch = F.exists("ends", lambda a: F.exists("ends2", lambda b: apart(a, b) <= tolerance))
+    pairs = pairs.select("cell", "cell2", touch.alias("touch")).persist()
+    try:
+        label = components(own.select(F.col("cell").alias("id")), pairs.filter("touch").select(F.col("cell").alias("a"), F.col("cell2").alias("b")))
+        label = label.select(F.col("id").alias("cell"), "component")
+        # cells whose ends are not near, of components that may still touch: their points are compared
+        rest = pairs.filter(~F.col("touch")).join(label, "cell").join(label.select(F.col("cell").alias("cell2"), F.col("component").alias("component2")), "cell2").filter("component <> component2")
+        q = p.join(own.select(*at, "cell"), at).select("cell", place.alias("p"))
+        links = rest.join(q, "cell").join(q.select(F.col("cell").alias("cell2"), F.col("p").alias("p2")), "cell2").filter(apart(F.col("p"), F.col("p2")) <= tolerance)
+        final = components(label.select(F.col("component").alias("id")).distinct(), links.select(F.col("component").alias("a"), F.col("component2").alias("b")).distinct())
+    finally:
+        pairs.unpersist()
+    label = label.join(final.select(F.col("id").alias("component"), F.col("component").alias("group")), "component").select("cell", "group")
+    out = p.join(own.select(*at, "cell"), at).join(label, "cell").select("id", "group")
+    many = out.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    return out.join(many, "group").select("id", "group")
 
 
 def merge_duplicates(data: DataFrame, coords: Sequence, values, tolerance: float, how: str = "mean", weights=None, id: str = "id") -> DataFrame:
