@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, direction, divided, value
 from .ranks import weighted_quantiles
 from .joins import cells, components, nearest, points, second, within
-from .near import by_place, counted, lag_cells, nearest_holes
+from .near import by_place, counted, greedy_pairs, lag_cells, nearest_holes
 
 
 def _samples(df: DataFrame, coords, values, id, **more) -> DataFrame:
@@ -127,26 +127,9 @@ def nearest_pairs(a: DataFrame, b: DataFrame, coords: Sequence, max_distance: fl
 def unique_pairs(a: DataFrame, b: DataFrame, coords: Sequence, max_distance: float, a_id: str, b_id: str) -> DataFrame:
     """Pairs taken closest first (ties by ids) so that no point is used twice.
 
-    The greedy order never crosses a connected part of the candidate graph, so each part is one task.
+    Points that are each other's nearest are paired, round by round; candidates are not listed.
     """
-    near = within(points(a, coords, [], a_id), points(b, coords, [], b_id), max_distance).select(F.col("id").alias("a"), F.col("id2").alias("b"), "distance")
-    links = near.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"))
-    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    part = components(nodes, links)
-    t = near.join(part, F.col("a") * 2 == part["id"]).select("a", "b", "distance", "component")
-
-    def greedy(pdf):
-        pdf = pdf.sort_values(["distance", "a", "b"])
-        left, right, keep = set(), set(), []
-        for i, j in zip(pdf["a"], pdf["b"]):
-            ok = i not in left and j not in right
-            keep.append(ok)
-            if ok:
-                left.add(i)
-                right.add(j)
-        return pdf[keep][["a", "b", "distance"]]
-
-    return t.groupBy("component").applyInPandas(greedy, "a long, b long, distance double")
+    return greedy_pairs(points(a, coords, [], a_id).select("id", "x", "y", "z"), points(b, coords, [], b_id).select("id", "x", "y", "z"), max_distance)
 
 
 def soft_boundary(data: DataFrame, coords: Sequence, values, domains, target: str, buffer: float, id: str, quantiles: Sequence[float] = (0.5,)) -> DataFrame:
