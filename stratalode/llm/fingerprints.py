@@ -14,25 +14,55 @@ RUN = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))"
 COARSE = 256  # buckets of the first level, whose bounds stand in the plan
 
 
-def _roll(h: str, few: str, n: int, f, step: int = 1) -> list[Column]:
+def _roll(h: str, few: str, n: int, f, step: int = 1, last=lambda x, i: x) -> list[Column]:
     """Steps that, from folds of `step` neighbours on, fold every n (a power of 2) neighbours of array h by f: neighbours of neighbours, four or eight at a time.
 
-    What has too few neighbours folds those that it has; the last step cuts these off.
+    What has too few neighbours folds those that it has; the last step cuts these off. `last` is done to each value and its place in that step.
     """
+    if step == n:
+        return [F.transform(h, last)]
     out, begun = [], step
     while step < n:
         ways = n // step if n // step in (2, 8) else 4
         apart = [j * step for j in range(1, ways)]
         step *= ways
 
+        then = last if step == n else lambda x, i: x
+
         def fold(x: Column, i: Column) -> Column:
-            return f(x, *[F.get(F.col(h), i + j) for j in apart])
+            return then(f(x, *[F.get(F.col(h), i + j) for j in apart]), i)
 
         each = F.transform(h, fold)
-        out.append(F.when(F.col(few), F.col(h)).otherwise(each if step < n else F.slice(each, F.lit(1), F.size(h) - n + begun)))
+        alone = F.col(h) if step < n else F.transform(h, last)
+        out.append(F.when(F.col(few), alone).otherwise(each if step < n else F.slice(each, F.lit(1), F.size(h) - n + begun)))
     return out
 
 
+def _least(df: DataFrame, h: str, few: str, window: int) -> DataFrame:
+    """Array h made the distinct least values of its windows, by place; the values differ and tell their places.
+
+    The least of a window is at most the least of each whole block of half a window in it, one of which is beside the value's
+    own block or is that block. Few values are: these may be selected. From one window to the next the least changes only where
+    one of them enters or where one has left, so only those windows are looked at, each by folds of neighbours.
+    """
+    step, half = min(4, window // 2), window // 2
+    fold, block, found = (fresh(df.columns, n) for n in ("_w", "_m", "_c"))
+    df = df.withColumn(fold, F.transform(h, lambda x, i: F.least(x, *[F.get(F.col(h), i + j) for j in range(1, step)]) if step > 1 else x))
+
+    def low(at: Column, n: int) -> Column:
+        folds = [F.get(F.col(fold), at + j) for j in range(0, n, step)]
+        return F.least(*folds) if len(folds) > 1 else folds[0]
+
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor(F.size(h) / half).cast("int") - 1, F.lit(0)))
+    df = df.withColumn(block, F.transform(blocks, lambda b: low(b * half, half)))
+    df = df.withColumn(block, F.transform(block, lambda x, b: F.greatest(x, F.get(F.col(block), b - 1), F.get(F.col(block), b + 1))))
+    df = df.withColumn(found, F.filter(h, lambda x, i: x <= F.coalesce(F.get(F.col(block), F.shiftright(i, half.bit_length() - 1)), F.get(F.col(block), F.size(block) - 1))))
+    at = F.concat(F.array(F.lit(0)), F.transform(found, lambda x: position(x).cast("int") - (window - 1)), F.transform(found, lambda x: position(x).cast("int") + 1))
+    at = F.sort_array(F.filter(at, lambda a: (a >= 0) & (a <= F.size(h) - window)))
+    one = F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.col(h))
+    return df.withColumn(h, F.when(F.col(few), one).otherwise(F.array_distinct(F.transform(at, lambda a: low(a, window))))).drop(fold, block, found)
+
+
 def winnow(df: DataFrame, text: str, out: str, k: int = 16, window: int = 32) -> DataFrame:
     """Add `out`: array<long>, the selected k-gram hashes with their positions, ascending by position.
 
@@ -50,14 +80,12 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 16, window: int = 32) ->
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn(h, F.when(F.char_length(t) >= k, F.transform(F.regexp_extract_all(t, F.lit(RUN % min(k, 8)), F.lit(1)), lambda x: F.xxhash64(x))).when(t != "", F.array(F.xxhash64(t))).otherwise(F.array().cast("array<long>")))
     df = df.withColumn(few, F.char_length(t) < k)
-    for each in _roll(h, few, k, F.xxhash64, min(k, 8)):
+    for each in _roll(h, few, k, F.xxhash64, min(k, 8), lambda x, i: x.bitwiseOR(F.lit(_MASK)) - i):
         df = df.withColumn(h, each)
-    df = df.withColumn(h, F.transform(h, lambda x, i: x.bitwiseOR(F.lit(_MASK)) - i))
     df = df.withColumn(few, F.size(h) < window)
-    for each in _roll(h, few, window, F.least):
-        df = df.withColumn(h, each)
-    least = F.when(F.col(few) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.array_distinct(h))
-    return df.select(*keep, least.alias(out))
+    if window > 1:
+        df = _least(df, h, few, window)
+    return df.select(*keep, F.col(h).alias(out))
 
 
 def hashes(fp: Column) -> Column:
