@@ -358,6 +358,17 @@ def test_edited_fingerprints_of_all_lengths(spark):
             assert said == fp_text(places, grams), (i, len(text))
 
 
+def test_windows_are_looked_at_where_the_least_may_change(spark, monkeypatch):
+    """Windows of all code points are not folded, and what they select is that of every window: equal grams, long and short texts."""
+    folded, roll = [], fingerprints._roll
+    monkeypatch.setattr(fingerprints, "_roll", lambda h, few, n, f, *more: folded.append(f) or roll(h, few, n, f, *more))
+    rng = random.Random(11)
+    texts = ["a" * 400, "ab" * 150 + "b" * 90, "".join(rng.choice("abc😀") for _ in range(900)), "abcdefgh" * 3, "x" * 47]
+    got = fingerprints.fingerprint(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).select("doc_id", fingerprints.as_string(F.col("fp")).alias("f")).collect()
+    assert {r.doc_id: r.f for r in got} == {i: fp_text(*winnowed(t)) for i, t in enumerate(texts)}
+    assert F.xxhash64 in folded and F.least not in folded
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(9)
     texts, labels = [], []
