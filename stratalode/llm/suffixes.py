@@ -224,6 +224,12 @@ def marks(table: pa.Table, width: int, gram: int, round_: int) -> pa.Table:
     return pa.table([pa.array(list(out), pa.int32()), pa.array([round_] * len(out), pa.int32()), pa.array([b"".join(v) for v in out.values()], pa.binary())], ["chunk", "round", "hashes"])
 
 
+def in_order(table: pa.Table) -> tuple[list, list[bytes]]:
+    """Ids and texts of a chunk by id, then text: a shuffle may bring the rows to each stage in another order, and blocks are numbered as they come."""
+    rows = sorted(zip(table.column("doc_id").to_pylist(), texts_of(table)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return [r[0] for r in rows], [r[1] for r in rows]
+
+
 def numbered(chunk_texts: list[bytes], width: int, grams: list[int], rep: list[np.ndarray]):
     """Yield (first document, units, raw, starts in question, blocks with their numbers); equal blocks have one number."""
     known: dict[tuple[bytes, bytes], list] = {}
@@ -253,7 +259,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 48, long_gram:
 
     def sorted_runs(key, table, back):
         rep, known = told(back, len(grams)), {}
-        for _, _, _, _, known in numbered(texts_of(table), width, grams, rep):
+        for _, _, _, _, known in numbered(in_order(table)[1], width, grams, rep):
             pass
         run = sorted((k, left, n, c > 1) for (k, left), (n, c) in known.items())
         rows, at = [], 0
@@ -274,7 +280,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 48, long_gram:
     size = 4 + (span + 7) // 8
 
     def done(key, table, back):
-        texts, ids = texts_of(table), table.column("doc_id").to_pylist()
+        ids, texts = in_order(table)
         rep = told(back, len(grams))
         blob = b"".join(b for q, b in zip(back.column("round").to_pylist(), back.column("hashes").to_pylist()) if q == len(grams))
         flat = np.frombuffer(blob, np.uint8).reshape(-1, size)

@@ -85,6 +85,17 @@ def test_suffixes(docs, nothing):
     assert suffixes.repeated_bytes(nothing).collect() == []
 
 
+def test_suffixes_whatever_order_rows_come_in(spark, docs, monkeypatch):
+    class Turned(repeats.Rounds):
+        def finish(self, f, kind):
+            self.docs = self.docs.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"))
+            return super().finish(f, kind)
+
+    want = suffixes.repeated_bytes(docs).collect()
+    monkeypatch.setattr(suffixes, "Rounds", Turned)
+    same(suffixes.repeated_bytes(docs).collect(), want)
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 7):
