@@ -175,15 +175,15 @@ def winding_number(points: DataFrame, vertices: Sequence, triangles: Sequence, i
     return t.groupBy("id").agg((F.sum(angle) / (4 * math.pi)).alias("winding"))
 
 
-def assign_domain(targets: DataFrame, data: DataFrame, domains, reach: float, n: int = 1, target_id: str = "id", data_id: str = "id") -> DataFrame:
-    """id, domain, confidence: the label of the nearest sample, or the most common of the n nearest (ties: that of the nearest)."""
+def assign_domain(targets: DataFrame, data: DataFrame, domains, n: int = 1, target_id: str = "id", data_id: str = "id") -> DataFrame:
+    """id, domain, confidence: the label of the nearest sample, or the most common of the n nearest, however far (ties: that of the nearest)."""
     from .joins import points
     from .near import by_place
 
     t, s = points(targets, ["x", "y", "z"], [], target_id), points(data, ["x", "y", "z"], [col(domains).cast("string").alias("g")], data_id).filter("g is not null")
 
     def made(places):
-        votes = nearest(places, s, n, reach).groupBy("id", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("r"))
+        votes = nearest(places, s, n, math.inf).groupBy("id", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("r"))
         best = votes.groupBy("id").agg(F.min(F.struct(-F.col("n"), "r", "g2", F.col("n").alias("m"))).alias("b"), F.sum("n").alias("all"))
         return best.select("id", F.col("b.g2").alias("domain"), (F.col("b.m") / F.col("all")).alias("confidence"))
 

@@ -796,9 +796,9 @@ def _(t):
     return blocks.winding_number(samples(t), corners, faces).select("id", (F.abs("winding") > 0.5).alias("inside"))
 
 
-@query("assign_domain", f"with n as (select t.id, g::VARCHAR as g, row_number() over (partition by t.id order by (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2, s.id) as r from ({TARGETS}) t, ({SAMPLES}) s where (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2 <= 900), v as (select id, g, count(*) as m, min(r) as r, sum(count(*)) over (partition by id) as a from n where r <= 5 group by 1, 2), b as (select *, row_number() over (partition by id order by m desc, r) as q from v) select t.id, g as domain, m::DOUBLE / a as confidence from ({TARGETS}) t left join (select * from b where q = 1) b using (id)", "confidence")
+@query("assign_domain", f"with n as (select t.id, g::VARCHAR as g, row_number() over (partition by t.id order by (t.x - s.x) ** 2 + (t.y - s.y) ** 2 + (t.z - s.z) ** 2, s.id) as r from ({TARGETS}) t, ({SAMPLES}) s), v as (select id, g, count(*) as m, min(r) as r, sum(count(*)) over (partition by id) as a from n where r <= 5 group by 1, 2), b as (select *, row_number() over (partition by id order by m desc, r) as q from v) select t.id, g as domain, m::DOUBLE / a as confidence from ({TARGETS}) t left join (select * from b where q = 1) b using (id)", "confidence")
 def _(t):
-    return blocks.assign_domain(targets(t), samples(t), "g", 30.0, 5)
+    return blocks.assign_domain(targets(t), samples(t), "g", 5)
 
 
 from . import more_queries  # noqa: E402, F401  (registers its queries)
